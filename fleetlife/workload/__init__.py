@@ -6,6 +6,6 @@ from .registry import ENTRIES, Entry
 
 
 def all_entries() -> dict[str, Entry]:
-    from . import fleet_queries  # noqa: F401
+    from . import fleet_queries, learning_queries, model_queries, survival_queries  # noqa: F401
 
     return dict(ENTRIES)

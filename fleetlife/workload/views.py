@@ -119,3 +119,6 @@ SV = """sv AS (SELECT *, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdat
   l_returnflag = 'R' AS failed FROM lineitem LEFT JOIN part ON p_partkey = l_partkey)"""
 T2 = f"""t2 AS (SELECT user_id AS drive_id, ts, {DAY.format('ts')} AS day,
   CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failure, value, props FROM events)"""
+REDUCED_SUBJECTS = LIFESPANS + """,
+subjects AS (SELECT drive_id, failure_day IS NOT NULL AS failed, CAST(coalesce(failure_day, last_day) - first_day AS DOUBLE) AS duration_worked
+  FROM lifespans)"""
