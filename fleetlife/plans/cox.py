@@ -227,6 +227,7 @@ def fit_boosted_cox(
             "_g": risk * F.col("_a") - F.col("e"),
             "_h": F.greatest(risk * F.col("_a") - risk * risk * F.col("_b"), F.lit(1e-9)),
         }).select("_features", (-F.col("_g") / F.col("_h")).alias("_target"), (F.col("_h") * F.col("w")).alias("_hw"))
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # a tree fit reads its rows several times
         tree = DecisionTreeRegressor(
             featuresCol="_features", labelCol="_target", predictionCol="_leaf", weightCol="_hw", maxDepth=max_depth,
             minWeightFractionPerNode=min_node_weight, seed=seed + k).fit(rows)
@@ -238,6 +239,7 @@ def fit_boosted_cox(
         else:
             grown = grown.persist(StorageLevel.MEMORY_AND_DISK)
             grown.count()
+        rows.unpersist()
         data.unpersist()
         data = grown
     data.unpersist()

@@ -36,15 +36,15 @@ def concordance_counts(
     placed = ranked.withColumn("_bounds", bounds).withColumn(
         "block", F.size(F.filter("_bounds", lambda b: b < F.col("s")))).drop("_bounds")
 
-    bit = placed.withColumn("bit", F.explode(F.sequence(F.lit(0), top_bit)))
-    one = F.expr("shiftright(rank, bit) & 1") == 1
-    by_bit = bit.select(
-        "bit", F.expr("shiftright(rank, bit + 1)").alias("prefix"), "block", "s",
-        F.when(one, F.col("n")).otherwise(0).alias("longer"), F.when(one, 0).otherwise(F.col("d")).alias("failed"))
-    same_time = placed.select(
-        F.lit(-1).alias("bit"), F.col("rank").alias("prefix"), "block", "s",
-        (F.col("n") - F.col("d")).alias("longer"), F.col("d").alias("failed"))
-    rows = by_bit.unionByName(same_time).where((F.col("longer") > 0) | (F.col("failed") > 0))
+    # Bit -1 stands for equal times: the censored subjects of a time against its failures.
+    exploded = placed.withColumn("bit", F.explode(F.sequence(F.lit(-1), top_bit)))
+    equal = F.col("bit") == -1
+    one = F.expr("shiftright(rank, greatest(bit, 0)) & 1") == 1
+    rows = exploded.select(
+        "bit", F.when(equal, F.col("rank")).otherwise(F.expr("shiftright(rank, bit + 1)")).alias("prefix"), "block", "s",
+        F.when(equal, F.col("n") - F.col("d")).when(one, F.col("n")).otherwise(0).alias("longer"),
+        F.when(equal | ~one, F.col("d")).otherwise(0).alias("failed"),
+    ).where((F.col("longer") > 0) | (F.col("failed") > 0))
 
     group = ["bit", "prefix"]
     per_score = rows.groupBy(*group, "block", "s").agg(F.sum("longer").alias("longer"), F.sum("failed").alias("failed"))

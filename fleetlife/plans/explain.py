@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,17 +14,27 @@ from ..operators.sampling import smallest_by_hash
 OTHER = "$other"
 
 
-def compact_explanation(features: Sequence[str], threshold_ratio: float = 50.0, prefix: str = "") -> Column:
-    """Map of significant contributions (columns ``<prefix><feature>``): shares of their sum, those above the largest magnitude
-    over ``threshold_ratio`` kept, the rest summed under ``$other``."""
-    values = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"{prefix}{f}").cast("double").alias("v")) for f in features])
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x["v"])
-    shares = F.transform(values, lambda x: F.struct(x["f"].alias("f"), (x["v"] / total).alias("v")))
-    limit = F.array_max(F.transform(shares, lambda x: F.abs(x["v"]))) / F.lit(threshold_ratio)
-    kept = F.filter(shares, lambda x: F.abs(x["v"]) > limit)
-    rest = F.aggregate(F.filter(shares, lambda x: F.abs(x["v"]) <= limit), F.lit(0.0), lambda a, x: a + x["v"])
-    other = F.array(F.struct(F.lit(OTHER).alias("f"), rest.alias("v")))
-    return F.when(total != 0, F.map_from_entries(F.concat(kept, other)))
+def with_compact_explanation(
+    df: DataFrame, features: Sequence[str], out: str, threshold_ratio: float = 50.0, prefix: str = "",
+) -> DataFrame:
+    """Adds a map of significant contributions (columns ``<prefix><feature>``): shares of their sum, those above the
+    largest magnitude over ``threshold_ratio`` kept, the rest summed under ``$other``; null when the sum is zero.
+
+    The feature list is known, so shares and limit are plain columns inside code generation.
+    """
+    shares = {f: f"_share_{i}" for i, f in enumerate(features)}
+    total = reduce(lambda a, b: a + b, [F.col(f"{prefix}{f}").cast("double") for f in features])
+    df = df.withColumn("_total", F.when(total != 0, total))
+    df = df.withColumns({s: F.col(f"{prefix}{f}") / F.col("_total") for f, s in shares.items()})
+    sizes = [F.abs(s) for s in shares.values()]
+    df = df.withColumn("_limit", (F.greatest(*sizes) if len(sizes) > 1 else sizes[0]) / F.lit(threshold_ratio))
+    rest = reduce(lambda a, b: a + b, [
+        F.when(F.abs(s) > F.col("_limit"), F.lit(0.0)).otherwise(F.col(s)) for s in shares.values()])
+    entries = [F.when(F.abs(s) > F.col("_limit"), F.struct(F.lit(f).alias("key"), F.col(s).alias("value"))) for f, s in shares.items()]
+    other = F.struct(F.lit(OTHER).alias("key"), rest.alias("value"))
+    explained = F.map_from_entries(F.array_compact(F.array(*entries, other)))
+    df = df.withColumn(out, F.when(F.col("_total").isNotNull(), explained))
+    return df.drop("_total", "_limit", *shares.values())
 
 
 def mean_explanation(contributions: DataFrame, features: Sequence[str]) -> DataFrame:

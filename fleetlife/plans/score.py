@@ -8,12 +8,12 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.durations import human_span
+from ..functions.durations import with_human_span
 from ..functions.schema_tools import reorder
 from ..operators.enrich import Enricher, enrich
 from ..operators.sampling import sorted_by_prediction
 from .evaluate import reject_nan
-from .explain import compact_explanation
+from .explain import with_compact_explanation
 
 
 def parse_descriptors(df: DataFrame, text: str, fields: Mapping[str, str], *carry: str) -> DataFrame:
@@ -42,8 +42,8 @@ def score_models(
     """
     out = reject_nan(predict(enrich(requests, enrichers)), "predicted_survival")
     if contributions:
-        names = [f"phi_{f}" for f in contributions]
-        out = out.withColumn("explanation", compact_explanation(contributions, threshold_ratio, "phi_")).drop(*names)
+        out = with_compact_explanation(out, contributions, "explanation", threshold_ratio, "phi_")
+        out = out.drop(*[f"phi_{f}" for f in contributions])
     anchor = anchor or datetime.date(2000, 1, 1)
-    out = out.withColumn("fancy_time", human_span(F.col("predicted_survival"), anchor))
+    out = with_human_span(out, "predicted_survival", "fancy_time", anchor)
     return reorder(sorted_by_prediction(out, ["name"]), ["vendor", "name", "predicted_survival", "fancy_time"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durations import fix_zero
+from ..functions.staging_area import cut_lineage
 from ..functions.weibull_math import expectation
 from ..operators.strata import WEIGHT
 
@@ -20,7 +22,7 @@ MIN_SUBJECTS = 3
 MIN_SHAPE = 1e-2
 
 SHAPE_RANGE = (1e-3, 1e3)
-NEWTON_STEPS = 14
+NEWTON_STEPS = 40
 
 
 def fit_weibull_groups(
@@ -32,11 +34,13 @@ def fit_weibull_groups(
     The score equation in the shape is monotone. Every step is one join of the compacted axis with one row of state
     per group and one aggregation that combines on the map side: no group is ever gathered in a task, so a group with
     a third of all subjects, or with durations that are not whole days, costs no more than any other. Steps are Newton
-    steps on the log shape, replaced by bisection when they would leave the bracket. Group keys must not be null.
+    steps on the log shape, replaced by bisection when they would leave the bracket, and end when all groups stand
+    still. The result is checkpointed. Group keys must not be null.
     """
     keys = list(groups)
     compact = subjects.groupBy(*keys, fix_zero(F.col(duration)).alias("_t")).agg(
-        F.count("*").cast("double").alias("_n"), F.sum(F.col(event).cast("double")).alias("_d"))
+        F.count("*").cast("double").alias("_n"), F.sum(F.col(event).cast("double")).alias("_d")).persist(
+        StorageLevel.MEMORY_AND_DISK)
     log_t = F.ln("_t")
     start = compact.groupBy(*keys).agg(
         F.sum("_n").alias("_subjects"), F.sum("_d").alias("_events"), F.max(log_t).alias("_top"),
@@ -47,33 +51,38 @@ def fit_weibull_groups(
     state = start.where((F.col("_events") > 0) & (F.col("_subjects") >= MIN_SUBJECTS)).select(
         *keys, "_events", "_top", (mean - F.col("_top")).alias("_mean"), F.lit(low).alias("_lo"),
         F.lit(high).alias("_hi"), F.least(F.lit(50.0), F.greatest(F.lit(0.05), 1.2 / spread)).alias("_shape"))
+    state = state.withColumn("_moved", F.lit(1.0))
     carried = ["_events", "_top", "_mean", "_lo", "_hi", "_shape"]
 
     def sums(current: DataFrame) -> DataFrame:
         rel = F.ln("_t") - F.col("_top")
         power = F.col("_n") * F.exp(F.col("_shape") * rel)
-        return compact.join(current, keys).groupBy(*keys).agg(
+        return compact.join(current.select(*keys, *carried), keys).groupBy(*keys).agg(
             *[F.max(c).alias(c) for c in carried], F.sum(power).alias("_s0"),
             F.sum(power * rel).alias("_s1"), F.sum(power * rel * rel).alias("_s2"))
 
+    shape, s0, s1, s2 = (F.col(c) for c in ("_shape", "_s0", "_s1", "_s2"))
+    score = s1 / s0 - 1 / shape - F.col("_mean")
+    slope = (s2 * s0 - s1 * s1) / (s0 * s0) + 1 / (shape * shape)
+    newton = shape * F.exp(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), -score / (shape * slope))))
     for _ in range(steps):
-        shape, s0, s1, s2 = (F.col(c) for c in ("_shape", "_s0", "_s1", "_s2"))
-        score = s1 / s0 - 1 / shape - F.col("_mean")
-        slope = (s2 * s0 - s1 * s1) / (s0 * s0) + 1 / (shape * shape)
-        lo = F.when(score < 0, shape).otherwise(F.col("_lo"))
-        hi = F.when(score < 0, F.col("_hi")).otherwise(shape)
-        newton = shape * F.exp(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), -score / (shape * slope))))
-        stepped = sums(state).select(*keys, "_events", "_top", "_mean", lo.alias("_lo2"), hi.alias("_hi2"),
-                                     newton.alias("_try"))
-        inside = F.col("_try").between(F.col("_lo2"), F.col("_hi2"))
-        state = stepped.select(
-            *keys, "_events", "_top", "_mean", F.col("_lo2").alias("_lo"), F.col("_hi2").alias("_hi"),
-            F.when(inside, F.col("_try")).otherwise(F.sqrt(F.col("_lo2") * F.col("_hi2"))).alias("_shape"))
-    shape, s0, s1 = F.col("_shape"), F.col("_s0"), F.col("_s1")
+        stepped = sums(state).withColumns({
+            "_lo": F.when(score < 0, shape).otherwise(F.col("_lo")), "_hi": F.when(score < 0, F.col("_hi")).otherwise(shape),
+            "_try": newton})
+        inside = F.col("_try").between(F.col("_lo"), F.col("_hi"))
+        stepped = stepped.withColumn("_next", F.when(inside, F.col("_try")).otherwise(F.sqrt(F.col("_lo") * F.col("_hi"))))
+        new = stepped.select(
+            *keys, "_events", "_top", "_mean", "_lo", "_hi", F.col("_next").alias("_shape"),
+            F.abs(F.ln(F.col("_next") / shape)).alias("_moved")).persist(StorageLevel.MEMORY_AND_DISK)
+        moved = new.agg(F.max("_moved")).first()[0]  # one number, and the step is materialised
+        state.unpersist()
+        state = new
+        if moved is None or moved < 1e-11:
+            break
     fitted = sums(state).select(
         *keys, shape.alias("weibull_shape"),
         (F.exp("_top") * F.pow(s0 / F.col("_events"), 1 / shape)).alias("weibull_scale"),
-        (F.abs(s1 / s0 - 1 / shape - F.col("_mean")) > 1e-6 * (1 + 1 / shape)).alias("_off"))
+        (F.abs(score) > 1e-6 * (1 + 1 / shape)).alias("_off"))
     sizes = start.select(*keys, F.col("_subjects").cast("bigint").alias(WEIGHT), "_events")
     reason = (
         F.when(F.col(WEIGHT) < MIN_SUBJECTS, "fewer than three subjects")
@@ -81,8 +90,11 @@ def fit_weibull_groups(
         .when(F.coalesce(F.col("_off"), F.lit(True)), "no convergence")
         .when(F.col("weibull_shape") < MIN_SHAPE, "shape too small"))
     out = sizes.join(fitted, keys, "left").withColumn("rejected", reason)
-    return out.select(*keys, WEIGHT, "rejected", *[
-        F.when(F.col("rejected").isNull(), F.col(c)).alias(c) for c in ("weibull_shape", "weibull_scale")])
+    out = cut_lineage(out.select(*keys, WEIGHT, "rejected", *[
+        F.when(F.col("rejected").isNull(), F.col(c)).alias(c) for c in ("weibull_shape", "weibull_scale")]))
+    state.unpersist()
+    compact.unpersist()
+    return out
 
 
 def accepted_fits(fits: DataFrame) -> DataFrame:

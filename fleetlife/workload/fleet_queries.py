@@ -160,7 +160,7 @@ def model_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("model_brands", "D4 B7", sql=W + v.DIMS + " SELECT id, name, brand_id FROM models")
 def model_brands(spark: SparkSession, sf: str) -> DataFrame:
-    return v.models(spark, sf)
+    return v.classified_models(spark, sf)
 
 
 @query("brands_with_vendor", "D2", sql=W + v.DIMS + """

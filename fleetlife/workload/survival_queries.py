@@ -69,7 +69,7 @@ def vendor_survival(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("nested_survival", "F4", sql=curve_sql(v.SV + """,
-twofold AS (SELECT 'secondary'' AS level, p_type, l_linestatus, duration_worked, failed FROM sv
+twofold AS (SELECT 'secondary' AS level, p_type, l_linestatus, duration_worked, failed FROM sv
   UNION ALL SELECT 'primary', p_type, NULL, duration_worked, failed FROM sv)""", "twofold", ["level", "p_type", "l_linestatus"]))
 def nested_survival(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(km.nested_curves(v.subjects_with_brand(spark, sf), "p_type", "l_linestatus"))
@@ -103,9 +103,9 @@ SELECT l_orderkey, l_linenumber, fixed, fixed * CASE WHEN failed THEN 1 ELSE -1
 def fixed_and_signed_durations(spark: SparkSession, sf: str) -> DataFrame:
     fixed = durations.fix_zero(F.col("duration_worked") - 1)
     rows = v.subjects(spark, sf).withColumn("fixed", fixed)
-    return rows.select(
-        "l_orderkey", "l_linenumber", "fixed", durations.signed_label(F.col("fixed"), F.col("failed")).alias("label"),
-        durations.human_span(F.col("fixed"), datetime.date(2011, 1, 31)).alias("span"))
+    rows = durations.with_human_span(rows, "fixed", "span", datetime.date(2011, 1, 31))
+    label = durations.signed_label(F.col("fixed"), F.col("failed"))
+    return rows.select("l_orderkey", "l_linenumber", "fixed", label.alias("label"), "span")
 
 
 @query("mean_durations", "E10 E11", sql=W + v.SV + """
@@ -268,7 +268,7 @@ def compact_explanations(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.subjects(spark, sf, *FEATURES).select(
         "l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), (F.col("l_discount") * 40).alias("discount"),
         (F.col("l_tax") * 10).alias("tax"))
-    out = rows.withColumn("e", explain.compact_explanation(["quantity", "discount", "tax"], threshold_ratio=10.0))
+    out = explain.with_compact_explanation(rows, ["quantity", "discount", "tax"], "e", threshold_ratio=10.0)
     return out.select(
         "l_orderkey", "l_linenumber", *[F.round(F.col("e")[n], 9).alias(n) for n in ("quantity", "discount", "tax")],
         (F.round(F.col("e")[explain.OTHER], 9) + 0).alias("other"))
