@@ -202,7 +202,7 @@ class BoostedCoxModel:
 
 def fit_boosted_cox(
     subjects: DataFrame, features: Sequence[str], duration: str = "duration_worked", event: str = "failed",
-    weight: str | None = None, rounds: int = 10, max_depth: int = 3, rate: float = 0.3, checkpoint_every: int = 5,
+    weight: str | None = None, rounds: int = 10, max_depth: int = 3, rate: float = 0.3, checkpoint_every: int = 3,
     min_node_weight: float = 0.0, seed: int = 0, block_width: float | None = None,
 ) -> BoostedCoxModel:
     """Second-order boosting of the Breslow partial likelihood.

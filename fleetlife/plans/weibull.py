@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durations import fix_zero
-from ..functions.staging_area import cut_lineage
+from ..functions.staging_area import cut_lineage, stage
 from ..functions.weibull_math import expectation
 from ..operators.strata import WEIGHT
 
@@ -22,7 +22,7 @@ MIN_SUBJECTS = 3
 MIN_SHAPE = 1e-2
 
 SHAPE_RANGE = (1e-3, 1e3)
-NEWTON_STEPS = 40
+NEWTON_STEPS = 30
 
 
 def fit_weibull_groups(
@@ -48,10 +48,11 @@ def fit_weibull_groups(
     mean = F.col("_dl") / F.col("_events")
     spread = F.sqrt(F.greatest(F.col("_dl2") / F.col("_events") - mean * mean, F.lit(1e-4)))
     low, high = SHAPE_RANGE
-    state = start.where((F.col("_events") > 0) & (F.col("_subjects") >= MIN_SUBJECTS)).select(
+    # With every failure at the group's largest duration the likelihood grows with the shape for ever: no fit.
+    fittable = (F.col("_events") > 0) & (F.col("_subjects") >= MIN_SUBJECTS) & (mean - F.col("_top") < -1e-12)
+    state = start.where(fittable).select(
         *keys, "_events", "_top", (mean - F.col("_top")).alias("_mean"), F.lit(low).alias("_lo"),
         F.lit(high).alias("_hi"), F.least(F.lit(50.0), F.greatest(F.lit(0.05), 1.2 / spread)).alias("_shape"))
-    state = state.withColumn("_moved", F.lit(1.0))
     carried = ["_events", "_top", "_mean", "_lo", "_hi", "_shape"]
 
     def sums(current: DataFrame) -> DataFrame:
@@ -71,12 +72,11 @@ def fit_weibull_groups(
             "_try": newton})
         inside = F.col("_try").between(F.col("_lo"), F.col("_hi"))
         stepped = stepped.withColumn("_next", F.when(inside, F.col("_try")).otherwise(F.sqrt(F.col("_lo") * F.col("_hi"))))
-        new = stepped.select(
+        # One row per group goes to the shared folder: lineage stays short and the next join knows its size.
+        state = stage(stepped.select(
             *keys, "_events", "_top", "_mean", "_lo", "_hi", F.col("_next").alias("_shape"),
-            F.abs(F.ln(F.col("_next") / shape)).alias("_moved")).persist(StorageLevel.MEMORY_AND_DISK)
-        moved = new.agg(F.max("_moved")).first()[0]  # one number, and the step is materialised
-        state.unpersist()
-        state = new
+            F.abs(F.ln(F.col("_next") / shape)).alias("_moved")), "weibull-step")
+        moved = state.agg(F.max("_moved")).first()[0]
         if moved is None or moved < 1e-11:
             break
     fitted = sums(state).select(
@@ -92,7 +92,6 @@ def fit_weibull_groups(
     out = sizes.join(fitted, keys, "left").withColumn("rejected", reason)
     out = cut_lineage(out.select(*keys, WEIGHT, "rejected", *[
         F.when(F.col("rejected").isNull(), F.col(c)).alias(c) for c in ("weibull_shape", "weibull_scale")]))
-    state.unpersist()
     compact.unpersist()
     return out
 

@@ -165,11 +165,28 @@ def test_predictions_keep_nulls_in_json(spark, tmp_path):
         store.write_predictions(df, str(tmp_path / "q"), "xls")
 
 
-def test_shared_folder_comes_from_the_session(spark, tmp_path):
-    before = spark.sparkContext.getCheckpointDir()
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert staging_area.new_folder(spark, "x").startswith(str(tmp_path))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert before is None or spark.sparkContext.getCheckpointDir() == before
+class FakeSession:
+    """Just enough of a session to see where the shared folder comes from."""
+
+    def __init__(self, master, configured=None, current=None):
+        self.configured, self.current, self.master = configured, current, master
+        self.conf, self.sparkContext = self, self
+
+    def get(self, key, default):
+        return self.configured if key == "spark.checkpoint.dir" and self.configured else default
+
+    def getCheckpointDir(self):
+        return self.current
+
+    def setCheckpointDir(self, path):
+        self.current = path
+
+
+def test_shared_folder_comes_from_the_session():
+    cluster = FakeSession("spark://host", configured="hdfs://shared/x/")
+    assert staging_area.shared_root(cluster) == "hdfs://shared/x" and cluster.current == "hdfs://shared/x/"
+    assert staging_area.shared_root(FakeSession("yarn", current="hdfs://set")) == "hdfs://set"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging_area.shared_root(FakeSession("yarn"))
+    local = FakeSession("local[2]")
+    assert staging_area.shared_root(local) == staging_area.shared_root(local)
