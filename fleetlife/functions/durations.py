@@ -29,7 +29,7 @@ def with_human_span(df: DataFrame, days: str, out: str, anchor: datetime.date) -
     """
     start = F.lit(anchor)
     known = F.col(days).isNotNull() & ~F.isnan(F.col(days).cast("double")) & (F.col(days) != 0)
-    df = df.withColumn("_end", F.when(known, F.date_add(start, F.floor(days).cast("int"))))
+    df = df.withColumn("_end", F.when(known, F.date_add(start, F.floor(days).try_cast("int"))))
     df = df.withColumn("_m", (F.year("_end") - anchor.year) * 12 + (F.month("_end") - anchor.month))
     df = df.withColumn("_m", F.when(F.add_months(start, F.col("_m")) > F.col("_end"), F.col("_m") - 1).otherwise(F.col("_m")))
     df = df.withColumn("_d", F.datediff("_end", F.add_months(start, F.col("_m"))))

@@ -18,8 +18,8 @@ MAX_ORDINAL = (1 << DAY_BITS) - 1
 
 
 def epoch_day(date_text: Column) -> Column:
-    """Date text (or a date) to days since 1970-01-01."""
-    return F.unix_date(F.to_date(date_text))
+    """ISO date text to days since 1970-01-01; text that is no date gives null."""
+    return F.unix_date(F.try_to_date(date_text, "yyyy-MM-dd"))
 
 
 def iso_date(day: Column) -> Column:

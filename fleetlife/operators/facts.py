@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import epoch_day
+
 
 def normalize_records(
     staging: DataFrame, drives: DataFrame, carry: Sequence[str], serial: str = "serial_number", date: str = "date",
@@ -17,8 +19,7 @@ def normalize_records(
     threshold, and beyond it the adaptive skew join splits a serial that dominates the staging side.
     """
     ids = drives.select(serial, F.col("id").alias("drive_id"))
-    day = F.unix_date(F.to_date(F.col(date))).alias("day")
-    return staging.select(serial, day, *carry).join(ids, serial).drop(serial)
+    return staging.select(serial, epoch_day(F.col(date)).alias("day"), *carry).join(ids, serial).drop(serial)
 
 
 def one_per_day(facts: DataFrame, device: str = "drive_id", day: str = "day") -> DataFrame:

@@ -69,6 +69,11 @@ def outdated_candidates(lifespans_: DataFrame) -> DataFrame:
     return lifespans_.where(F.col("failure_day").isNull() & (F.col("last_day") < newest))
 
 
+def censored_devices(lifespans_: DataFrame, device: str = "drive_id") -> DataFrame:
+    """Devices that have not failed so far."""
+    return lifespans_.where(F.col("failure_day").isNull()).select(device)
+
+
 def without_stats(drives: DataFrame, lifespans_: DataFrame, device: str = "drive_id") -> DataFrame:
     """Drives that have no lifespan row yet."""
     return drives.join(lifespans_.select(F.col(device).alias("id")), "id", "left_anti").select("id")

@@ -21,12 +21,18 @@ from ..functions.staging_area import cut_lineage
 
 def compact_subjects(
     subjects: DataFrame, features: Sequence[str], duration: str, event: str, weight: str | None = None,
+    merge: bool = True,
 ) -> DataFrame:
-    """Equal subjects become one row with their summed weight ``w``; model-level attributes compact best."""
+    """Equal subjects become one row with their summed weight ``w``; model-level attributes compact best.
+
+    With features that differ from row to row, ``merge=False`` saves a shuffle that would not make the data smaller.
+    """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    return subjects.groupBy(
-        *[F.col(f).cast("double").alias(f) for f in features], F.col(duration).cast("double").alias("t"),
-        F.col(event).cast("double").alias("e")).agg(F.sum(w).alias("w"))
+    columns = [*[F.col(f).cast("double").alias(f) for f in features], F.col(duration).cast("double").alias("t"),
+               F.col(event).cast("double").alias("e")]
+    if not merge:
+        return subjects.select(*columns, w.alias("w"))
+    return subjects.groupBy(*columns).agg(F.sum(w).alias("w"))
 
 
 def _at_risk(axis: DataFrame, sums: Mapping[str, str], block_width: float | None) -> DataFrame:
@@ -65,7 +71,7 @@ class CoxModel:
 def fit_cox(
     subjects: DataFrame, features: Sequence[str], duration: str = "duration_worked", event: str = "failed",
     weight: str | None = None, max_steps: int = 20, tolerance: float = 1e-9, ridge: float = 0.0,
-    block_width: float | None = None,
+    block_width: float | None = None, merge: bool = True,
 ) -> CoxModel:
     """Newton's method for the Breslow partial likelihood.
 
@@ -74,7 +80,7 @@ def fit_cox(
     """
     features = list(features)
     p = len(features)
-    data = compact_subjects(subjects, features, duration, event, weight).persist(StorageLevel.MEMORY_AND_DISK)
+    data = compact_subjects(subjects, features, duration, event, weight, merge).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         total = F.sum("w")
         stats = data.agg(
@@ -203,7 +209,7 @@ class BoostedCoxModel:
 def fit_boosted_cox(
     subjects: DataFrame, features: Sequence[str], duration: str = "duration_worked", event: str = "failed",
     weight: str | None = None, rounds: int = 10, max_depth: int = 3, rate: float = 0.3, checkpoint_every: int = 3,
-    min_node_weight: float = 0.0, seed: int = 0, block_width: float | None = None,
+    min_node_weight: float = 0.0, seed: int = 0, block_width: float | None = None, merge: bool = True,
 ) -> BoostedCoxModel:
     """Second-order boosting of the Breslow partial likelihood.
 
@@ -213,7 +219,7 @@ def fit_boosted_cox(
     """
     features = list(features)
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
-    data = assembler.transform(compact_subjects(subjects, features, duration, event, weight))
+    data = assembler.transform(compact_subjects(subjects, features, duration, event, weight, merge))
     data = data.select("_features", "t", "e", "w", F.lit(0.0).alias("eta")).persist(StorageLevel.MEMORY_AND_DISK)
     trees: list[DecisionTreeRegressionModel] = []
     for k in range(rounds):

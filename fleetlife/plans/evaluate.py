@@ -11,11 +11,14 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import running_sum
+
 WIDE = "decimal(38,0)"
 
 
 def concordance_counts(
     scored: DataFrame, duration: str = "duration_worked", event: str = "failed", score: str = "score", blocks: int = 64,
+    block_width: float | None = None,
 ) -> DataFrame:
     """One row: concordant, discordant, tied and comparable pairs (Harrell); a high score means a long life.
 
@@ -24,11 +27,13 @@ def concordance_counts(
     every bit the subjects with equal higher bits and a 1 are counted against the failures with a 0, by running totals
     in score order. Each subject appears once per bit. Totals run inside score blocks (by approximate quantiles; they
     only balance the work) and the blocks' own totals are added, so no bit, rank or score has to fit in one task.
+    ``block_width`` ranks the times in blocks too, for times that are not whole days.
     """
     compact = scored.groupBy(F.col(duration).alias("t"), F.col(score).cast("double").alias("s")).agg(
         F.count("*").alias("n"), F.sum(F.col(event).cast("bigint")).alias("d"))
     times = compact.select(F.col("t").alias("_t")).distinct()
-    ranks = times.withColumn("rank", F.row_number().over(Window.orderBy("_t")) - 1)
+    ranks = running_sum(times.withColumn("_one", F.lit(1)), [], "_t", {"_up_to": "_one"}, block_width).select(
+        "_t", (F.col("_up_to") - 1).cast("int").alias("rank"))
     ranked = compact.join(ranks, F.col("t") == F.col("_t"))
     top_bit = times.agg(F.floor(F.log2(F.greatest(F.count("*"), F.lit(1)))).cast("int")).scalar()
     cuts = [i / blocks for i in range(1, blocks)]
@@ -69,9 +74,10 @@ def concordance_counts(
 
 def concordance(
     scored: DataFrame, duration: str = "duration_worked", event: str = "failed", score: str = "score", blocks: int = 64,
+    block_width: float | None = None,
 ) -> DataFrame:
     """Harrell's index: concordant pairs plus half of the tied ones over comparable ones."""
-    c = concordance_counts(scored, duration, event, score, blocks)
+    c = concordance_counts(scored, duration, event, score, blocks, block_width)
     index = (F.col("concordant").cast("double") + F.col("tied").cast("double") / 2) / F.nullif(
         F.col("comparable").cast("double"), F.lit(0.0))
     return c.withColumn("concordance", index)

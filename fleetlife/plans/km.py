@@ -37,7 +37,7 @@ def curve_from_axis(
         *strata, F.lit(0.0).alias("duration"), F.lit(0).alias("n"), F.lit(0).alias("d"))
     axis = axis.unionByName(origins).withColumn("_neg", -F.col("duration"))
     axis = running_sum(axis, strata, "_neg", {"at_risk": "n"}, block_width).drop("_neg")
-    d, r = F.col("d"), F.col("at_risk")
+    d, r = F.col("d"), F.col("at_risk").cast("double")
     axis = axis.withColumns({
         "_ln": F.when(d < r, F.ln(1 - d / r)).otherwise(F.lit(0.0)),
         "_gw": F.when(d < r, d / (r * (r - d))).otherwise(F.lit(0.0)),

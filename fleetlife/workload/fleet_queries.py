@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.staging_area import new_folder, stage
 from ..operators import anomalies, dims, facts, lifespan, strata
-from ..sources import store
+from ..plans import fleet as fleet_jobs
+from ..sources import facts_store, store
 from . import views as v
 from .registry import query
 
@@ -199,6 +200,48 @@ def normalized_records(spark: SparkSession, sf: str) -> DataFrame:
     return facts.one_per_day(rows)
 
 
+@query("stored_facts", "D1 A20", sql=W + v.T1 + " SELECT drive_id, day, failure, power_on_hours_raw FROM t1 WHERE day BETWEEN 10227 AND 10956")
+def stored_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts through their store, read back for the two years from 1998."""
+    path = new_folder(spark, "facts")
+    facts_store.write_facts(v.telemetry(spark, sf), path)
+    return facts_store.read_facts(spark, path, v.CUT, v.CUT + 729)
+
+
+@query("imported_facts", "D1 E6 D9 D4", sql=W + v.STAGING + """,
+numbered AS (SELECT row_number() OVER (ORDER BY md5(serial_number), serial_number) AS id, serial_number FROM (SELECT DISTINCT serial_number FROM staging))
+SELECT d.id AS drive_id, CAST(date_diff('day', DATE '1970-01-01', CAST(date AS DATE)) AS INTEGER) AS day, max(failure) AS failure,
+  max(power_on_hours_raw) AS power_on_hours_raw FROM staging s JOIN numbered d USING (serial_number) GROUP BY 1, 2""")
+def imported_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """A first import into empty dimensions."""
+    no_models = spark.createDataFrame([], "id bigint, name string")
+    no_drives = spark.createDataFrame([], "id bigint, model_id bigint, serial_number string")
+    imported = fleet_jobs.import_telemetry(
+        v.staging(spark, sf), no_models, no_drives, v.brands(spark, sf), ["failure", "power_on_hours_raw"])
+    return imported.facts
+
+
+@query("learning_frame", "F1 D8 D10 D11 E11", sql=W + ANOMALIES + """,
+clean AS (SELECT d.model_id, failure_day IS NOT NULL AS failed, CAST(coalesce(failure_day, last_day) - first_day AS DOUBLE) AS duration
+  FROM lifespans l JOIN drives d ON d.id = l.drive_id WHERE drive_id NOT IN (SELECT drive_id FROM anomalies)),
+means AS (SELECT model_id, failed, avg(CASE WHEN duration = 0 THEN 0.25 ELSE duration END) AS duration_worked, count(*) AS aggregate_weight
+  FROM clean GROUP BY model_id, failed)
+SELECT model_id, failed, round(duration_worked, 6) AS duration_worked, aggregate_weight, m.name, m.brand_id
+FROM means JOIN models m ON m.id = model_id""")
+def learning_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean durations per model and outcome, with model attributes."""
+    rows = v.raw_telemetry(spark, sf)
+    models, drives = v.models(spark, sf), v.drives(spark, sf)
+    spans, reported = fleet_jobs.preprocess(rows, None, facts.failure_records(rows), drives, models)
+    task = fleet_jobs.learning_task(fleet_jobs.survival_stats(spans, reported, drives), models, ["name", "brand_id"], "aggregated")
+    return task.frame.withColumn("duration_worked", F.round("duration_worked", 6))
+
+
+@query("censored_drives", "E3", sql=W + v.LIFESPANS + " SELECT drive_id FROM lifespans WHERE failure_day IS NULL")
+def censored_drives(spark: SparkSession, sf: str) -> DataFrame:
+    return lifespan.censored_devices(lifespans(spark, sf))
+
+
 @query("failure_records", "C1", sql=W + v.T1 + " SELECT drive_id, day AS failure_day FROM t1 WHERE failure = 1")
 def failure_records(spark: SparkSession, sf: str) -> DataFrame:
     return facts.failure_records(v.telemetry(spark, sf))
