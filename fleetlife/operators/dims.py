@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import number_by_hash
+from ..functions.staging_area import stage
 from ..functions.text import regex_search
 
 # Seed vendors and brands with the patterns of their model names, in matching order.
@@ -63,17 +64,19 @@ def new_models_and_drives(
 ) -> tuple[DataFrame, DataFrame]:
     """Model and drive rows that an import adds: unseen names get ids after the largest known one.
 
-    A serial reported under two models goes to the smaller name. Ids follow the md5 order of the names, so they are
-    the same on every run and numbering needs no global sort.
+    The staging rows are read once, for their distinct (serial, model) pairs, which combine on the map side; what is new
+    among them is stored, and everything else starts from there. A serial reported under two models goes to the smaller
+    name. Ids follow the md5 order of the names, so they are the same on every run and numbering needs no global sort.
     """
-    seen = staging.groupBy(serial).agg(F.min(model).alias("model_name"))
-    fresh = seen.join(drives.select(serial), serial, "left_anti")
+    pairs = staging.select(serial, F.col(model).alias("model_name")).distinct()
+    fresh = pairs.join(drives.select(serial), serial, "left_anti").groupBy(serial).agg(F.min("model_name").alias("model_name"))
+    fresh = stage(fresh, "new-serials")
     unseen_models = fresh.select(F.col("model_name").alias("name")).distinct().join(
         models.select("name"), "name", "left_anti")
     last_model = models.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
-    new_models = number_by_hash(unseen_models, ["name"], "id", last_model).select("id", "name")
-    all_models = models.select(F.col("id").cast("bigint").alias("model_id"), F.col("name").alias("model_name")) \
-        .unionByName(new_models.select(F.col("id").alias("model_id"), F.col("name").alias("model_name")))
+    new_models = stage(number_by_hash(unseen_models, ["name"], "id", last_model).select("id", "name"), "new-models")
+    all_models = models.select("id", "name").unionByName(new_models).select(
+        F.col("id").cast("bigint").alias("model_id"), F.col("name").alias("model_name"))
     last_drive = drives.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
     numbered = number_by_hash(fresh, [serial], "id", last_drive)
     return new_models, numbered.join(all_models, "model_name").select("id", "model_id", serial)
@@ -81,7 +84,8 @@ def new_models_and_drives(
 
 def model_conflicts(staging: DataFrame, serial: str = "serial_number", model: str = "model") -> DataFrame:
     """Serials reported under more than one model name."""
-    return staging.groupBy(serial).agg(F.min(model).alias("kept_model"), F.max(model).alias("other_model")).where(
+    pairs = staging.select(serial, model).distinct()
+    return pairs.groupBy(serial).agg(F.min(model).alias("kept_model"), F.max(model).alias("other_model")).where(
         F.col("kept_model") != F.col("other_model"))
 
 

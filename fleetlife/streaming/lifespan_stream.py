@@ -44,6 +44,11 @@ def current_lifespans(spark: SparkSession, table: str, device: str = "drive_id")
         F.max("failure_day").alias("failure_day"))
 
 
+def compact_changes(spark: SparkSession, table: str, snapshot: str, device: str = "drive_id") -> None:
+    """Write the current state as a new snapshot, so that the many small change files can be retired."""
+    current_lifespans(spark, table, device).write.mode("errorifexists").parquet(snapshot)
+
+
 def daily_failures(events: DataFrame, ts: str = "ts", failure: str = "failure", lateness: str = "1 day") -> DataFrame:
     """Failures and records per calendar day; a day closes when the watermark passes its end, later rows drop.
 

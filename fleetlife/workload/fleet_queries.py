@@ -244,7 +244,7 @@ def censored_drives(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("failure_records", "C1", sql=W + v.T1 + " SELECT drive_id, day AS failure_day FROM t1 WHERE failure = 1")
 def failure_records(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.failure_records(v.telemetry(spark, sf))
+    return facts.failure_records(v.raw_telemetry(spark, sf)).distinct()
 
 
 @query("used_after_failure", "C2", sql=W + v.LIFESPANS + """
@@ -276,8 +276,9 @@ def records_within_lifespan(spark: SparkSession, sf: str) -> DataFrame:
 SELECT t1.drive_id, t1.day FROM t1 JOIN lifespans l ON l.drive_id = t1.drive_id
 WHERE l.failure_day IS NOT NULL AND t1.day BETWEEN l.first_day AND l.last_day AND failure = 1""")
 def failures_within_lifespan(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.telemetry(spark, sf).select("drive_id", "day", "failure")
-    return facts.records_within_lifespan(rows, lifespans(spark, sf), only=F.col("failure") == 1).drop("failure")
+    rows = v.raw_telemetry(spark, sf).select("drive_id", "day", "failure")
+    inside = facts.records_within_lifespan(rows, lifespans(spark, sf), only=F.col("failure") == 1)
+    return inside.select("drive_id", "day").distinct()
 
 
 @query("drives_without_stats", "D7", sql=W + v.T1_RAW + """

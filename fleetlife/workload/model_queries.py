@@ -24,17 +24,15 @@ DATE_TEXT = """CASE p_partkey % 4 WHEN 0 THEN (2000 + p_size % 17) || '-' || lpa
 
 def model_lines(spark: SparkSession, sf: str) -> DataFrame:
     date = F.expr(DATE_TEXT.format("string"))
-    line = (
-        F.when(F.col("p_partkey") % 11 == 10, F.lit("# only a comment"))
-        .when(F.col("p_partkey") % 13 == 12, F.lit("   "))
-        .otherwise(F.concat(
-            F.col("p_partkey").cast("string"), F.lit("\t\t"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("\t "), F.col("p_name"),
-            F.coalesce(F.concat(F.lit("\t"), date), F.lit("")), F.lit(" # seen"))))
-    return v.table(spark, sf, "part").select("p_partkey", line.alias("line"))
+    line = F.concat(
+        F.col("p_partkey").cast("string"), F.lit("\t\t"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("\t "),
+        F.col("p_name"), F.coalesce(F.concat(F.lit("\t"), date), F.lit("")), F.lit(" # seen"))
+    lines = F.array(F.lit("# only a comment"), line, F.lit("   "))
+    return v.table(spark, sf, "part").select("p_partkey", F.explode(lines).alias("line"))
 
 
 LINES = f"""lines AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS db_id, replace(p_brand, '#', '-') AS brand, p_name AS model,
-  {DATE_TEXT.format('VARCHAR')} AS first_known_date FROM part WHERE p_partkey % 11 <> 10 AND p_partkey % 13 <> 12)"""
+  {DATE_TEXT.format('VARCHAR')} AS first_known_date FROM part)"""
 TYPED = LINES + """, typed AS (SELECT upper(model) AS model, p_partkey, CAST(date_diff('day', DATE '2000-01-01', CAST(
   first_known_date || CASE length(first_known_date) WHEN 4 THEN '-01-01' WHEN 7 THEN '-01' ELSE '' END AS DATE)) AS INTEGER)
   AS first_known_date FROM lines),
@@ -122,7 +120,7 @@ def decoded_attributes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _enriched(spark: SparkSession, sf: str) -> DataFrame:
-    table = attribute_table(spark, sf).where(F.col("first_known_date") % 2 == 0).select(
+    table = attribute_table(spark, sf).where(F.col("first_known_date").isNotNull()).select(
         F.lower("model").alias("model"), "first_known_date", F.lit("listed").alias("shape"))
     enrichers = {
         "rules": enrich.rule_enricher([r for r in RULES if r.attribute == "shape"]),
@@ -132,7 +130,7 @@ def _enriched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ENRICHED = TYPED + ", " + DECODED + """,
-side AS (SELECT lower(model) AS model, first_known_date FROM latest WHERE first_known_date % 2 = 0),
+side AS (SELECT lower(model) AS model, first_known_date FROM latest WHERE first_known_date IS NOT NULL),
 enriched AS (SELECT p_partkey, name, CASE WHEN side.model IS NOT NULL THEN 'listed' ELSE shape END AS shape, side.first_known_date,
   CAST((CASE WHEN shape IS NULL THEN 1 ELSE 0 END) | (CASE WHEN side.model IS NULL THEN 2 ELSE 0 END) AS INTEGER) AS missed
   FROM decoded LEFT JOIN side ON side.model = decoded.name)"""
@@ -348,7 +346,7 @@ def staged_csv(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.staging(spark, sf).select(*[F.col(c).cast("string") for c in names])
     stray = spark.createDataFrame([tuple(names)], names)
     rows.unionByName(stray).write.option("header", True).csv(f"{root}/data_2016")
-    rows.limit(5).write.option("header", True).csv(f"{root}/MACOSX/data_2016")
+    stray.write.option("header", False).csv(f"{root}/MACOSX/data_2016")
     schema = T.StructType([
         T.StructField("date", T.StringType()), T.StructField("serial_number", T.StringType()),
         T.StructField("model", T.StringType()), T.StructField("failure", T.IntegerType()),
