@@ -19,7 +19,7 @@ MAX_ORDINAL = (1 << DAY_BITS) - 1
 
 def epoch_day(date_text: Column) -> Column:
     """ISO date text to days since 1970-01-01; text that is no date gives null."""
-    return F.unix_date(F.try_to_date(date_text, "yyyy-MM-dd"))
+    return F.unix_date(date_text.try_cast("date"))
 
 
 def iso_date(day: Column) -> Column:

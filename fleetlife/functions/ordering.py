@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 HASH_BLOCK_DIGITS = 3  # 16 ** 3 blocks: the only table that is ordered as a whole has at most 4,096 rows
 
 
-def _with_block_offsets(df: DataFrame, block: str, offset: str) -> DataFrame:
-    """Adds the number of rows in all smaller blocks. The block table has a fixed bound, so it may be broadcast."""
-    sizes = df.groupBy(block).agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(block, F.coalesce(before, F.lit(0)).alias(offset), F.col("_size").alias("_block_size"))
-    return df.join(F.broadcast(offsets), block)
+def _with_block_offsets(df: DataFrame, block: str, offset: str, parts: Sequence[str] = ()) -> DataFrame:
+    """Adds the number of rows in all smaller blocks (of the same part). The block table has a fixed bound, so it may be
+    broadcast."""
+    sizes = df.groupBy(*parts, block).agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*parts).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.sum("_size").over(earlier)
+    offsets = sizes.select(*parts, block, F.coalesce(before, F.lit(0)).alias(offset), F.col("_size").alias("_block_size"))
+    return df.join(F.broadcast(offsets), [*parts, block])
 
 
 def number_by_hash(df: DataFrame, key: Sequence[str], out: str, start: Column | int = 0) -> DataFrame:
@@ -33,21 +35,23 @@ def number_by_hash(df: DataFrame, key: Sequence[str], out: str, start: Column |
         "_md5", "_block", "_before", "_block_size")
 
 
-def smallest_by_hash(df: DataFrame, key: Sequence[str], how_many: Column, seed: int) -> DataFrame:
-    """Exactly ``how_many`` rows (a scalar expression), chosen by the seeded md5 order of their key.
+def smallest_by_hash(
+    df: DataFrame, key: Sequence[str], how_many: Column, seed: int, parts: Sequence[str] = (),
+) -> DataFrame:
+    """Exactly ``how_many`` rows, chosen by the seeded md5 order of their key.
 
-    Whole hash blocks below the cut are kept as they are; only the one block on the cut is ordered.
+    ``parts`` are flag-like columns without nulls: each of their values is drawn from on its own, and ``how_many`` may
+    depend on them. Whole hash blocks below the cut are kept as they are; only the one block on the cut is ordered.
     """
     digest = F.md5(F.concat_ws("\t", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
     hashed = df.withColumn("_md5", digest).withColumn("_block", F.substring("_md5", 1, HASH_BLOCK_DIGITS))
-    placed = _with_block_offsets(hashed, "_block", "_before").withColumn("_k", how_many)
+    placed = _with_block_offsets(hashed, "_block", "_before", parts).withColumn("_k", how_many)
     placed = placed.where(F.col("_before") < F.col("_k"))
     on_cut = F.col("_before") + F.col("_block_size") > F.col("_k")
     rest = [c for c in df.columns if c not in key]
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy("_md5", *key, *rest))
+    rank = F.row_number().over(Window.partitionBy(*parts, "_block").orderBy("_md5", *key, *rest))
     cut = placed.where(on_cut).withColumn("_rank", rank).where(F.col("_before") + F.col("_rank") <= F.col("_k"))
-    helper = ["_md5", "_block", "_before", "_block_size", "_k", "_rank"]
-    return placed.where(~on_cut).drop(*helper).unionByName(cut.drop(*helper))
+    return placed.where(~on_cut).select(*df.columns).unionByName(cut.select(*df.columns))
 
 
 def running_sum(

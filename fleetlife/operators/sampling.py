@@ -15,7 +15,7 @@ def keep_failures_sample(
 ) -> DataFrame:
     """``floor(n * fraction)`` subjects: all failures and a sample of survivors, or a sample of failures alone.
 
-    The sizes are scalar subqueries, so the plan stays lazy, and the chosen rows are exact and repeatable.
+    The sizes come from a scalar subquery, so the plan stays lazy, and the chosen rows are exact and repeatable.
     """
     if not 0.0 < fraction <= 1.0:
         raise ValueError("fraction must be in (0, 1]")
@@ -23,11 +23,10 @@ def keep_failures_sample(
         return subjects
     quota = F.floor(F.count("*") * F.lit(fraction))
     failures = F.count_if(F.col(failed))
-    for_failed = subjects.agg(F.least(quota, failures)).scalar()
-    for_alive = subjects.agg(F.greatest(quota - failures, F.lit(0))).scalar()
-    chosen_failed = smallest_by_hash(subjects.where(F.col(failed)), key, for_failed, seed)
-    chosen_alive = smallest_by_hash(subjects.where(~F.col(failed)), key, for_alive, seed)
-    return chosen_failed.unionByName(chosen_alive)
+    sizes = subjects.agg(F.struct(
+        F.least(quota, failures).alias("failed"), F.greatest(quota - failures, F.lit(0)).alias("alive")).alias("sizes")).scalar()
+    how_many = F.when(F.col(failed), sizes["failed"]).otherwise(sizes["alive"])
+    return smallest_by_hash(subjects, key, how_many, seed, parts=[failed])
 
 
 def sorted_by_duration(subjects: DataFrame, key: Sequence[str], duration: str = "duration_worked") -> DataFrame:

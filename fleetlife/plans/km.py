@@ -119,10 +119,9 @@ def binned_curves(
     strata = [secondary] if secondary else []
     binned = with_bins(known, primary, doane_bins(known, primary))
     axis = survival_axis(binned, ["bin", "bin_left", "bin_top", *strata], duration, event)
-    following = Window.orderBy("bin_left")
-    bins = axis.select("bin_left", "bin_top").distinct()  # a few dozen rows by Doane's rule
-    edges = bins.select(
-        F.col("bin_left").alias("_left"), F.coalesce(F.lead("bin_left").over(following), "bin_top").alias("bin_right"))
-    axis = axis.join(edges, F.col("bin_left") == F.col("_left")).drop("_left", "bin_top", "bin")
+    following = Window.orderBy("bin")
+    bins = axis.select("bin", "bin_left", "bin_top").distinct()  # a few dozen rows by Doane's rule
+    edges = bins.select("bin", F.coalesce(F.lead("bin_left").over(following), "bin_top").alias("bin_right"))
+    axis = axis.join(edges, "bin").drop("bin_top", "bin")
     label = F.concat(F.lit("["), F.col("bin_left").cast("string"), F.lit(", "), F.col("bin_right").cast("string"), F.lit(")"))
     return curve_from_axis(axis, ["bin_left", "bin_right", *strata], confidence).withColumn("label", label)

@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import schema_tools
 from ..functions.staging_area import new_folder, stage
-from ..operators import enrich, lifespan
+from ..operators import enrich, lifespan, sampling
 from ..plans import cox, evaluate, explain, impute, roles, score, weibull
 from ..sources import store
 from ..streaming import lifespan_stream
 from . import fleet_queries as fleet
-from . import survival_queries as survival
 from . import views as v
 from .registry import query
 
@@ -272,12 +271,33 @@ def staged_lifespans(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("drives"), F.sum(F.col("last_day") - F.col("first_day")).alias("days"))
 
 
-@query("fitted_survival", "F6 F8 F9")
+def _fitted_sql(steps: int) -> str:
+    """Unrolled Newton steps for one feature, then baseline and areas."""
+    text = W + v.SV + """,
+c AS (SELECT duration_worked AS t, l_quantity AS x, count(*)::DOUBLE AS w, sum(failed::INT)::DOUBLE AS d FROM sv GROUP BY ALL),
+mu AS (SELECT sum(w * x) / sum(w) AS m FROM c), b0 AS (SELECT 0.0e0 AS b)"""
+    for k in range(steps):
+        text += f""",
+a{k} AS (SELECT t, sum(d) AS d, sum(d * x) AS dx, sum(w * e) AS s, sum(w * e * x) AS sx, sum(w * e * x * x) AS sxx
+  FROM (SELECT c.*, exp(b * (x - m)) AS e FROM c, b{k}, mu) GROUP BY t),
+r{k} AS (SELECT t, d, dx, sum(s) OVER w AS s, sum(sx) OVER w AS sx, sum(sxx) OVER w AS sxx FROM a{k} WINDOW w AS (ORDER BY t DESC)),
+b{k + 1} AS (SELECT any_value(b) + (sum(dx) - sum(d * sx / s)) / sum(d * (sxx / s - (sx / s) ** 2)) AS b FROM r{k}, b{k})"""
+    return text + f""",
+haz AS (SELECT t, sum(w * exp(b * (x - m))) AS r, sum(d) AS d FROM c, b{steps}, mu GROUP BY t),
+h AS (SELECT t, d / sum(r) OVER (ORDER BY t DESC) AS hazard FROM haz),
+base AS (SELECT t, sum(hazard) OVER (ORDER BY t) AS ch FROM h UNION ALL SELECT 0.0e0, 0.0e0),
+lines AS (SELECT x, t, exp(-ch * exp(b * (x - m))) AS s FROM base, (SELECT DISTINCT x FROM c), b{steps}, mu),
+legs AS (SELECT x, t, s, lead(t) OVER (PARTITION BY x ORDER BY t) AS t2, lead(s) OVER (PARTITION BY x ORDER BY t) AS s2 FROM lines),
+areas AS (SELECT x, sum((t2 - t) * (s + s2) / 2) AS area FROM legs GROUP BY x)
+SELECT l_orderkey, l_linenumber, round(area, 3) AS predicted_survival FROM sv JOIN areas ON x = l_quantity"""
+
+
+@query("fitted_survival", "F6 F8 F9", sql=_fitted_sql(6))
 def fitted_survival(spark: SparkSession, sf: str) -> DataFrame:
     """Cox fit, baseline and expected lifetime on the same subjects."""
     rows = v.subjects(spark, sf, "l_quantity")
-    model = cox.fit_cox(rows, ["l_quantity"], max_steps=5)
+    model = cox.fit_cox(rows, ["l_quantity"])
     eta = model.log_hazard()
     out = cox.expected_survival(rows, eta, cox.baseline_hazard(rows, eta))
-    return survival.sampling.sorted_by_prediction(
-        out.select("l_orderkey", "l_linenumber", "predicted_survival"), ["l_orderkey", "l_linenumber"])
+    out = out.select("l_orderkey", "l_linenumber", F.round("predicted_survival", 3).alias("predicted_survival"))
+    return sampling.sorted_by_prediction(out, ["l_orderkey", "l_linenumber"])
