@@ -22,22 +22,28 @@ W = "WITH "
 PAIR = ["l_quantity", "l_tax"]
 
 
-def _newton_sql(steps: int) -> str:
-    """Unrolled Newton steps of the two-feature Breslow likelihood."""
-    text = W + v.SV + """,
-c AS (SELECT duration_worked AS t, l_quantity AS x, l_tax AS y, count(*)::DOUBLE AS w, sum(failed::INT)::DOUBLE AS d FROM sv GROUP BY ALL),
+PAIR_ROWS = """c AS (SELECT duration_worked AS t, l_quantity AS x, l_tax AS y, count(*)::DOUBLE AS w, sum(failed::INT)::DOUBLE AS d FROM sv GROUP BY ALL)"""
+
+
+def _newton_ctes(rows: str, steps: int) -> str:
+    """Unrolled Newton steps of the two-feature Breslow likelihood over ``c(t, x, y, w, d)``; ends in ``b<steps>``."""
+    text = f"""{rows}, mu AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM c),
 b0 AS (SELECT 0.0e0 AS bx, 0.0e0 AS byy)"""
     for k in range(steps):
         text += f""",
 a{k} AS (SELECT t, sum(d) AS d, sum(d * x) AS dx, sum(d * y) AS dy, sum(w * e) AS s, sum(w * e * x) AS sx, sum(w * e * y) AS sy,
   sum(w * e * x * x) AS sxx, sum(w * e * x * y) AS sxy, sum(w * e * y * y) AS syy
-  FROM (SELECT c.*, exp(bx * (x - 25) + byy * (y - 0.04e0)) AS e FROM c, b{k}) GROUP BY t),
+  FROM (SELECT t, w, d, x - mx AS x, y - my AS y, exp(bx * (x - mx) + byy * (y - my)) AS e FROM c, b{k}, mu) GROUP BY t),
 r{k} AS (SELECT t, d, dx, dy, sum(s) OVER w AS s, sum(sx) OVER w AS sx, sum(sy) OVER w AS sy, sum(sxx) OVER w AS sxx,
   sum(sxy) OVER w AS sxy, sum(syy) OVER w AS syy FROM a{k} WINDOW w AS (ORDER BY t DESC)),
 g{k} AS (SELECT sum(dx) - sum(d * sx / s) AS gx, sum(dy) - sum(d * sy / s) AS gy, sum(d * (sxx / s - (sx / s) ** 2)) AS hxx,
   sum(d * (sxy / s - sx * sy / (s * s))) AS hxy, sum(d * (syy / s - (sy / s) ** 2)) AS hyy FROM r{k}),
 b{k + 1} AS (SELECT bx + (hyy * gx - hxy * gy) / (hxx * hyy - hxy * hxy) AS bx, byy + (hxx * gy - hxy * gx) / (hxx * hyy - hxy * hxy) AS byy FROM b{k}, g{k})"""
-    return text + f"""
+    return text
+
+
+def _newton_sql(steps: int) -> str:
+    return W + v.SV + ", " + _newton_ctes(PAIR_ROWS, steps) + f"""
 SELECT 'l_quantity' AS feature, round(bx, 6) + 0 AS coefficient FROM b{steps} UNION ALL SELECT 'l_tax', round(byy, 6) + 0 FROM b{steps}"""
 
 
@@ -176,14 +182,37 @@ def nan_report(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.count_nan(rows, ["ratio", "l_quantity"])
 
 
-@query("scored_models", "F17")
+SCORED = W + v.SV + ", " + _newton_ctes("""c AS (SELECT duration_worked AS t, p_size::DOUBLE AS x, length(p_name)::DOUBLE AS y, count(*)::DOUBLE AS w,
+  sum(failed::INT)::DOUBLE AS d FROM sv GROUP BY ALL)""", 6) + """,
+beta AS (SELECT * FROM b6, mu),
+haz AS (SELECT t, sum(w * exp(bx * (x - mx) + byy * (y - my))) AS r, sum(d) AS d FROM c, beta GROUP BY t),
+h AS (SELECT t, d / sum(r) OVER (ORDER BY t DESC) AS hazard FROM haz),
+base AS (SELECT t, sum(hazard) OVER (ORDER BY t) AS ch FROM h UNION ALL SELECT 0.0e0, 0.0e0),
+cells AS (SELECT DISTINCT p_size AS sx, length(p_name) AS sy FROM part),
+lines AS (SELECT sx, sy, t, exp(-ch * exp(bx * (sx - mx) + byy * (sy - my))) AS s FROM base, cells, beta),
+legs AS (SELECT *, lead(t) OVER (PARTITION BY sx, sy ORDER BY t) AS t2, lead(s) OVER (PARTITION BY sx, sy ORDER BY t) AS s2 FROM lines),
+areas AS (SELECT sx, sy, sum((t2 - t) * (s + s2) / 2) AS area FROM legs GROUP BY sx, sy),
+phi AS (SELECT part.*, area, bx * (p_size - mx) AS f1, byy * (length(p_name) - my) AS f2 FROM part JOIN areas ON sx = p_size AND sy = length(p_name), beta),
+share AS (SELECT *, f1 / (f1 + f2) AS s1, f2 / (f1 + f2) AS s2, greatest(abs(f1 / (f1 + f2)), abs(f2 / (f1 + f2))) / 50 AS lim,
+  DATE '2020-01-01' AS a, DATE '2020-01-01' + CAST(floor(area) AS INTEGER) AS z FROM phi),
+months AS (SELECT *, (year(z) - year(a)) * 12 + month(z) - month(a) - CASE WHEN day(z) < day(a) THEN 1 ELSE 0 END AS mm FROM share)
+SELECT p_name || '-' || p_partkey AS name, p_brand AS vendor, p_size::DOUBLE AS size, length(p_name)::DOUBLE AS name_length,
+  nullif(regexp_extract(p_name, '\\b(red|blue|green|black)\\b', 1), '') AS colour,
+  CAST(CASE WHEN regexp_matches(p_name, '\\b(red|blue|green|black)\\b') THEN 0 ELSE 1 END AS INTEGER) AS missed, round(area, 3) AS predicted_survival,
+  CASE WHEN mm // 12 <> 0 THEN (mm // 12) || ' y, ' ELSE '' END || CASE WHEN mm % 12 <> 0 THEN (mm % 12) || ' m, ' ELSE '' END
+  || date_diff('day', CAST(a + to_months(CAST(mm AS INTEGER)) AS DATE), CAST(z AS DATE)) || ' d' AS fancy_time,
+  CASE WHEN abs(s1) > lim THEN round(s1, 6) END AS by_size, CASE WHEN abs(s2) > lim THEN round(s2, 6) END AS by_name_length,
+  round(CASE WHEN abs(s1) > lim THEN 0 ELSE s1 END + CASE WHEN abs(s2) > lim THEN 0 ELSE s2 END, 6) + 0 AS by_other FROM months"""
+
+
+@query("scored_models", "F17", sql=SCORED)
 def scored_models(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as unseen models: attributes by rules, expected lifetime by a Cox model, explained and sorted."""
     p = v.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("size"),
                                           F.length("p_name").cast("double").alias("name_length"))
     train = v.subjects(spark, sf).join(p, "l_partkey")
     features = ["size", "name_length"]
-    model = cox.fit_cox(train, features, max_steps=5)
+    model = cox.fit_cox(train, features)
     baseline = cox.baseline_hazard(train, model.log_hazard())
 
     def predict(rows: DataFrame) -> DataFrame:
@@ -194,7 +223,11 @@ def scored_models(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("-", F.col("p_name"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_brand").alias("vendor"),
         F.col("p_size").cast("double").alias("size"), F.length("p_name").cast("double").alias("name_length"))
     enrichers = {"rules": enrich.rule_enricher([enrich.Rule("colour", r"\b(red|blue|green|black)\b")])}
-    return score.score_models(requests, enrichers, predict, features, datetime.date(2020, 1, 1))
+    out = score.score_models(requests, enrichers, predict, features, datetime.date(2020, 1, 1))
+    why = F.col("explanation")
+    return out.withColumns({
+        "predicted_survival": F.round("predicted_survival", 3), "by_size": F.round(why["size"], 6),
+        "by_name_length": F.round(why["name_length"], 6), "by_other": F.round(why[explain.OTHER], 6) + 0}).drop("explanation")
 
 
 @query("streamed_lifespans", "S1", sql=W + v.T2 + """
