@@ -215,7 +215,7 @@ def fit_boosted_cox(
 
     Each round takes two totals along the duration axis, joins them back to the compacted subjects (the axis has one
     row per distinct duration; Catalyst broadcasts it when it is below the size threshold), and fits one weighted
-    regression tree to the Newton target. Lineage is cut by reliable checkpoints.
+    regression tree to the Newton target. Lineage is cut by stored copies.
     """
     features = list(features)
     assembler = VectorAssembler(inputCols=features, outputCol="_features")

@@ -8,10 +8,12 @@ from collections.abc import Callable, Mapping, Sequence
 from statistics import fmean, pstdev
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import running_sum
+from ..functions.staging_area import stage
 
 WIDE = "decimal(38,0)"
 
@@ -31,6 +33,7 @@ def concordance_counts(
     """
     compact = scored.groupBy(F.col(duration).alias("t"), F.col(score).cast("double").alias("s")).agg(
         F.count("*").alias("n"), F.sum(F.col(event).cast("bigint")).alias("d"))
+    compact = stage(compact, "scored")  # read four times below, and scoring may be expensive
     times = compact.select(F.col("t").alias("_t")).distinct()
     ranks = running_sum(times.withColumn("_one", F.lit(1)), [], "_t", {"_up_to": "_one"}, block_width).select(
         "_t", (F.col("_up_to") - 1).cast("int").alias("rank"))
@@ -127,27 +130,41 @@ def random_points(space: Mapping[str, tuple[float, float] | Sequence[Any]], tria
     return points
 
 
+TRIAL_SCHEMA = "trial int, point string, value double"
+
+
+def logged_trials(spark: SparkSession, log: str) -> dict[int, tuple[str, float]]:
+    """Trials of a search so far; none when the log does not exist yet."""
+    try:
+        rows = spark.read.schema(TRIAL_SCHEMA).json(log).collect()  # one row per trial
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {r["trial"]: (r["point"], r["value"]) for r in rows}
+
+
+def best_point(spark: SparkSession, log: str) -> dict[str, Any]:
+    """Hyper-parameters of the best logged trial."""
+    text, _value = max(logged_trials(spark, log).values(), key=lambda t: t[1])
+    return json.loads(text)
+
+
 def search_hyperparameters(
     spark: SparkSession, space: Mapping[str, Any], evaluate: Callable[[dict[str, Any]], float], trials: int, log: str,
     seed: int = 0,
 ) -> dict[str, Any]:
     """Random search for the largest value. Every trial is appended to ``log`` (JSON, in the shared folder) at once,
     so an interrupted search goes on where it stopped; returns the best point and its value."""
-    schema = "trial int, point string, value double"
-    try:
-        done = {r["trial"]: r for r in spark.read.schema(schema).json(log).collect()}
-    except Exception as e:  # the log does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = {}
+    done = logged_trials(spark, log)
     results = []
     for k, point in enumerate(random_points(space, trials, seed)):
         text = json.dumps(point, sort_keys=True)
-        if k in done and done[k]["point"] == text:
-            results.append((done[k]["value"], point))
+        if k in done and done[k][0] == text:
+            results.append((done[k][1], point))
             continue
         value = float(evaluate(point))
-        spark.createDataFrame([(k, text, value)], schema).coalesce(1).write.mode("append").json(log)
+        spark.createDataFrame([(k, text, value)], TRIAL_SCHEMA).coalesce(1).write.mode("append").json(log)
         results.append((value, point))
     value, point = max(results, key=lambda r: r[0])
     return {"value": value, "point": point, "trials": len(results)}

@@ -74,12 +74,17 @@ def nested_curves(
     """
     fine = survival_axis(
         subjects.where(F.col(primary).isNotNull() & F.col(secondary).isNotNull()), [primary, secondary], duration, event)
+    return curve_from_axis(_with_levels(fine, [primary], secondary, overall), ["level", primary, secondary], confidence)
+
+
+def _with_levels(fine: DataFrame, primary: Sequence[str], secondary: str, overall: bool) -> DataFrame:
+    """The axis per secondary value, and, when ``overall``, its sums over them."""
     axis = fine.withColumn("level", F.lit("secondary"))
-    if overall:
-        coarse = fine.groupBy(primary, "duration").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-        nothing = F.lit(None).cast(fine.schema[secondary].dataType)
-        axis = axis.unionByName(coarse.withColumn(secondary, nothing).withColumn("level", F.lit("primary")))
-    return curve_from_axis(axis, ["level", primary, secondary], confidence)
+    if not overall:
+        return axis
+    coarse = fine.groupBy(*primary, "duration").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    nothing = F.lit(None).cast(fine.schema[secondary].dataType)
+    return axis.unionByName(coarse.withColumn(secondary, nothing).withColumn("level", F.lit("primary")))
 
 
 def doane_bins(values: DataFrame, column: str) -> DataFrame:
@@ -106,12 +111,13 @@ def with_bins(df: DataFrame, column: str, rule: DataFrame) -> DataFrame:
 
 def binned_curves(
     subjects: DataFrame, primary: str, secondary: str | None = None, duration: str = "duration_worked",
-    event: str = "failed", confidence: float = 0.95,
+    event: str = "failed", confidence: float = 0.95, overall: bool = False,
 ) -> DataFrame:
     """Curves per bin of a numeric attribute (and per secondary value inside it).
 
     Bin numbers come from arithmetic on two global aggregates, in the same pass that compacts to the duration axis.
-    Empty bins join the bin before them; ``label`` is ``[low, high)``.
+    Empty bins join the bin before them; ``label`` is ``[low, high)``. With a secondary attribute, ``overall`` adds one
+    curve per bin, as in ``nested_curves``.
     """
     known = subjects.where(F.col(primary).isNotNull())
     if secondary is not None:
@@ -123,5 +129,25 @@ def binned_curves(
     bins = axis.select("bin", "bin_left", "bin_top").distinct()  # a few dozen rows by Doane's rule
     edges = bins.select("bin", F.coalesce(F.lead("bin_left").over(following), "bin_top").alias("bin_right"))
     axis = axis.join(edges, "bin").drop("bin_top", "bin")
+    if secondary is not None and overall:
+        axis, strata = _with_levels(axis, ["bin_left", "bin_right"], secondary, True), ["level", *strata]
     label = F.concat(F.lit("["), F.col("bin_left").cast("string"), F.lit(", "), F.col("bin_right").cast("string"), F.lit(")"))
     return curve_from_axis(axis, ["bin_left", "bin_right", *strata], confidence).withColumn("label", label)
+
+
+# The named views of a fleet: name -> (primary, secondary, overall curve per primary value).
+NAMED_VIEWS = {
+    "vendor": ("vendor_id", None, False), "model": ("model_id", None, False), "brand": ("brand_id", "model_id", True),
+    "series": ("brand_id", "series", True), "family": ("brand_id", "family", False),
+    "capacity": ("capacity", "model_id", True),
+}
+
+
+def named_view(subjects: DataFrame, name: str) -> DataFrame:
+    """One of the usual views over subjects joined with their model attributes; any other name is an attribute."""
+    primary, secondary, overall = NAMED_VIEWS.get(name, (name, None, False))
+    if name == "capacity":
+        return binned_curves(subjects, primary, secondary, overall=overall)
+    if secondary is not None:
+        return nested_curves(subjects, primary, secondary, overall=overall)
+    return survival_curve(subjects.where(F.col(primary).isNotNull()), [primary])

@@ -23,6 +23,7 @@ MIN_SHAPE = 1e-2
 
 SHAPE_RANGE = (1e-3, 1e3)
 NEWTON_STEPS = 30
+SETTLED = 1e-6  # convergence is quadratic: after such a step the error is its square
 
 
 def fit_weibull_groups(
@@ -35,7 +36,7 @@ def fit_weibull_groups(
     per group and one aggregation that combines on the map side: no group is ever gathered in a task, so a group with
     a third of all subjects, or with durations that are not whole days, costs no more than any other. Steps are Newton
     steps on the log shape, replaced by bisection when they would leave the bracket, and end when all groups stand
-    still. The result is checkpointed. Group keys must not be null.
+    still. The result is stored. Group keys must not be null.
     """
     keys = list(groups)
     compact = subjects.groupBy(*keys, fix_zero(F.col(duration)).alias("_t")).agg(
@@ -77,7 +78,7 @@ def fit_weibull_groups(
             *keys, "_events", "_top", "_mean", "_lo", "_hi", F.col("_next").alias("_shape"),
             F.abs(F.ln(F.col("_next") / shape)).alias("_moved")), "weibull-step")
         moved = state.agg(F.max("_moved")).first()[0]
-        if moved is None or moved < 1e-11:
+        if moved is None or moved < SETTLED:
             break
     fitted = sums(state).select(
         *keys, shape.alias("weibull_shape"),

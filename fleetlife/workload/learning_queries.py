@@ -95,6 +95,20 @@ def cross_validated_cox(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, x) for k, x in enumerate(out["folds"])], "fold int, concordance double")
 
 
+@query("cross_validated_weibull", "F13 F10")
+def cross_validated_weibull(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected lifetimes from attributes, learned on the other folds' groups, against the held-out subjects."""
+    rows = v.subjects_with_brand(spark, sf).withColumn("size", F.col("p_size").cast("double"))
+
+    def fit(train: DataFrame, held_out: DataFrame) -> DataFrame:
+        fits = weibull.accepted_fits(weibull.fit_weibull_groups(train, ["size"]))
+        model = weibull.fit_weibull_from_attributes(fits, ["size"], max_iter=3, max_depth=3)
+        return model.predict(held_out).withColumn("score", F.col("predicted_survival"))
+
+    out = evaluate.cross_validate(rows, ["l_orderkey", "l_linenumber"], fit, folds=2)
+    return spark.createDataFrame([(k, x) for k, x in enumerate(out["folds"])], "fold int, concordance double")
+
+
 @query("hyperparameter_search", "F14")
 def hyperparameter_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = stage(drive_subjects(spark, sf), "search")

@@ -108,3 +108,28 @@ def test_histogram_levels(spark):
     df = spark.createDataFrame([("v", "m", 3), ("v", "n", 3), (None, "k", 3)], "vendor string, model string, days int")
     got = {(r.level, r.vendor, r.model): r.n for r in strata.lifespan_histogram(df, ["vendor", "model"], "days").collect()}
     assert got[0, None, None] == 3 and got[1, "v", None] == 2 and got[2, "v", "m"] == 1 and got[1, None, None] == 1
+
+
+def test_hot_device_changes_nothing(spark):
+    """One device with a third of all rows, against plain Python."""
+    rows = [(7 if i % 3 == 0 else i % 200, (i * 37) % 900, int(i % 211 == 0), i % 5000) for i in range(6000)]
+    best = {}
+    for device, day, failure, hours in rows:
+        f, h = best.get((device, day), (0, 0))
+        best[device, day] = (max(f, failure), max(h, hours))
+    spans = {}
+    for (device, day), (failure, hours) in best.items():
+        spans.setdefault(device, {})[day] = (failure, hours)
+    want = {}
+    for device, days in spans.items():
+        failed = [d for d, (f, _) in days.items() if f]
+        last = max(failed) if failed else None
+        want[device] = (min(days), max(days), last, days[min(days)][1], days[max(days)][1], days[last][1] if failed else None)
+    df = spark.createDataFrame(rows, "drive_id int, day int, failure int, power_on_hours_raw long").repartition(13)
+    once = facts.one_per_day(df)
+    got = {r[0]: tuple(r)[1:] for r in lifespan.lifespans_with_hours(once).select(
+        "drive_id", "first_day", "last_day", "failure_day", "first_hours", "last_hours", "failure_hours").collect()}
+    assert got == want
+    many = {r["drive_id"]: r["failure_days"] for r in anomalies.multiple_failures(facts.failure_records(df)).collect()}
+    assert many == {d: sorted(k for k, (f, _) in days.items() if f) for d, days in spans.items()
+                    if sum(f for f, _ in days.values()) > 1}

@@ -66,6 +66,18 @@ def test_bins_lose_nothing(spark):
     assert all(a[1] == b[0] for a, b in zip(edges, edges[1:]))
 
 
+def test_named_views(spark):
+    df = frame(spark, [3, 4, 5, 6], [1, 1, 0, 1], model_id=["a", "a", "b", "c"], brand_id=["x", "x", "x", "y"],
+               capacity=[1.0, 1.0, 4.0, 9.0], vendor_id=["v", "v", "v", "w"])
+    assert {r.vendor_id for r in km.named_view(df, "vendor").collect()} == {"v", "w"}
+    brand = km.named_view(df, "brand").collect()
+    assert {(r.level, r.brand_id, r.model_id) for r in brand} == {
+        ("secondary", "x", "a"), ("secondary", "x", "b"), ("secondary", "y", "c"), ("primary", "x", None), ("primary", "y", None)}
+    capacity = km.named_view(df, "capacity").collect()
+    assert {r.level for r in capacity} == {"primary", "secondary"}
+    assert max(r.at_risk for r in capacity if r.level == "primary" and r.bin_left == 1.0) == 2
+
+
 def test_constant_attribute_is_one_bin(spark):
     rows = km.binned_curves(frame(spark, [1, 2, 3], [1, 1, 0], x=[5.0, 5.0, 5.0]), "x").collect()
     assert {r.label for r in rows} == {"[5.0, 5.0)"}
@@ -231,6 +243,7 @@ def test_search_resumes(spark, tmp_path):
     evaluate.search_hyperparameters(spark, space, value, 3, log)
     best = evaluate.search_hyperparameters(spark, space, value, 6, log)
     assert len(calls) == 6 and best["trials"] == 6
+    assert evaluate.best_point(spark, log) == best["point"]
     assert best["value"] == max(-abs(p["rate"] - 0.3) for p in calls)
 
 
