@@ -17,7 +17,7 @@ from fleetlife.llm.common import share_code, slices
 K = 3
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SLACK = 2  # neighbouring diagonals: that many inserted or left-out words
-SHARE = 0.8  # of a notice's words that must stand in the text, in order
+SHARE = 0.9  # of a notice's words that must stand in the text; the rest may be changed, left out or inserted words
 
 # Phrases and labels that every scan counts.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -104,16 +104,18 @@ def _grams(known: np.ndarray, k: int):
 
 
 def _verify(templates: list[tuple[list[bytes], str, bool]], share: float):
-    """Per text: which spans really hold their template. Base phrases must stand word for word; of a notice at least
-    ``share`` of the words must stand in order inside the span."""
+    """Per text: which spans really hold their template. Base phrases must stand word for word; of a notice
+    ``1 - share`` of the words may differ, so short ones must stand as they are."""
 
-    def in_order(words: list[bytes], wanted: list[bytes]) -> int:
-        row = [0] * (len(wanted) + 1)
+    def errors(words: list[bytes], wanted: list[bytes]) -> int:
+        """The fewest changed, extra or missing words of ``wanted`` anywhere in ``words``."""
+        row = best = list(range(len(wanted) + 1))
         for w in words:
-            before = 0
+            after = [0]
             for j, t in enumerate(wanted, 1):
-                before, row[j] = row[j], before + 1 if w == t else max(row[j], row[j - 1])
-        return row[-1]
+                after.append(min(row[j - 1] + (w != t), row[j] + 1, after[-1] + 1))
+            row, best = after, best if best[-1] <= after[-1] else after
+        return best[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +130,7 @@ def _verify(templates: list[tuple[list[bytes], str, bool]], share: float):
                         fit = float(bool(first))
                     else:
                         stretch = words[max(0, span["low"] - SLACK) : span["high"] + len(wanted) + SLACK]
-                        fit = in_order(stretch, wanted) / len(wanted)
+                        fit = 1 - errors(stretch, wanted) / len(wanted)
                     if fit >= (1.0 if base else share):
                         labels[label] = labels.get(label, False) or base
                         best = max(best, fit)

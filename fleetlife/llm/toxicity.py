@@ -17,7 +17,7 @@ from fleetlife.functions.staging_area import stage
 from fleetlife.llm.common import bounded_sample, fold_of, on_texts, share_code, slices
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE_TEXTS = 12_000  # labelled texts that the fit reads, about that many at most
+SAMPLE_TEXTS = 8_000  # labelled texts that the fit reads, about that many at most
 LEXICON = 1500  # terms of the lexicon, at most
 STEMS = range(3, 9)  # lengths of word beginnings that may become terms
 LEAST_ODDS = 3.0  # natural log of how much more often a term stands in toxic texts
@@ -159,20 +159,23 @@ def quoted(before: str, after: str) -> bool:
 @dataclass
 class Matcher:
     automaton: LexiconAutomaton
-    memory: dict[str, tuple] = field(default_factory=dict)
+    matching: dict[str, tuple] = field(default_factory=dict)
+    others: set[str] = field(default_factory=set)
 
     def hits(self, text: str | None) -> list[tuple[int, int, bool]]:
         """(term, errors, quoted) of each distinct matching word; a word that also stands unquoted counts as direct."""
         low = (text or "").lower()
-        words = set(WORD.findall(low))
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
+        if len(self.others) > REMEMBERED:
+            self.others.clear()
         found = {}
-        for w in words:
-            m = memory.get(w)
+        for w in set(WORD.findall(low)) - self.others:
+            m = self.matching.get(w)
             if m is None:
-                m = memory[w] = self.automaton.match(w)
+                m = self.automaton.match(w)
+                if m:
+                    self.matching[w] = m
+                else:
+                    self.others.add(w)
             if m:
                 found[w] = m
         if not found:
@@ -192,13 +195,13 @@ class ToxicityModel:
     coefficients: np.ndarray  # of the features, the constant last
 
     def features(self, hits: list[tuple[int, int, bool]]) -> tuple[float, float, float]:
-        """(direct, quoted, number direct): the summed weights of distinct terms in either context, and how many."""
+        """The largest and second largest weight of distinct terms that are meant, and the largest of quoted ones."""
         best: dict[tuple[int, bool], float] = {}
         for term, errors, inside in hits:
             w = self.weights.get((term, errors), 0.0)
             best[term, inside] = max(w, best.get((term, inside), 0.0))
-        direct = [w for (_, inside), w in best.items() if not inside and w > 0]
-        return sum(direct), sum(w for (_, inside), w in best.items() if inside), math.log1p(len(direct))
+        direct = sorted((w for (_, inside), w in best.items() if not inside), reverse=True)
+        return (*[*direct, 0.0, 0.0][:2], max((w for (_, inside), w in best.items() if inside), default=0.0))
 
     def score(self, hits: list[tuple[int, int, bool]]) -> float:
         z = float(np.dot(self.coefficients, (*self.features(hits), 1.0)))
@@ -239,13 +242,21 @@ def _evidence(toxic: int, other: int, n_toxic: int, n_other: int) -> float:
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Weighted logistic regression with a small ridge, by Newton steps; ``y`` toxic of ``n`` texts per row."""
     x = np.c_[x, np.ones(len(x))]
-    ridge = np.diag([0.01, 0.01, 0.01, 1e-3])
+    ridge = np.diag([0.05, 0.05, 0.05, 1e-3])
     b = np.zeros(x.shape[1])
-    for _ in range(60):
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((n * np.logaddexp(0, z) - y * z).sum() + b @ ridge @ b / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -35, 35)))
         step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - n * p) - ridge @ b)
-        b += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        size, now = 1.0, loss(b)
+        while size > 1e-6 and not loss(b + size * step) <= now:
+            size /= 2
+        b = b + size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return b
 
