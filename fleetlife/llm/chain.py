@@ -90,7 +90,8 @@ def fit(
     lengths: np.ndarray, labels: int, values: np.ndarray | None = None, rounds: int = 60, rate: float = 0.3,
     ridge: float = 1e-4,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature weights, transitions, start scores) by Adam on the mean conditional log-likelihood.
+    """(feature weights, transitions, start scores) by Adam, with steps that shrink to zero, on the mean conditional
+    log-likelihood.
 
     Item i has feature ``columns[j]`` with value ``values[j]`` (1) wherever ``rows[j] == i``; position p of the flat
     sequences is item ``item_of[p]`` and has label ``gold[p]``. ``rows`` must ascend.
@@ -128,5 +129,5 @@ def fit(
         for p, g, m, v in zip(params, grads, first_moment, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
+            p -= rate * (1 - (turn - 1) / rounds) * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
     return params[0], params[1], params[2]

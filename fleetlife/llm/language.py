@@ -15,7 +15,7 @@ from fleetlife.llm import chain
 from fleetlife.llm.common import bounded_sample, fold_of, on_texts
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE_TEXTS = 600  # labelled texts that the fit reads, at most about that many
+SAMPLE_TEXTS = 300  # labelled texts that the fit reads, at most about that many
 WINDOW = 200  # words of a training sequence; a text gives as many as it needs
 BUCKETS = 1 << 15
 LEXICON = 5000
@@ -132,7 +132,7 @@ def fit_language(
     rows_, columns = word_features(list(items), lexicon)
     weights, trans, first = chain.fit(
         rows_, columns, len(items), BUCKETS + len(lexicon), np.array([items[w] for s in sequences for w in s]),
-        np.array(gold), np.array([len(s) for s in sequences]), len(labels), rounds=40)
+        np.array(gold), np.array([len(s) for s in sequences]), len(labels), rounds=30)
     return LanguageModel(labels, lexicon, weights.astype(np.float32), trans, first)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ REPEAT_PERCENT = 20
 LEAST_CONTENT = 0.5  # share of a text's words in content lines that keeps it
 SAMPLE_TEXTS = 3000  # labelled texts that the fit reads, about that many at most
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
+DIGIT = re.compile(r"[0-9]")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 STEPS = 8  # bins of a feature
 BOILERPLATE, CONTENT = 0, 1
@@ -62,12 +64,13 @@ FEATURES = ("words", "mean word", "symbols", "digits", "repeats", "new words", "
 
 def line_values(line: str, words: list[str], seen: bool) -> tuple[float, ...]:
     """Ten numbers from 0 to 1 that describe a line with words."""
-    n, chars = len(words), sum(map(len, words))
-    symbols = len(SYMBOL.findall(line))
+    sizes = [len(w) for w in words]
+    n, chars = len(words), sum(sizes)
+    symbols, digits = len(SYMBOL.findall(line)), len(DIGIT.findall(line))
     return (
-        min(n, 64) / 64, min(chars / n, 16) / 16, min(1.0, 4 * symbols / n), min(1.0, 4 * sum(c.isdigit() for c in line) / chars),
-        1 - len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-        sum(len(w) > 12 for w in words) / n, sum(len(w) < 4 for w in words) / n, float(words[-1][-1] in ".!?:;…。"), float(seen))
+        min(n, 64) / 64, min(chars / n, 16) / 16, min(1.0, 4 * symbols / n), min(1.0, 4 * digits / chars),
+        1 - len(set(words)) / n, sum(map(eq, words, words[1:])) / n,
+        sum([s > 12 for s in sizes]) / n, sum([s < 4 for s in sizes]) / n, float(words[-1][-1] in ".!?:;…。"), float(seen))
 
 
 def describe(text: str | None) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
