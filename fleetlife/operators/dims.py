@@ -27,6 +27,9 @@ SEED_BRANDS = (
 )
 
 
+BRAND_BUCKET = 256  # patterns that one row holds
+
+
 def seed_vendors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SEED_VENDORS, "id int, name string")
 
@@ -49,14 +52,20 @@ def models_with_brand(models: DataFrame, brands: DataFrame) -> DataFrame:
 def classify_models(models: DataFrame, brands: DataFrame, name: str = "name") -> DataFrame:
     """Adds ``brand_id``: the first brand, by id, whose pattern is found in the model name; null when none is.
 
-    The brand list enters as one scalar subquery (an array ordered by id), so each distinct name is matched in place:
-    no nested-loop join and no shuffle of the models. The list is a hand-kept seed; over 10,000 entries it is refused.
+    Distinct names meet the patterns in buckets of ``BRAND_BUCKET``: a name is spread over the buckets, each of which is one
+    array row, so every pattern is tried on every name without a nested-loop join and without gathering the list in one
+    row; the smallest id that was found is joined back. Nothing limits the number of brands.
     """
-    listed = F.array_sort(F.collect_list(F.struct(F.col("id"), F.col("model_name_regex").alias("rx"))))
-    checked = brands.limit(10_001).agg(listed.alias("l"), F.count("*").alias("n")).select(
-        F.when(F.col("n") <= 10_000, F.col("l")).otherwise(F.raise_error(F.lit("brand list too long"))).alias("l"))
-    hits = F.filter("_brands", lambda b: regex_search(b["rx"], F.col(name)))
-    return models.withColumn("_brands", checked.scalar()).withColumn("brand_id", F.get(hits, F.lit(0))["id"]).drop("_brands")
+    listed = brands.where(F.coalesce(F.length("model_name_regex"), F.lit(0)) > 0).select(
+        F.pmod(F.xxhash64("id"), F.ceil(brands.agg(F.count("*")).scalar() / BRAND_BUCKET)).alias("_bucket"),
+        F.col("id").alias("_id"), F.col("model_name_regex").alias("_rx"))
+    buckets = listed.groupBy("_bucket").agg(F.collect_list(F.struct(F.col("_id"), F.col("_rx"))).alias("_brands"))
+    numbers = buckets.agg(F.collect_list("_bucket").alias("n")).scalar()
+    names = models.select(F.col(name).alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    tried = names.withColumn("_bucket", F.explode(numbers)).join(buckets, "_bucket")
+    hits = F.array_min(F.transform(F.filter("_brands", lambda b: regex_search(b["_rx"], F.col("_name"))), lambda b: b["_id"]))
+    first = tried.groupBy("_name").agg(F.min(hits).alias("brand_id"))
+    return models.join(first, models[name] == first["_name"], "left").drop("_name")
 
 
 def new_models_and_drives(
@@ -83,10 +92,11 @@ def new_models_and_drives(
 
 
 def model_conflicts(staging: DataFrame, serial: str = "serial_number", model: str = "model") -> DataFrame:
-    """Serials reported under more than one model name."""
-    pairs = staging.select(serial, model).distinct()
-    return pairs.groupBy(serial).agg(F.min(model).alias("kept_model"), F.max(model).alias("other_model")).where(
-        F.col("kept_model") != F.col("other_model"))
+    """Serials reported under more than one model name: one row for every name that is not kept."""
+    pairs = staging.where(F.col(serial).isNotNull() & F.col(model).isNotNull()).select(serial, model).distinct()
+    kept = pairs.groupBy(serial).agg(F.min(model).alias("kept_model"), F.count("*").alias("_names")).where("_names > 1")
+    return pairs.join(kept.drop("_names"), serial).where(F.col(model) != F.col("kept_model")).select(
+        serial, "kept_model", F.col(model).alias("other_model"))
 
 
 def unknown_model_drives(drives: DataFrame, models: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -12,7 +13,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import running_sum
@@ -26,15 +27,31 @@ def compact_subjects(
     """Equal subjects become one row with their summed weight ``w``; model-level attributes compact best.
 
     With features that differ from row to row, ``merge=False`` saves a shuffle that would not make the data smaller.
+    Subjects that lack a feature, the duration or the event are left out (``incomplete_subjects`` counts them);
+    ``roles.numeric_features`` turns gaps into indicators beforehand.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     columns = [*[F.col(f).cast("double").alias(f) for f in features], F.col(duration).cast("double").alias("t"),
                F.col(event).cast("double").alias("e")]
+    subjects = subjects.where(~_incomplete([*features, duration, event]))
     if not merge:
         return subjects.select(*columns, w.alias("w"))
     return subjects.groupBy(*columns).agg(F.sum(w).alias("w"))
 
 
+def _incomplete(columns: Sequence[str]) -> Column:
+    gaps = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in columns]
+    return reduce(lambda a, b: a | b, gaps, F.lit(False))
+
+
+def incomplete_subjects(
+    subjects: DataFrame, features: Sequence[str], duration: str = "duration_worked", event: str = "failed",
+) -> DataFrame:
+    """One row: how many subjects a fit leaves out because of a gap, and how many there are."""
+    return subjects.agg(
+        F.count_if(_incomplete([*features, duration, event])).alias("left_out"), F.count("*").alias("subjects"))
+
+
 def _at_risk(axis: DataFrame, sums: Mapping[str, str], block_width: float | None) -> DataFrame:
     """Totals over subjects that live at least as long, along the compacted duration axis."""
     return running_sum(axis.withColumn("_neg", -F.col("t")), [], "_neg", dict(sums), block_width).drop("_neg")
@@ -125,15 +142,19 @@ def fit_cox(
         steps, converged = 0, False
         while steps < max_steps and not converged:
             move = np.linalg.lstsq(hess, grad, rcond=None)[0]
-            for halving in range(10):
+            for halving in range(30):
                 trial = beta + move / 2 ** halving
                 new_ll, new_grad, new_hess = derivatives(trial)
                 if math.isfinite(new_ll) and new_ll >= ll - 1e-12 * abs(ll):
                     break
+            else:
+                break  # no better point on the way: the old one stays, and the fit has not converged
             # The step itself is the measure: convergence is quadratic, so the error left is about its square.
             converged = float(np.max(np.abs(trial - beta))) <= tolerance
             beta, ll, grad, hess = trial, new_ll, new_grad, new_hess
             steps += 1
+        if not converged:
+            warnings.warn(f"the fit has not converged after {steps} steps", stacklevel=2)
         covariance = np.linalg.pinv(hess) / np.outer(scales, scales)
         return CoxModel(features, (beta / scales).tolist(), means.tolist(), float(ll), steps, converged, covariance.tolist())
     finally:
@@ -144,39 +165,55 @@ def baseline_hazard(
     scored: DataFrame, log_hazard: Column, duration: str = "duration_worked", event: str = "failed",
     weight: str | None = None, block_width: float | None = None,
 ) -> DataFrame:
-    """Breslow: hazard per duration (failures over the hazard-weighted risk set) and its running sum."""
+    """Breslow: hazard per duration (failures over the hazard-weighted risk set) and its running sum.
+
+    Subjects without a duration, event or log hazard belong to no risk set and are left out.
+    """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    axis = scored.groupBy(F.col(duration).cast("double").alias("t")).agg(
+    known = F.col(duration).isNotNull() & F.col(event).isNotNull() & log_hazard.isNotNull() & ~F.isnan(log_hazard)
+    axis = scored.where(known).groupBy(F.col(duration).cast("double").alias("t")).agg(
         F.sum(w * F.exp(log_hazard)).alias("_r"), F.sum(w * F.col(event).cast("double")).alias("_d"))
     axis = _at_risk(axis, {"_s": "_r"}, block_width).select("t", (F.col("_d") / F.col("_s")).alias("hazard"))
     return running_sum(axis, [], "t", {"cumulative_hazard": "hazard"}, block_width)
 
 
 def expected_survival(
-    rows: DataFrame, log_hazard: Column, baseline: DataFrame, from_zero: bool = True,
+    rows: DataFrame, log_hazard: Column, baseline: DataFrame, from_zero: bool = True, block_width: float = 512.0,
 ) -> DataFrame:
     """Adds ``predicted_survival``: the area under ``exp(-cumulative_hazard * e^eta)`` by trapezoids.
 
-    The baseline (one point per distinct duration) is a scalar subquery. The area is taken once per distinct predictor
-    value and joined back, so models that share attributes are integrated once.
+    The area is taken once per distinct predictor value: partial areas of every (value, block of the axis) are added up, so
+    no row holds the whole baseline, and models that share attributes are integrated once. Every row comes back; one
+    without a predictor value has a null prediction.
     """
-    points = baseline.agg(F.array_sort(F.collect_list(F.struct("t", "cumulative_hazard"))).alias("points"))
+    axis = baseline.where(F.col("t").isNotNull()).select(
+        F.col("t"), F.col("cumulative_hazard").alias("h"), F.floor(F.col("t") / block_width).cast("long").alias("_block"))
+    blocks = axis.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("t", "h"))).alias("_points"))
+    # What a block needs of the one before it is that one's last point. There are as many rows as blocks.
+    w = Window.orderBy("_block")
+    last = F.element_at("_points", -1)
+    start = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("h")) if from_zero else F.element_at("_points", 1)
+    blocks = blocks.withColumn("_from", F.coalesce(F.lag(last).over(w), start))
     scored = rows.withColumn("_eta", log_hazard)
-    distinct = scored.select("_eta").distinct().withColumn("_points", points.scalar())
-    first = F.element_at("_points", 1)
-    t0 = F.lit(0.0) if from_zero else first["t"]
-    s0 = F.lit(1.0) if from_zero else F.exp(-first["cumulative_hazard"] * F.exp("_eta"))
+    distinct = scored.select("_eta").where(F.col("_eta").isNotNull() & ~F.isnan("_eta")).distinct()
     risk = F.exp("_eta")
-    zero = F.struct(t0.alias("t"), s0.alias("s"), F.lit(0.0).alias("area"))
+
+    def survival(p: Column) -> Column:
+        return F.exp(-p["h"] * risk)
+
+    zero = F.struct(F.col("_from")["t"].alias("t"), survival(F.col("_from")).alias("s"), F.lit(0.0).alias("area"))
 
     def advance(acc: Column, p: Column) -> Column:
-        s = F.exp(-p["cumulative_hazard"] * risk)
+        s = survival(p)
         area = acc["area"] + (p["t"] - acc["t"]) * (acc["s"] + s) / 2
         return F.struct(p["t"].alias("t"), s.alias("s"), area.alias("area"))
 
-    area = F.aggregate("_points", zero, advance, lambda acc: acc["area"])
-    areas = distinct.select("_eta", area.alias("predicted_survival"))
-    return scored.join(areas, "_eta").drop("_eta")
+    # Every predictor value is integrated over every block: that is the integral itself, cut into pieces.
+    keyed = blocks.agg(F.sort_array(F.collect_list("_block")).alias("b")).scalar()
+    pieces = distinct.withColumn("_block", F.explode(keyed)).join(blocks, "_block").select(
+        "_eta", F.aggregate("_points", zero, advance, lambda acc: acc["area"]).alias("piece"))
+    areas = pieces.groupBy(F.col("_eta").alias("_of")).agg(F.sum("piece").alias("predicted_survival"))
+    return scored.join(areas, F.col("_eta") == F.col("_of"), "left").drop("_eta", "_of")
 
 
 @dataclass

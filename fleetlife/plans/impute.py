@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -34,12 +35,17 @@ class Imputers:
             F.coalesce(F.col(c), F.col(f"_pred_{c}").cast(kind[c].dataType)).alias(c) if c in self.pipelines else F.col(c)
             for c in models.columns])
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
+        """All of it: roles, fills and one pipeline per target."""
+        info = json.dumps({"roles": dict(self.roles), "fills": self.fills, "targets": list(self.pipelines)})
+        spark.createDataFrame([(info,)], "imputers string").write.mode("overwrite").parquet(f"{path}/info")
         for target, pipeline in self.pipelines.items():
             pipeline.write().overwrite().save(f"{path}/{target}")
 
-    def load(self, path: str, targets: Sequence[str]) -> Imputers:
-        return Imputers(self.roles, self.fills, {t: PipelineModel.load(f"{path}/{t}") for t in targets})
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Imputers:
+        info = json.loads(spark.read.parquet(f"{path}/info").first()["imputers"])
+        return Imputers(info["roles"], info["fills"], {t: PipelineModel.load(f"{path}/{t}") for t in info["targets"]})
 
 
 def _feature_columns(models: DataFrame, roles: Mapping[str, str], fills: Mapping[str, float]) -> DataFrame:
@@ -71,7 +77,9 @@ def train_imputers(
         stages = [StringIndexer(inputCol=f"_c_{c}", outputCol=f"_i_{target}_{c}", handleInvalid="keep") for c in cats]
         inputs = [f"{p}{c}" for c in numbers if c != target for p in ("_f_", "_m_")] + [f"_i_{target}_{c}" for c in cats]
         stages.append(VectorAssembler(inputCols=inputs, outputCol=f"_vector_{target}"))
-        common = dict(featuresCol=f"_vector_{target}", seed=seed, maxDepth=max_depth, maxBins=256)
+        values = known.agg(F.lit(0), *[F.count_distinct(f"_c_{c}") for c in cats]).first()
+        # A tree needs a bin for every category; the indexer adds one for values that training has not seen.
+        common = dict(featuresCol=f"_vector_{target}", seed=seed, maxDepth=max_depth, maxBins=max(256, *(n + 1 for n in values)))
         if roles[target] == "numerical":
             known = known.withColumn(f"_label_{target}", F.col(target).cast("double"))
             stages.append(GBTRegressor(

@@ -19,31 +19,37 @@ def survival_axis(
     subjects: DataFrame, strata: Sequence[str] = (), duration: str = "duration_worked", event: str = "failed",
     weight: str | None = None,
 ) -> DataFrame:
-    """(strata, duration, n leaving, d failing)."""
+    """(strata, duration, n leaving, d failing). Subjects without a duration say nothing about survival and are left out
+    (``without_duration`` counts them); an unknown event counts as none."""
     w = F.lit(1) if weight is None else F.col(weight)
-    return subjects.groupBy(*strata, F.col(duration).cast("double").alias("duration")).agg(
+    return subjects.where(F.col(duration).isNotNull() & ~F.isnan(F.col(duration).cast("double"))).groupBy(*strata, F.col(duration).cast("double").alias("duration")).agg(
         F.sum(w).alias("n"), F.sum(F.when(F.col(event).cast("boolean"), w).otherwise(F.lit(0))).alias("d"))
 
 
+def without_duration(subjects: DataFrame, strata: Sequence[str] = (), duration: str = "duration_worked") -> DataFrame:
+    """How many subjects per stratum a curve leaves out for want of a duration."""
+    lost = F.col(duration).isNull() | F.isnan(F.col(duration).cast("double"))
+    return subjects.groupBy(*strata).agg(F.count_if(lost).alias("left_out"), F.count("*").alias("subjects"))
+
+
 def curve_from_axis(
     axis: DataFrame, strata: Sequence[str] = (), confidence: float = 0.95, block_width: float | None = None,
 ) -> DataFrame:
-    """Product-limit curve with a log-log Greenwood band; a row at duration 0 opens every curve.
+    """Product-limit curve with a log-log Greenwood band; a row at duration 0 opens every curve. It comes out of the first
+    row of the stratum, so the subjects are read once.
 
     ``block_width`` is for axes that are not whole days and may hold very many distinct durations.
     """
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
-    origins = axis.groupBy(*strata).agg(F.min("duration").alias("first")).where(F.col("first") > 0).select(
-        *strata, F.lit(0.0).alias("duration"), F.lit(0).alias("n"), F.lit(0).alias("d"))
-    axis = axis.unionByName(origins).withColumn("_neg", -F.col("duration"))
+    axis = axis.withColumn("_neg", -F.col("duration"))
     axis = running_sum(axis, strata, "_neg", {"at_risk": "n"}, block_width).drop("_neg")
     d, r = F.col("d"), F.col("at_risk").cast("double")
     axis = axis.withColumns({
         "_ln": F.when(d < r, F.ln(1 - d / r)).otherwise(F.lit(0.0)),
         "_gw": F.when(d < r, d / (r * (r - d))).otherwise(F.lit(0.0)),
-        "_end": F.when((d == r) & (d > 0), 1).otherwise(0),
+        "_end": F.when((d == r) & (d > 0), 1).otherwise(0), "_one": F.lit(1),
     })
-    axis = running_sum(axis, strata, "duration", {"_log": "_ln", "_var": "_gw", "_out": "_end"}, block_width)
+    axis = running_sum(axis, strata, "duration", {"_log": "_ln", "_var": "_gw", "_out": "_end", "_nth": "_one"}, block_width)
     survival = F.when(F.col("_out") > 0, F.lit(0.0)).otherwise(F.exp("_log"))
     theta = z * F.sqrt("_var") / F.col("_log")
     bound = [F.pow(F.exp("_log"), F.exp(sign * theta)) for sign in (-1, 1)]
@@ -52,9 +58,13 @@ def curve_from_axis(
     def band(pick) -> Column:
         return F.when(F.col("_out") == 0, F.when(flat, F.lit(1.0)).otherwise(pick(*bound)))
 
-    return axis.select(
-        *strata, "duration", F.col("at_risk"), F.col("d").alias("events"), survival.alias("survival"),
-        band(F.least).alias("lower"), band(F.greatest).alias("upper"))
+    row = F.struct("duration", "at_risk", F.col("d").alias("events"), survival.alias("survival"),
+                   band(F.least).alias("lower"), band(F.greatest).alias("upper"))
+    one = F.lit(1.0)
+    opening = F.struct(F.lit(0.0).alias("duration"), "at_risk", (F.col("d") * 0).alias("events"), one.alias("survival"),
+                       one.alias("lower"), one.alias("upper"))
+    opens = (F.col("_nth") == 1) & (F.col("duration") > 0)
+    return axis.select(*strata, F.inline(F.when(opens, F.array(opening, row)).otherwise(F.array(row))))
 
 
 def survival_curve(
@@ -66,7 +76,7 @@ def survival_curve(
 
 def nested_curves(
     subjects: DataFrame, primary: str, secondary: str, duration: str = "duration_worked", event: str = "failed",
-    overall: bool = True, confidence: float = 0.95,
+    overall: bool = True, confidence: float = 0.95, block_width: float | None = None,
 ) -> DataFrame:
     """Curves per (primary, secondary), and per primary alone (secondary null, ``level`` = ``primary``).
 
@@ -74,17 +84,18 @@ def nested_curves(
     """
     fine = survival_axis(
         subjects.where(F.col(primary).isNotNull() & F.col(secondary).isNotNull()), [primary, secondary], duration, event)
-    return curve_from_axis(_with_levels(fine, [primary], secondary, overall), ["level", primary, secondary], confidence)
+    return curve_from_axis(_with_levels(fine, [primary], secondary, overall), ["level", primary, secondary], confidence,
+                           block_width)
 
 
 def _with_levels(fine: DataFrame, primary: Sequence[str], secondary: str, overall: bool) -> DataFrame:
     """The axis per secondary value, and, when ``overall``, its sums over them."""
-    axis = fine.withColumn("level", F.lit("secondary"))
     if not overall:
-        return axis
-    coarse = fine.groupBy(*primary, "duration").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    nothing = F.lit(None).cast(fine.schema[secondary].dataType)
-    return axis.unionByName(coarse.withColumn(secondary, nothing).withColumn("level", F.lit("primary")))
+        return fine.withColumn("level", F.lit("secondary"))
+    keys = [F.col(c) for c in [*primary, secondary, "duration"]]
+    level = F.when(F.grouping(secondary) == 1, "primary").otherwise("secondary")
+    return fine.groupingSets([keys, [k for k, c in zip(keys, [*primary, secondary, "duration"]) if c != secondary]], *keys).agg(
+        F.sum("n").alias("n"), F.sum("d").alias("d"), level.alias("level"))
 
 
 def doane_bins(values: DataFrame, column: str) -> DataFrame:
@@ -111,7 +122,7 @@ def with_bins(df: DataFrame, column: str, rule: DataFrame) -> DataFrame:
 
 def binned_curves(
     subjects: DataFrame, primary: str, secondary: str | None = None, duration: str = "duration_worked",
-    event: str = "failed", confidence: float = 0.95, overall: bool = False,
+    event: str = "failed", confidence: float = 0.95, overall: bool = False, block_width: float | None = None,
 ) -> DataFrame:
     """Curves per bin of a numeric attribute (and per secondary value inside it).
 
@@ -132,7 +143,7 @@ def binned_curves(
     if secondary is not None and overall:
         axis, strata = _with_levels(axis, ["bin_left", "bin_right"], secondary, True), ["level", *strata]
     label = F.concat(F.lit("["), F.col("bin_left").cast("string"), F.lit(", "), F.col("bin_right").cast("string"), F.lit(")"))
-    return curve_from_axis(axis, ["bin_left", "bin_right", *strata], confidence).withColumn("label", label)
+    return curve_from_axis(axis, ["bin_left", "bin_right", *strata], confidence, block_width).withColumn("label", label)
 
 
 # The named views of a fleet: name -> (primary, secondary, overall curve per primary value).
@@ -143,11 +154,11 @@ NAMED_VIEWS = {
 }
 
 
-def named_view(subjects: DataFrame, name: str) -> DataFrame:
+def named_view(subjects: DataFrame, name: str, block_width: float | None = None) -> DataFrame:
     """One of the usual views over subjects joined with their model attributes; any other name is an attribute."""
     primary, secondary, overall = NAMED_VIEWS.get(name, (name, None, False))
     if name == "capacity":
-        return binned_curves(subjects, primary, secondary, overall=overall)
+        return binned_curves(subjects, primary, secondary, overall=overall, block_width=block_width)
     if secondary is not None:
-        return nested_curves(subjects, primary, secondary, overall=overall)
-    return survival_curve(subjects.where(F.col(primary).isNotNull()), [primary])
+        return nested_curves(subjects, primary, secondary, overall=overall, block_width=block_width)
+    return survival_curve(subjects.where(F.col(primary).isNotNull()), [primary], block_width=block_width)

@@ -92,7 +92,11 @@ def covered_span(pieces: DataFrame) -> DataFrame:
 
 
 def catalogue_tree(pieces: DataFrame, value: str = "name") -> DataFrame:
-    """One row per year with a column per quarter; pieces for a whole year stand in ``whole_year``."""
+    """One row per year with a column per quarter; pieces for a whole year stand in ``whole_year``.
+
+    A cell holds all its pieces in order; it is null without any.
+    """
     slot = F.coalesce(F.concat(F.lit("q"), F.col("quarter").cast("string")), F.lit("whole_year"))
     slots = ["q1", "q2", "q3", "q4", "whole_year"]
-    return pieces.withColumn("_slot", slot).groupBy("year").pivot("_slot", slots).agg(F.max(value))
+    cells = pieces.withColumn("_slot", slot).groupBy("year").pivot("_slot", slots).agg(F.sort_array(F.collect_list(value)))
+    return cells.select("year", *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in slots])

@@ -15,18 +15,33 @@ def is_data_file(path: Column) -> Column:
 
 
 def read_daily_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
-    """All data files below ``path`` with a given schema: one pass, no inference, splittable by file."""
+    """All data files below ``path`` in a given schema, whatever columns each file has and in whatever order.
+
+    The header lines are read first (one line per file reaches the driver once per distinct layout); files of the same
+    layout are then read in one pass by their own column names. Columns a file lacks are null, columns the schema lacks
+    are left out. No inference; large files are split.
+    """
     schema = schema or staging_schema()
-    raw = (
-        spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv").csv(path)
-    )
-    return drop_repeated_headers(raw.where(is_data_file(F.col("_metadata.file_path"))))
+    paths = [path] if isinstance(path, str) else list(path)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    # The first line of a file is the first row of its first block, and rows of a block come in order.
+    heads = lines.where(is_data_file(F.col("file")) & (F.col("block") == 0)).groupBy("file").agg(F.first("value").alias("head"))
+    layouts = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()
+    out = spark.createDataFrame([], schema)
+    for layout in sorted(layouts, key=lambda r: r.head):
+        names = [n.strip().strip('"') for n in layout.head.lstrip("\ufeff").split(",")]
+        types = {f.name: f.dataType for f in schema.fields}
+        own = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+        read = spark.read.schema(own).option("header", True).option("enforceSchema", True).csv(layout.files)
+        read = drop_repeated_headers(read, "model" if "model" in names else names[0])
+        out = out.unionByName(align_schema(read.select(*[n for n in names if n in types]), schema))
+    return out
 
 
 def drop_repeated_headers(df: DataFrame, column: str = "model") -> DataFrame:
     """Concatenated files carry their header rows along; those repeat the column's own name."""
-    return df.where(F.col(column) != column)
+    return df.where(~F.col(column).eqNullSafe(column))
 
 
 def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:

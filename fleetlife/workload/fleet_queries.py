@@ -151,12 +151,14 @@ def new_models_and_drives(spark: SparkSession, sf: str) -> DataFrame:
     ).unionByName(new_drives.select(F.lit("drive").alias("kind"), "id", F.col("serial_number").alias("name"), "model_id"))
 
 
-@query("model_conflicts", "E6", sql=W + v.STAGING + """
-SELECT serial_number, min(date) AS kept_model, max(date) AS other_model FROM staging GROUP BY serial_number
-HAVING min(date) <> max(date)""")
+@query("model_conflicts", "E6", sql=W + v.STAGING + """,
+named AS (SELECT DISTINCT serial_number, model || '-' || CAST(day(CAST(date AS DATE)) % 4 AS VARCHAR) AS model FROM staging),
+kept AS (SELECT serial_number, min(model) AS kept_model FROM named GROUP BY serial_number)
+SELECT serial_number, kept_model, model AS other_model FROM named JOIN kept USING (serial_number) WHERE model <> kept_model""")
 def model_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    # The test fleet has no conflicting models; dates stand in for them.
-    return dims.model_conflicts(v.staging(spark, sf), model="date")
+    """Serials that appear under up to four names: the day of the month gives each record's name a suffix."""
+    suffix = F.pmod(F.dayofmonth(F.to_date("date")), F.lit(4)).cast("string")
+    return dims.model_conflicts(v.staging(spark, sf).withColumn("model", F.concat_ws("-", "model", suffix)))
 
 
 @query("model_brands", "D4 B7", sql=W + v.DIMS + " SELECT id, name, brand_id FROM models")

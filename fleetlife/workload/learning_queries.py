@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,58 @@ def cox_coefficients(spark: SparkSession, sf: str) -> DataFrame:
         "feature", (F.round("coefficient", 6) + 0).alias("coefficient"))
 
 
+def pairs_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return v.subjects(spark, sf, *PAIR).withColumns({
+        "duration_worked": F.when(F.col("l_orderkey") % 5 != 0, F.col("duration_worked")),
+        "l_quantity": F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity"))})
+
+
+GAP_ROWS = """c AS (SELECT duration_worked AS t, l_quantity AS x, l_tax AS y, count(*)::DOUBLE AS w, sum(failed::INT)::DOUBLE AS d FROM sv
+  WHERE l_orderkey % 5 <> 0 AND l_partkey % 7 <> 0 GROUP BY ALL)"""
+
+
+@query("cox_with_gaps", "F6 F22", sql=W + v.SV + ", " + _newton_ctes(GAP_ROWS, 6) + """
+SELECT 'l_quantity' AS feature, round(bx, 6) + 0 AS coefficient, (SELECT count(*) FROM sv WHERE l_orderkey % 5 = 0 OR l_partkey % 7 = 0) AS left_out FROM b6
+UNION ALL SELECT 'l_tax', round(byy, 6) + 0, (SELECT count(*) FROM sv WHERE l_orderkey % 5 = 0 OR l_partkey % 7 = 0) FROM b6""")
+def cox_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Subjects with gaps are in neither the failures nor the risk sets, and are counted."""
+    rows = pairs_with_gaps(spark, sf)
+    model = cox.fit_cox(rows, PAIR)
+    lost = cox.incomplete_subjects(rows, PAIR).first()["left_out"]
+    out = [(f, float(b), lost) for f, b in zip(model.features, model.coefficients)]
+    return spark.createDataFrame(out, "feature string, coefficient double, left_out bigint").withColumn(
+        "coefficient", F.round("coefficient", 6) + 0)
+
+
+@query("expected_survival_with_gaps", "F9 F8", sql=W + v.SV + """,
+h AS (SELECT t, d / sum(r) OVER (ORDER BY t DESC) AS hazard FROM (SELECT duration_worked AS t, sum(failed::INT)::DOUBLE AS d,
+  sum(exp(0.01e0 * l_quantity)) AS r FROM sv WHERE l_orderkey % 5 <> 0 AND l_partkey % 7 <> 0 GROUP BY 1)),
+base AS (SELECT t, sum(hazard) OVER (ORDER BY t) AS ch FROM h UNION ALL SELECT 0.0e0, 0.0e0),
+cells AS (SELECT DISTINCT l_quantity AS q FROM sv),
+lines AS (SELECT q, t, exp(-ch * exp(0.01e0 * q)) AS s FROM base, cells),
+legs AS (SELECT *, lead(t) OVER (PARTITION BY q ORDER BY t) AS t2, lead(s) OVER (PARTITION BY q ORDER BY t) AS s2 FROM lines),
+areas AS (SELECT q, sum((t2 - t) * (s + s2) / 2) AS area FROM legs GROUP BY q)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 <> 0 THEN round(area, 4) END AS predicted_survival FROM sv JOIN areas ON q = l_quantity""")
+def expected_survival_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Every subject comes back; without the feature its prediction is null."""
+    rows = pairs_with_gaps(spark, sf)
+    hazard = F.lit(0.01) * F.col("l_quantity")
+    baseline = cox.baseline_hazard(rows, hazard)
+    return cox.expected_survival(rows, hazard, baseline).select(
+        "l_orderkey", "l_linenumber", F.round("predicted_survival", 4).alias("predicted_survival"))
+
+
+@query("lost_failures_with_gaps", "F1", sql=W + v.LIFESPANS + """,
+hours_at AS (SELECT l.drive_id, failure_day, max(CASE WHEN l.drive_id % 3 <> 0 THEN power_on_hours_raw END) AS hours FROM lifespans l
+  LEFT JOIN t1 ON t1.drive_id = l.drive_id AND t1.day = l.failure_day GROUP BY ALL)
+SELECT count(*) FILTER (failure_day IS NOT NULL AND hours IS NULL) AS lost_failures, count(*) AS devices FROM hours_at""")
+def lost_failures_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the drives reports no hours, so their failures count as censored in full mode."""
+    rows = v.telemetry(spark, sf).withColumn("power_on_hours_raw", F.when(F.col("drive_id") % 3 != 0, F.col("power_on_hours_raw")))
+    spans = lifespan.lifespans_with_hours(rows)
+    return lifespan.lost_failures(lifespan.worked_days(spans, reduced=False))
+
+
 def drive_subjects(spark: SparkSession, sf: str) -> DataFrame:
     """Drives as subjects, with numeric features of their telemetry and place."""
     hours = fleet.hours_at_key_days(spark, sf)
@@ -79,16 +132,34 @@ def boosted_cox(spark: SparkSession, sf: str) -> DataFrame:
 def boosted_contributions(spark: SparkSession, sf: str) -> DataFrame:
     rows = drive_subjects(spark, sf)
     model = cox.fit_boosted_cox(rows, DRIVE_FEATURES, rounds=4, max_depth=2)
-    scored = model.with_log_hazard(rows)
-    return explain.sampled_contributions(
-        scored, ["drive_id"], DRIVE_FEATURES, model.with_log_hazard, rows, samples=8).select(
-        "drive_id", "log_hazard", *[f"phi_{f}" for f in DRIVE_FEATURES])
+    explained, base = explain.tree_contributions(model.with_log_hazard(rows), model, interactions=True)
+    phi = [c for c in explained.columns if c.startswith("phi_")]
+    return explained.select("drive_id", "log_hazard", F.lit(base).alias("base"), *phi)
+
+
+STUMP = v.SV + """, c AS (SELECT duration_worked AS t, CASE WHEN l_quantity > 25 THEN 1.0e0 ELSE 0.0e0 END AS large, count(*)::DOUBLE AS w,
+  sum(failed::INT)::DOUBLE AS d FROM sv GROUP BY ALL),
+axis AS (SELECT t, sum(d) AS d, sum(sum(w)) OVER (ORDER BY t DESC) AS s FROM c GROUP BY t),
+sums AS (SELECT t, sum(d / s) OVER (ORDER BY t) AS a, sum(d / (s * s)) OVER (ORDER BY t) AS b FROM axis),
+leaf AS (SELECT large, sum(d - w * a) / sum(w * greatest(a - b, 1e-9)) AS value, sum(w * greatest(a - b, 1e-9)) AS cover FROM c JOIN sums USING (t) GROUP BY large),
+base AS (SELECT 0.3e0 * sum(value * cover) / sum(cover) AS base FROM leaf)"""
+
+
+@query("boosted_stump", "F7 F15", sql=W + STUMP + """
+SELECT large, round(0.3e0 * value, 6) + 0 AS log_hazard, round(0.3e0 * value - base, 6) + 0 AS phi_large, round(base, 6) + 0 AS base FROM leaf, base""")
+def boosted_stump(spark: SparkSession, sf: str) -> DataFrame:
+    """One round with one split on a flag, and what it says of either value."""
+    rows = v.subjects(spark, sf, "l_quantity").withColumn("large", (F.col("l_quantity") > 25).cast("double"))
+    model = cox.fit_boosted_cox(rows, ["large"], rounds=1, max_depth=1, rate=0.3)
+    explained, base = explain.tree_contributions(model.with_log_hazard(rows.select("large").distinct()), model)
+    return explained.select("large", *[(F.round(c, 6) + 0).alias(n) for c, n in (
+        ("log_hazard", "log_hazard"), ("phi_large", "phi_large"))], (F.round(F.lit(base), 6) + 0).alias("base"))
 
 
 @query("cross_validated_cox", "F13")
 def cross_validated_cox(spark: SparkSession, sf: str) -> DataFrame:
     def fit(train: DataFrame, held_out: DataFrame) -> DataFrame:
-        model = cox.fit_cox(train, PAIR, max_steps=5)
+        model = cox.fit_cox(train, PAIR)
         return held_out.withColumn("score", -model.log_hazard())
 
     out = evaluate.cross_validate(v.subjects(spark, sf, *PAIR), ["l_orderkey", "l_linenumber"], fit, folds=2)
@@ -129,8 +200,9 @@ def hyperparameter_search(spark: SparkSession, sf: str) -> DataFrame:
 def _weibull_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """Fits per (type, size) with numeric attributes."""
     fits = weibull.accepted_fits(weibull.fit_weibull_groups(v.subjects_with_brand(spark, sf), ["p_type", "p_size"]))
-    indexed = fits.withColumn("type_code", F.pmod(F.crc32("p_type"), F.lit(97)).cast("double"))
-    return stage(indexed, "weibull"), ["p_size", "type_code"]
+    fits = stage(fits, "weibull")  # one row per group
+    codes = StringIndexer(inputCol="p_type", outputCol="type_code", handleInvalid="keep").fit(fits)
+    return codes.transform(fits), ["p_size", "type_code"]
 
 
 @query("weibull_from_attributes", "F10")
@@ -169,6 +241,20 @@ def imputed_attributes(spark: SparkSession, sf: str) -> DataFrame:
     return imputers.apply(rows)
 
 
+@query("imputation_keeps_known_values", "F18 F19", sql="""
+SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS known_price,
+  CASE WHEN p_partkey % 7 <> 0 THEN CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END END AS known_group, true AS complete FROM part""")
+def imputation_keeps_known_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Imputers written and read again leave known values as they are, and no gap."""
+    rows = incomplete_models(spark, sf)
+    path = new_folder(spark, "imputers")
+    impute.train_imputers(rows, M_ROLES, ["p_retailprice", "price_group"], max_iter=5, max_depth=4, trees=5).save(spark, path)
+    known = F.col("p_partkey") % 7 != 0
+    return impute.Imputers.load(spark, path).apply(rows).select(
+        "p_partkey", F.when(known, F.col("p_retailprice")).alias("known_price"), F.when(known, F.col("price_group")).alias("known_group"),
+        (F.col("p_retailprice").isNotNull() & F.col("price_group").isin("large", "small")).alias("complete"))
+
+
 @query("imputer_scores", "F20")
 def imputer_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = incomplete_models(spark, sf)

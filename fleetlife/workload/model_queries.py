@@ -271,8 +271,9 @@ def newer_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("catalogue_tree", "A12", sql=W + PIECES + """
-SELECT year, max(name) FILTER (quarter = 1) AS q1, max(name) FILTER (quarter = 2) AS q2, max(name) FILTER (quarter = 3) AS q3,
-  max(name) FILTER (quarter = 4) AS q4, max(name) FILTER (quarter IS NULL) AS whole_year FROM spans GROUP BY year""")
+SELECT year, list(name ORDER BY name) FILTER (quarter = 1) AS q1, list(name ORDER BY name) FILTER (quarter = 2) AS q2,
+  list(name ORDER BY name) FILTER (quarter = 3) AS q3, list(name ORDER BY name) FILTER (quarter = 4) AS q4,
+  list(name ORDER BY name) FILTER (quarter IS NULL) AS whole_year FROM spans GROUP BY year""")
 def catalogue_tree(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.catalogue_tree(_pieces(spark, sf))
 
@@ -303,7 +304,7 @@ SELECT event_id, name, CASE WHEN event_id % 3 = 2 THEN NULL ELSE k END AS k FROM
 UNION ALL SELECT event_id, 'spare', NULL FROM t WHERE event_id % 3 = 0""")
 def parsed_descriptors(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as a request: a list of an object and a name, a single object, or a bare name."""
-    full = F.concat(F.lit('{"name": "'), "event_type", F.lit('", '), F.substring("props", 2, 1000000))
+    full = F.concat(F.lit('{"name": "'), "event_type", F.lit('", '), F.substr("props", F.lit(2)))
     request = (
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), full, F.lit(', "spare"]')))
         .when(F.col("event_id") % 3 == 1, full).otherwise(F.col("event_type")))

@@ -45,6 +45,39 @@ def survival_overall(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(km.survival_curve(v.subjects(spark, sf)))
 
 
+GAPS = v.SV + """, gaps AS (SELECT l_linestatus, CASE WHEN l_orderkey % 5 <> 0 THEN duration_worked END AS duration_worked, failed,
+  CASE WHEN l_partkey % 7 <> 0 THEN l_quantity END AS l_quantity, l_tax FROM sv)"""
+
+
+def subjects_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Subjects of which a fifth has no duration and a seventh lacks a feature."""
+    return v.subjects(spark, sf, "l_quantity", "l_tax").withColumns({
+        "duration_worked": F.when(F.col("l_orderkey") % 5 != 0, F.col("duration_worked")),
+        "l_quantity": F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity"))})
+
+
+@query("survival_with_gaps", "F2 F3 F1", sql=curve_sql(GAPS, "(SELECT * FROM gaps WHERE duration_worked IS NOT NULL)", ["l_linestatus"]))
+def survival_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(km.survival_curve(subjects_with_gaps(spark, sf), ["l_linestatus"]))
+
+
+@query("subjects_left_out", "F1 F2", sql=W + GAPS + """
+SELECT l_linestatus, count(*) FILTER (duration_worked IS NULL) AS left_out, count(*) AS subjects FROM gaps GROUP BY l_linestatus""")
+def subjects_left_out(spark: SparkSession, sf: str) -> DataFrame:
+    return km.without_duration(subjects_with_gaps(spark, sf), ["l_linestatus"])
+
+
+FRACTIONAL = v.SV + """, fractional AS (SELECT l_linestatus, duration_worked + (l_orderkey * 4 + l_linenumber) % 1000 / 1000.0e0 AS duration_worked, failed FROM sv)"""
+
+
+@query("survival_fractional", "F3 G5", sql=curve_sql(FRACTIONAL, "fractional", ["l_linestatus"]))
+def survival_fractional(spark: SparkSession, sf: str) -> DataFrame:
+    """Durations with a fraction: about as many distinct ones as subjects, so the totals run in blocks of the axis."""
+    part = F.pmod(F.col("l_orderkey") * 4 + F.col("l_linenumber"), F.lit(1000)) / 1000
+    rows = v.subjects(spark, sf).withColumn("duration_worked", F.col("duration_worked") + part)
+    return rounded(km.survival_curve(rows, ["l_linestatus"], block_width=64.0))
+
+
 @query("survival_by_status", "F3", sql=curve_sql(v.SV, "sv", ["l_linestatus"]))
 def survival_by_status(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(km.survival_curve(v.subjects(spark, sf), ["l_linestatus"]))

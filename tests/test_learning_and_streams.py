@@ -15,8 +15,8 @@ def test_imputers_fill_only_gaps(spark, tmp_path):
     df = df.withColumn("group", F.when(F.col("id") % 9 != 0, F.when(F.col("size") > 2, "big").otherwise("small")))
     spec = {"id": "stop", "size": "numerical", "kind": "categorical", "price": "numerical", "group": "categorical"}
     imputers = impute.train_imputers(df, spec, ["price", "group"], max_iter=10, trees=5)
-    imputers.save(str(tmp_path / "i"))
-    imputers = imputers.load(str(tmp_path / "i"), ["price", "group"])
+    imputers.save(spark, str(tmp_path / "i"))
+    imputers = impute.Imputers.load(spark, str(tmp_path / "i"))
     out = imputers.apply(df)
     assert out.columns == df.columns and out.schema["price"].dataType == df.schema["price"].dataType
     for r in out.collect():
