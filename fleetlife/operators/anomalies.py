@@ -37,3 +37,16 @@ def anomaly_report(
     return parts.groupBy(device).agg(
         F.max("overshoot").alias("overshoot"), F.max("failure_days").alias("failure_days"),
         F.coalesce(F.bool_or("unknown"), F.lit(False)).alias("unknown"))
+
+
+def report_from_histories(histories: DataFrame, unknown_drives: DataFrame, device: str = "drive_id") -> DataFrame:
+    """The same report out of one row per device (``lifespan.histories``), so the facts are read once."""
+    late = F.when(F.col("last_day") > F.col("failure_day"), F.col("last_day") - F.col("failure_day"))
+    many = F.when(F.size("failure_days") > 1, F.col("failure_days"))
+    known = histories.select(device, late.alias("overshoot"), many.alias("failure_days"), F.lit(False).alias("unknown")).where(
+        F.col("overshoot").isNotNull() | F.col("failure_days").isNotNull())
+    strange = unknown_drives.select(
+        F.col("id").alias(device), F.lit(None).cast("int").alias("overshoot"), F.lit(None).cast("array<int>").alias("failure_days"),
+        F.lit(True).alias("unknown"))
+    return known.unionByName(strange).groupBy(device).agg(
+        F.max("overshoot").alias("overshoot"), F.max("failure_days").alias("failure_days"), F.bool_or("unknown").alias("unknown"))

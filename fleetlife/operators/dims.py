@@ -73,12 +73,12 @@ def new_models_and_drives(
 ) -> tuple[DataFrame, DataFrame]:
     """Model and drive rows that an import adds: unseen names get ids after the largest known one.
 
-    The staging rows are read once, for their distinct (serial, model) pairs, which combine on the map side; what is new
-    among them is stored, and everything else starts from there. A serial reported under two models goes to the smaller
+    The staging rows are read once and combine on the map side to one row per serial, which meets the known drives in the
+    same partitioning; what is new is stored, and everything else starts from there. A serial reported under two models goes to the smaller
     name. Ids follow the md5 order of the names, so they are the same on every run and numbering needs no global sort.
     """
-    pairs = staging.select(serial, F.col(model).alias("model_name")).distinct()
-    fresh = pairs.join(drives.select(serial), serial, "left_anti").groupBy(serial).agg(F.min("model_name").alias("model_name"))
+    seen = staging.where(F.col(serial).isNotNull()).groupBy(serial).agg(F.min(model).alias("model_name"))
+    fresh = seen.where(F.col("model_name").isNotNull()).join(drives.select(serial), serial, "left_anti")
     fresh = stage(fresh, "new-serials")
     unseen_models = fresh.select(F.col("model_name").alias("name")).distinct().join(
         models.select("name"), "name", "left_anti")

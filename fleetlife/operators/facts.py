@@ -28,6 +28,16 @@ def one_per_day(facts: DataFrame, device: str = "drive_id", day: str = "day") ->
     return facts.groupBy(device, day).agg(*[F.max(c).alias(c) for c in rest])
 
 
+def normalize_and_collapse(
+    staging: DataFrame, drives: DataFrame, carry: Sequence[str], serial: str = "serial_number", date: str = "date",
+) -> DataFrame:
+    """``one_per_day`` of ``normalize_records`` with one shuffle of the facts instead of two: the join by serial leaves
+    them where the collapse by (serial, drive, day) wants them."""
+    ids = drives.select(serial, F.col("id").alias("drive_id"))
+    joined = staging.select(serial, epoch_day(F.col(date)).alias("day"), *carry).join(ids, serial)
+    return joined.groupBy(serial, "drive_id", "day").agg(*[F.max(c).alias(c) for c in carry]).drop(serial)
+
+
 def failure_records(facts: DataFrame, device: str = "drive_id", day: str = "day", failure: str = "failure") -> DataFrame:
     """(device, day) of every failure record; the filter reaches the scan."""
     return facts.where(F.col(failure) == 1).select(device, F.col(day).alias("failure_day"))

@@ -19,6 +19,25 @@ def lifespans(facts: DataFrame, device: str = "drive_id", day: str = "day", fail
     )
 
 
+def histories(facts: DataFrame, device: str = "drive_id", day: str = "day", failure: str = "failure") -> DataFrame:
+    """Lifespans with the sorted list of all failure days, in the same single pass.
+
+    Days are made distinct while combining on the map side, so a list is bounded by the calendar.
+    """
+    failed_on = F.when(F.col(failure) == 1, F.col(day).cast("int"))
+    return facts.groupBy(device).agg(
+        F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.max(failed_on).alias("failure_day"),
+        F.array_sort(F.collect_set(failed_on)).alias("failure_days"))
+
+
+def merge_histories(old: DataFrame, fresh: DataFrame, device: str = "drive_id") -> DataFrame:
+    """Stored histories brought up to date: one row per device on either side, safe to repeat."""
+    cols = [device, "first_day", "last_day", "failure_day", "failure_days"]
+    return old.select(cols).unionByName(fresh.select(cols)).groupBy(device).agg(
+        F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.max("failure_day").alias("failure_day"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("failure_days")))).alias("failure_days"))
+
+
 def lifespans_with_hours(
     facts: DataFrame, device: str = "drive_id", day: str = "day", failure: str = "failure",
     hours: str = "power_on_hours_raw",

@@ -16,10 +16,11 @@ from ..functions.ordering import running_sum
 from ..functions.staging_area import stage
 
 WIDE = "decimal(38,0)"
+BLOCK_ROWS = 20_000  # distinct (time, score) pairs of a score block
 
 
 def concordance_counts(
-    scored: DataFrame, duration: str = "duration_worked", event: str = "failed", score: str = "score", blocks: int = 64,
+    scored: DataFrame, duration: str = "duration_worked", event: str = "failed", score: str = "score", blocks: int | None = None,
     block_width: float | None = None,
 ) -> DataFrame:
     """One row: concordant, discordant, tied and comparable pairs (Harrell); a high score means a long life.
@@ -34,13 +35,15 @@ def concordance_counts(
     compact = scored.groupBy(F.col(duration).alias("t"), F.col(score).cast("double").alias("s")).agg(
         F.count("*").alias("n"), F.sum(F.col(event).cast("bigint")).alias("d"))
     compact = stage(compact, "scored")  # read four times below, and scoring may be expensive
+    if blocks is None:
+        blocks = max(1, -(-compact.count() // BLOCK_ROWS))
     times = compact.select(F.col("t").alias("_t")).distinct()
     ranks = running_sum(times.withColumn("_one", F.lit(1)), [], "_t", {"_up_to": "_one"}, block_width).select(
         "_t", (F.col("_up_to") - 1).cast("int").alias("rank"))
     ranked = compact.join(ranks, F.col("t") == F.col("_t"))
     top_bit = times.agg(F.floor(F.log2(F.greatest(F.count("*"), F.lit(1)))).cast("int")).scalar()
     cuts = [i / blocks for i in range(1, blocks)]
-    bounds = compact.agg(F.percentile_approx("s", cuts, 1000)).scalar()
+    bounds = compact.agg(F.percentile_approx("s", cuts, 1000)).scalar() if cuts else F.array().cast("array<double>")
     placed = ranked.withColumn("_bounds", bounds).withColumn(
         "block", F.size(F.filter("_bounds", lambda b: b < F.col("s")))).drop("_bounds")
 
@@ -76,7 +79,7 @@ def concordance_counts(
 
 
 def concordance(
-    scored: DataFrame, duration: str = "duration_worked", event: str = "failed", score: str = "score", blocks: int = 64,
+    scored: DataFrame, duration: str = "duration_worked", event: str = "failed", score: str = "score", blocks: int | None = None,
     block_width: float | None = None,
 ) -> DataFrame:
     """Harrell's index: concordant pairs plus half of the tied ones over comparable ones."""

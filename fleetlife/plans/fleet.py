@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from ..functions.staging_area import stage
 from ..operators import anomalies, dims, enrich, facts, lifespan, strata
 from .roles import LearningTask
 from .weibull import accepted_fits, fit_weibull_groups
@@ -30,22 +31,23 @@ def import_telemetry(
     all_models = dims.classify_models(models.select("id", "name").unionByName(new_models), brands)
     columns = ["id", "model_id", "serial_number"]
     all_drives = drives.select(columns).unionByName(new_drives.select(columns))
-    rows = facts.one_per_day(facts.normalize_records(staging, all_drives, carry))
+    rows = facts.normalize_and_collapse(staging, all_drives, carry)
     return Imported(all_models, all_drives, rows)
 
 
 def preprocess(
-    new_facts: DataFrame, old_lifespans: DataFrame | None, failures: DataFrame, drives: DataFrame, models: DataFrame,
+    new_facts: DataFrame, stored: DataFrame | None, drives: DataFrame, models: DataFrame,
 ) -> tuple[DataFrame, DataFrame]:
-    """(lifespans, anomalies): only new facts are aggregated, then merged with the stored lifespans.
+    """(histories, anomalies): only new facts are aggregated, once, and merged with the stored histories.
 
-    ``failures`` are all failure records, old and new; they are few.
+    Histories (lifespan and failure days per device) are written to the shared folder: pass them as ``stored`` with the
+    next load. Loading in parts gives what loading at once gives.
     """
-    spans = lifespan.lifespans(new_facts)
-    if old_lifespans is not None:
-        spans = lifespan.merge_lifespans(old_lifespans, spans)
-    unknown = dims.unknown_model_drives(drives, models)
-    return spans, anomalies.anomaly_report(spans, failures, unknown)
+    spans = lifespan.histories(new_facts)
+    if stored is not None:
+        spans = lifespan.merge_histories(stored, spans)
+    spans = stage(spans, "histories")
+    return spans, anomalies.report_from_histories(spans, dims.unknown_model_drives(drives, models))
 
 
 def survival_stats(spans: DataFrame, reported: DataFrame, drives: DataFrame, reduced: bool = True) -> DataFrame:
@@ -58,13 +60,16 @@ def survival_stats(spans: DataFrame, reported: DataFrame, drives: DataFrame, red
 def learning_task(stats: DataFrame, models: DataFrame, attributes: Sequence[str], kind: str = "unaggregated") -> LearningTask:
     """One frame to learn from: a row per drive, a mean per (model, failed), or a Weibull fit per model.
 
-    Attributes join after aggregation, when there are few rows.
+    Attributes join after aggregation, when there are few rows. The task also tells which groups were rejected and which
+    attributes the models lack.
     """
+    rejected = None
     if kind == "aggregated":
-        stats, _rejected = strata.aggregate_groups(stats, ["model_id", "failed"], strata.mean_duration)
+        stats, rejected = strata.aggregate_groups(stats, ["model_id", "failed"], strata.mean_duration)
     elif kind == "weibull":
-        stats = accepted_fits(fit_weibull_groups(stats, ["model_id"]))
+        fits = fit_weibull_groups(stats, ["model_id"])
+        stats, rejected = accepted_fits(fits), fits.where("rejected is not null")
     elif kind != "unaggregated":
         raise ValueError(f"unknown kind of task {kind!r}")
-    frame, _missing = enrich.attach_attributes(stats, models, attributes)
-    return LearningTask(frame)
+    frame, missing = enrich.attach_attributes(stats, models, attributes)
+    return LearningTask(frame, rejected=rejected, missing_attributes=missing)

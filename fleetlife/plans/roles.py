@@ -35,6 +35,8 @@ class LearningTask:
     frame: DataFrame
     duration: str = "duration_worked"
     event: str = "failed"
+    rejected: DataFrame | None = None
+    missing_attributes: Sequence[str] = ()
 
 
 def columns_with_role(roles: Mapping[str, str], role: str, present: Sequence[str]) -> list[str]:

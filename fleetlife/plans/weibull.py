@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durations import fix_zero
-from ..functions.staging_area import cut_lineage, stage
+from ..functions.staging_area import cut_lineage, forget, stage
 from ..functions.weibull_math import expectation
 from ..operators.strata import WEIGHT
 
@@ -36,9 +36,10 @@ def fit_weibull_groups(
     per group and one aggregation that combines on the map side: no group is ever gathered in a task, so a group with
     a third of all subjects, or with durations that are not whole days, costs no more than any other. Steps are Newton
     steps on the log shape, replaced by bisection when they would leave the bracket, and end when all groups stand
-    still. The result is stored. Group keys must not be null.
+    still. The result is stored, and superseded steps are deleted. A null group key is a group of its own.
     """
-    keys = list(groups)
+    keys = ["_group"]  # one struct: its nulls compare as equal
+    subjects = subjects.select(F.struct(*groups).alias("_group"), duration, event).where(F.col(duration).isNotNull())
     compact = subjects.groupBy(*keys, fix_zero(F.col(duration)).alias("_t")).agg(
         F.count("*").cast("double").alias("_n"), F.sum(F.col(event).cast("double")).alias("_d")).persist(
         StorageLevel.MEMORY_AND_DISK)
@@ -67,6 +68,7 @@ def fit_weibull_groups(
     score = s1 / s0 - 1 / shape - F.col("_mean")
     slope = (s2 * s0 - s1 * s1) / (s0 * s0) + 1 / (shape * shape)
     newton = shape * F.exp(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), -score / (shape * slope))))
+    stored = False
     for _ in range(steps):
         stepped = sums(state).withColumns({
             "_lo": F.when(score < 0, shape).otherwise(F.col("_lo")), "_hi": F.when(score < 0, F.col("_hi")).otherwise(shape),
@@ -74,9 +76,12 @@ def fit_weibull_groups(
         inside = F.col("_try").between(F.col("_lo"), F.col("_hi"))
         stepped = stepped.withColumn("_next", F.when(inside, F.col("_try")).otherwise(F.sqrt(F.col("_lo") * F.col("_hi"))))
         # One row per group goes to the shared folder: lineage stays short and the next join knows its size.
-        state = stage(stepped.select(
+        before, state = state, stage(stepped.select(
             *keys, "_events", "_top", "_mean", "_lo", "_hi", F.col("_next").alias("_shape"),
             F.abs(F.ln(F.col("_next") / shape)).alias("_moved")), "weibull-step")
+        if stored:
+            forget(before)
+        stored = True
         moved = state.agg(F.max("_moved")).first()[0]
         if moved is None or moved < SETTLED:
             break
@@ -91,9 +96,11 @@ def fit_weibull_groups(
         .when(F.coalesce(F.col("_off"), F.lit(True)), "no convergence")
         .when(F.col("weibull_shape") < MIN_SHAPE, "shape too small"))
     out = sizes.join(fitted, keys, "left").withColumn("rejected", reason)
-    out = cut_lineage(out.select(*keys, WEIGHT, "rejected", *[
+    out = cut_lineage(out.select("_group.*", WEIGHT, "rejected", *[
         F.when(F.col("rejected").isNull(), F.col(c)).alias(c) for c in ("weibull_shape", "weibull_scale")]))
     compact.unpersist()
+    if stored:
+        forget(state)
     return out
 
 

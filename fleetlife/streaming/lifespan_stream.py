@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,12 +27,15 @@ def keep_lifespans(facts: DataFrame, table: str, checkpoint: str, device: str =
     """Start the job that keeps per-device lifespans current and run it over everything available.
 
     State is one row per device (first, last and failure day). Minimum and maximum do not depend on order, so late
-    files need no watermark and a repeated file changes nothing. Every micro-batch overwrites its own partition of a
-    change table with the devices it touched, so a retried batch leaves no trace.
+    files need no watermark and a repeated file changes nothing. Every micro-batch overwrites its own folder of a change
+    table with the devices it touched, so a retried batch leaves no trace. The folder carries a name that is kept with the
+    checkpoint: a job that starts anew with another checkpoint does not overwrite what earlier ones found.
     """
+    spark = facts.sparkSession
+    run = _run_name(spark, checkpoint)
 
     def save(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+        changed.write.mode("overwrite").parquet(f"{table}/run={run}/batch={batch}")
 
     return (
         lifespans(facts, device=device).writeStream.outputMode("update").foreachBatch(save)
@@ -37,16 +43,40 @@ def keep_lifespans(facts: DataFrame, table: str, checkpoint: str, device: str =
     )
 
 
+def _run_name(spark: SparkSession, checkpoint: str) -> str:
+    """A name stored below the checkpoint when a job starts there for the first time."""
+    folder = f"{checkpoint}/run-name"
+    try:
+        return spark.read.schema("name string").text(folder).first()["name"]
+    except AnalysisException:
+        name = uuid.uuid4().hex
+        spark.createDataFrame([(name,)], "name string").coalesce(1).write.text(folder)
+        return name
+
+
 def current_lifespans(spark: SparkSession, table: str, device: str = "drive_id") -> DataFrame:
-    """The latest state per device out of the change table; extremes make the order of batches irrelevant."""
+    """The latest state per device out of snapshot and changes; extremes make their order irrelevant."""
     return spark.read.option("basePath", table).parquet(table).groupBy(device).agg(
         F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"),
         F.max("failure_day").alias("failure_day"))
 
 
-def compact_changes(spark: SparkSession, table: str, snapshot: str, device: str = "drive_id") -> None:
-    """Write the current state as a new snapshot, so that the many small change files can be retired."""
-    current_lifespans(spark, table, device).write.mode("errorifexists").parquet(snapshot)
+def compact_changes(spark: SparkSession, table: str, device: str = "drive_id") -> None:
+    """Replace the many small change files by one snapshot, which ``current_lifespans`` reads like any change.
+
+    The snapshot is written before the files it covers are deleted; a crash in between leaves rows twice, which changes
+    no minimum or maximum. Files that a running job adds meanwhile stay.
+    """
+    covered = spark.read.option("basePath", table).parquet(table)
+    old = covered.inputFiles()
+    covered.groupBy(device).agg(
+        F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"),
+        F.max("failure_day").alias("failure_day"),
+    ).write.mode("errorifexists").parquet(f"{table}/run=snapshot-{uuid.uuid4().hex}/batch=0")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in old:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, False)
 
 
 def daily_failures(events: DataFrame, ts: str = "ts", failure: str = "failure", lateness: str = "1 day") -> DataFrame:

@@ -110,7 +110,7 @@ anomalies AS (SELECT drive_id, overshoot, failure_days, s.drive_id IS NOT NULL A
 def _anomalies(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.raw_telemetry(spark, sf)
     unknown = dims.unknown_model_drives(v.drives(spark, sf), v.models(spark, sf))
-    return anomalies.anomaly_report(lifespan.lifespans(rows), facts.failure_records(rows), unknown)
+    return anomalies.report_from_histories(lifespan.histories(rows), unknown)
 
 
 @query("anomaly_report", "E5", sql=W + ANOMALIES + " SELECT * FROM anomalies")
@@ -198,8 +198,7 @@ facts AS (SELECT d.id AS drive_id, CAST(date_diff('day', DATE '1970-01-01', CAST
 SELECT drive_id, day, max(failure) AS failure, max(power_on_hours_raw) AS power_on_hours_raw FROM facts GROUP BY drive_id, day""")
 def normalized_records(spark: SparkSession, sf: str) -> DataFrame:
     drives = v.drive_names(spark, sf)
-    rows = facts.normalize_records(v.staging(spark, sf), drives, ["failure", "power_on_hours_raw"])
-    return facts.one_per_day(rows)
+    return facts.normalize_and_collapse(v.staging(spark, sf), drives, ["failure", "power_on_hours_raw"])
 
 
 @query("stored_facts", "D1 A20", sql=W + v.T1 + " SELECT drive_id, day, failure, power_on_hours_raw FROM t1 WHERE day BETWEEN 10227 AND 10956")
@@ -234,11 +233,24 @@ def learning_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Mean durations per model and outcome, with model attributes."""
     rows = v.raw_telemetry(spark, sf)
     models, drives = v.models(spark, sf), v.drives(spark, sf)
-    spans, reported = fleet_jobs.preprocess(rows, None, facts.failure_records(rows), drives, models)
+    spans, reported = fleet_jobs.preprocess(rows, None, drives, models)
     task = fleet_jobs.learning_task(fleet_jobs.survival_stats(spans, reported, drives), models, ["name", "brand_id"], "aggregated")
     return task.frame.withColumn("duration_worked", F.round("duration_worked", 6))
 
 
+@query("preprocessed_in_two_loads", "E2 E3 E4 E5 A17", sql=W + ANOMALIES + """
+SELECT l.drive_id, first_day, last_day, failure_day, overshoot, failure_days, coalesce("unknown", false) AS "unknown"
+FROM lifespans l LEFT JOIN anomalies USING (drive_id)""")
+def preprocessed_in_two_loads(spark: SparkSession, sf: str) -> DataFrame:
+    """Telemetry before and after the cut, loaded one after the other: the same as one load."""
+    rows, models, drives = v.raw_telemetry(spark, sf), v.models(spark, sf), v.drives(spark, sf)
+    stored, _ = fleet_jobs.preprocess(rows.where(F.col("day") < v.CUT), None, drives, models)
+    spans, reported = fleet_jobs.preprocess(rows.where(F.col("day") >= v.CUT), stored, drives, models)
+    text = F.array_join(F.col("failure_days").cast("array<string>"), ",")
+    return spans.drop("failure_days").join(reported.withColumn("failure_days", text), "drive_id", "left").withColumn(
+        "unknown", F.coalesce("unknown", F.lit(False)))
+
+
 @query("censored_drives", "E3", sql=W + v.LIFESPANS + " SELECT drive_id FROM lifespans WHERE failure_day IS NULL")
 def censored_drives(spark: SparkSession, sf: str) -> DataFrame:
     return lifespan.censored_devices(lifespans(spark, sf))

@@ -77,6 +77,13 @@ def test_streamed_lifespans_follow_late_and_repeated_files(spark, tmp_path):
         got = stream.current_lifespans(spark, table)
         want = lifespan.lifespans(spark.createDataFrame(everything, SCHEMA))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    before = len(got.inputFiles())
+    stream.compact_changes(spark, table)
+    got = stream.current_lifespans(spark, table)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and len(got.inputFiles()) < before
+    # A job whose checkpoint is lost starts anew and overwrites nothing of the earlier one.
+    stream.keep_lifespans(facts.where("drive_id = 3"), table, str(tmp_path / "other")).awaitTermination()
+    assert sorted(map(tuple, stream.current_lifespans(spark, table).collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_daily_failures_drop_rows_behind_the_watermark(spark, tmp_path):
