@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,3 +66,18 @@ def every_nth_device(facts: DataFrame, drives: DataFrame, n: int, device: str =
     """Toy subset: all records of every n-th drive. Facts are filtered before they meet the drives."""
     keep = drives.where(F.pmod(F.col("id"), F.lit(n)) == 0).select(F.col("id").alias(device))
     return facts.where(F.pmod(F.col(device), F.lit(n)) == 0).join(keep, device, "left_semi")
+
+
+def toy_subset(
+    facts: DataFrame, dimensions: Mapping[str, DataFrame], target_rows: int, device: str = "drive_id",
+) -> dict[str, DataFrame]:
+    """About ``target_rows`` facts, all of every n-th drive, with the dimension rows they refer to.
+
+    ``dimensions`` are drives, models, brands and vendors; n follows from one count.
+    """
+    n = max(1, -(-facts.count() // target_rows))
+    keep = dimensions["drives"].where(F.pmod(F.col("id"), F.lit(n)) == 0)
+    out = {"facts": every_nth_device(facts, dimensions["drives"], n, device), "drives": keep}
+    for name, above, key in (("models", "drives", "model_id"), ("brands", "models", "brand_id"), ("vendors", "brands", "vendor_id")):
+        out[name] = dimensions[name].join(out[above].select(F.col(key).alias("id")), "id", "left_semi")
+    return out

@@ -17,12 +17,13 @@ from .explain import with_compact_explanation
 
 
 def parse_descriptors(df: DataFrame, text: str, fields: Mapping[str, str], *carry: str) -> DataFrame:
-    """Requests as rows: a JSON list of objects or names, a JSON object, or a bare model name."""
+    """Requests as rows: a JSON list of objects or names, a JSON object, or a bare model name. A malformed list or object
+    gives one row of nulls."""
     struct = "struct<" + ",".join(f"`{n}`:{t}" for n, t in fields.items()) + ">"
     raw = F.trim(F.col(text))
     as_list = raw.startswith("[")
     parts = F.when(as_list, F.from_json(raw, "array<string>"))
-    one = df.select(*carry, F.explode(F.coalesce(parts, F.array(raw))).alias("_part"))
+    one = df.select(*carry, F.explode(F.coalesce(parts, F.array(F.when(~as_list, raw)))).alias("_part"))
     part = F.trim(F.col("_part"))
     record = F.when(part.startswith("{"), F.from_json(part, struct))
     bare = F.when(~part.startswith("{"), part)
@@ -34,16 +35,15 @@ def parse_descriptors(df: DataFrame, text: str, fields: Mapping[str, str], *carr
 
 def score_models(
     requests: DataFrame, enrichers: Mapping[str, Enricher], predict: Callable[[DataFrame], DataFrame],
-    contributions: Sequence[str] = (), anchor: datetime.date | None = None, threshold_ratio: float = 50.0,
+    contributions: Sequence[str], anchor: datetime.date, threshold_ratio: float = 50.0,
 ) -> DataFrame:
     """Enrich, predict, check, explain, name the time, sort by predicted survival.
 
-    ``predict`` adds ``predicted_survival`` and, when contributions are wanted, one ``phi_<feature>`` column each.
+    ``predict`` adds ``predicted_survival`` and, when contributions are wanted, one ``phi_<feature>`` column each. Time spans count from ``anchor``.
     """
     out = reject_nan(predict(enrich(requests, enrichers)), "predicted_survival")
     if contributions:
         out = with_compact_explanation(out, contributions, "explanation", threshold_ratio, "phi_")
         out = out.drop(*[f"phi_{f}" for f in contributions])
-    anchor = anchor or datetime.date(2000, 1, 1)
     out = with_human_span(out, "predicted_survival", "fancy_time", anchor)
     return reorder(sorted_by_prediction(out, ["name"]), ["vendor", "name", "predicted_survival", "fancy_time"])

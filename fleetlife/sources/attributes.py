@@ -31,13 +31,17 @@ def header_names(header_line: str) -> list[str]:
 
 
 def read_lenient_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """One attribute table with its header line; ``line_no`` keeps the order of the lines within the file."""
-    lines = spark.read.text(path).select(
-        F.col("value"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"),
-    )
+    """One attribute table with its header line; ``line_no`` orders the lines by file name and place in the file.
+
+    A block of a file is read by one task from start to end, so the running number orders the lines inside a block, and
+    (file, block, number) orders all of them however blocks were packed into tasks.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select("value", place.alias("line_no"))
     clean = F.trim(F.regexp_replace("value", "#.+$", ""))
-    first = lines.where(F.length(clean) > 0).orderBy("file", "block", "line_no").select(clean.alias("h")).first()
+    first = lines.where(F.length(clean) > 0).orderBy("line_no").select(clean.alias("h")).first()
     if first is None:
         raise ValueError(f"no lines in {path}")
     header = header_names(first["h"])

@@ -396,6 +396,26 @@ def toy_subset(spark: SparkSession, sf: str) -> DataFrame:
     return facts.every_nth_device(v.telemetry(spark, sf), drives, 10)
 
 
+@query("toy_subset_by_size", "A15", sql=W + v.T1 + ", " + v.DIMS + """,
+n AS (SELECT greatest(1, CAST(ceil(count(*) / 2000.0) AS BIGINT)) AS n FROM t1), d AS (SELECT drives.* FROM drives, n WHERE id % n = 0),
+m AS (SELECT * FROM models WHERE id IN (SELECT model_id FROM d)), b AS (SELECT * FROM brands WHERE id IN (SELECT brand_id FROM m))
+SELECT 'drives' AS "table", id, serial_number AS name FROM d UNION ALL SELECT 'models', id, name FROM m UNION ALL SELECT 'brands', id, name FROM b
+UNION ALL SELECT 'vendors', id, name FROM vendors WHERE id IN (SELECT vendor_id FROM b)
+UNION ALL SELECT 'facts', drive_id, CAST(day AS VARCHAR) FROM t1, n WHERE drive_id % n = 0""")
+def toy_subset_by_size(spark: SparkSession, sf: str) -> DataFrame:
+    """About 2,000 records with the dimensions they need."""
+    parts = facts.toy_subset(v.telemetry(spark, sf), all_dimensions(spark, sf), 2000)
+    names = {"drives": "serial_number"}
+    rows = parts.pop("facts").select(F.lit("facts").alias("table"), F.col("drive_id").alias("id"), F.col("day").cast("string").alias("name"))
+    for name, df in parts.items():
+        rows = rows.unionByName(df.select(F.lit(name).alias("table"), F.col("id").cast("bigint").alias("id"), F.col(names.get(name, "name")).alias("name")))
+    return rows
+
+
+def all_dimensions(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {"vendors": v.vendors(spark, sf), "brands": v.brands(spark, sf), "models": v.models(spark, sf), "drives": v.drives(spark, sf)}
+
+
 @query("lifespan_histogram", "E14", sql=W + v.LIFESPANS + ", " + v.DIMS + """,
 lin AS (SELECT l.last_day - l.first_day AS days, v.name AS vendor_name, b.name AS brand_name, m.name AS model_name
   FROM lifespans l JOIN drives d ON d.id = l.drive_id JOIN models m ON m.id = d.model_id
@@ -411,10 +431,10 @@ def lifespan_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("exported_dimensions", "A13 A20", sql=W + v.DIMS + """
 SELECT 'vendors' AS "table", id, name FROM vendors UNION ALL SELECT 'models', id, name FROM models
-UNION ALL SELECT 'drives', id, serial_number FROM drives""")
+UNION ALL SELECT 'brands', id, name FROM brands UNION ALL SELECT 'drives', id, serial_number FROM drives""")
 def exported_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     root = new_folder(spark, "export")
-    tables = {"vendors": v.vendors(spark, sf), "models": v.models(spark, sf), "drives": v.drives(spark, sf)}
+    tables = all_dimensions(spark, sf)
     out = None
     for name in store.export_tables(tables, root):
         back = store.read_table(spark, root, name)
@@ -426,6 +446,11 @@ def exported_dimensions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dimension_documents", "A14", sql=W + v.DIMS + """
 SELECT 'vendors' AS "table", '{"id":' || id || ',"name":"' || name || '"}' AS document FROM vendors UNION ALL
+SELECT 'brands', '{"id":' || id || ',"name":"' || name || '","vendor_id":' || vendor_id || ',"model_name_regex":"' || model_name_regex || '"}' FROM brands UNION ALL
+SELECT 'models', '{"id":' || id || ',"name":"' || name || '"' || coalesce(',"brand_id":' || brand_id, '') || '}' FROM models UNION ALL
 SELECT 'drives', '{"id":' || id || ',"model_id":' || model_id || ',"serial_number":"' || serial_number || '"}' FROM drives""")
 def dimension_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return store.as_document_lines({"vendors": v.vendors(spark, sf), "drives": v.drives(spark, sf)})
+    """All dimensions written as JSON lines and read again."""
+    root = new_folder(spark, "documents")
+    store.export_documents(all_dimensions(spark, sf), root)
+    return spark.read.schema("value string, `table` string").text(root).select("table", F.col("value").alias("document"))

@@ -10,7 +10,7 @@ from ..functions import text, weibull_math
 from ..functions.staging_area import new_folder
 from ..operators import enrich, strata
 from ..plans.score import parse_descriptors
-from ..sources import attributes, catalogue, telemetry
+from ..sources import attributes, catalogue, smart_schema, telemetry
 from . import views as v
 from .registry import query
 
@@ -52,13 +52,12 @@ def attribute_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("attribute_file", "A6 A7", sql=W + TYPED + " SELECT * FROM latest")
 def attribute_file(spark: SparkSession, sf: str) -> DataFrame:
-    """The same table through a file on disk; the line's own id keeps its order across files."""
+    """The same table through files on disk, whose names and lines keep the order."""
     path = new_folder(spark, "attributes")
     head = spark.createDataFrame([(-1, "db_id\tbrand\tmodel\tfirst known date")], "p_partkey bigint, line string")
     lines = head.unionByName(model_lines(spark, sf))
     lines.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").select("line").write.text(path)
-    rows = attributes.read_lenient_tsv(spark, path).withColumn("line_no", F.col("db_id").cast("bigint"))
-    return attributes.attribute_table(rows, order="line_no")
+    return attributes.attribute_table(attributes.read_lenient_tsv(spark, path), order="line_no")
 
 
 # Model names with a vendor word, for normalisation.
@@ -355,6 +354,34 @@ def staged_csv(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.read_daily_csv(spark, root, schema)
 
 
+@query("staged_smart_csv", "A1 A2 A4 A5", sql=W + v.STAGING + """
+SELECT date, serial_number, CASE WHEN date LIKE '%-15' THEN NULL ELSE model END AS model, failure,
+  CASE WHEN date >= '1998-01-01' THEN power_on_hours_raw * 10 END AS capacity_bytes,
+  power_on_hours_raw AS "Power_On_Hours_raw", power_on_hours_raw % 100 AS "Power_On_Hours_normalized",
+  CASE WHEN date >= '1998-01-01' THEN power_on_hours_raw % 50 END AS "Temperature_Celsius_raw", 94 AS columns FROM staging""")
+def staged_smart_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of two layouts and column orders through the full staging schema to the columns of the facts."""
+    root = new_folder(spark, "smart")
+    hours = F.col("power_on_hours_raw")
+    rows = v.staging(spark, sf).withColumn("model", F.when(~F.col("date").endswith("-15"), F.col("model")))
+    old = rows.where("date < '1998-01-01'").select(
+        "date", "serial_number", "model", "failure", (hours % 100).alias("smart_9_normalized"), hours.alias("smart_9_raw"))
+    new = rows.where("date >= '1998-01-01'").select(
+        "model", (hours * 10).alias("capacity_bytes"), hours.alias("smart_9_raw"), "serial_number", (hours % 100).alias("smart_9_normalized"),
+        "failure", (hours % 50).alias("smart_194_raw"), "date")
+    for name, part in (("old", old), ("new", new)):
+        part.write.option("header", True).csv(f"{root}/data_{name}")
+    staged = smart_schema.prettify(telemetry.read_daily_csv(spark, root, smart_schema.staging_schema()))
+    schema = smart_schema.fact_schema()
+    head = ["date", "serial_number", "model"]
+    facts = telemetry.align_schema(staged.select(*[c for c in staged.columns if c in schema.names]), schema)
+    wide = staged.select(*head, *[F.col(f"`{c}`") for c in facts.columns if c in staged.columns])
+    return wide.select(
+        *head, F.col("failure").cast("int").alias("failure"), "capacity_bytes", "Power_On_Hours_raw",
+        F.col("Power_On_Hours_normalized").cast("bigint").alias("Power_On_Hours_normalized"), "Temperature_Celsius_raw",
+        F.lit(len(facts.columns) - 4).alias("columns"))
+
+
 @query("aligned_schema", "A5", sql=W + v.T1_RAW + """
 SELECT drive_id, day, CASE WHEN day >= 10227 THEN failure END AS failure, CASE WHEN day >= 10227 THEN power_on_hours_raw END AS power_on_hours_raw,
   CAST(NULL AS DOUBLE) AS temperature FROM t1_raw""")

@@ -172,7 +172,7 @@ class FakeSession:
         self.configured, self.current, self.master = configured, current, master
         self.conf, self.sparkContext = self, self
 
-    def get(self, key, default):
+    def get(self, key, default="hdfs://warehouse/"):
         return self.configured if key == "spark.checkpoint.dir" and self.configured else default
 
     def getCheckpointDir(self):
@@ -186,7 +186,5 @@ def test_shared_folder_comes_from_the_session():
     cluster = FakeSession("spark://host", configured="hdfs://shared/x/")
     assert staging_area.shared_root(cluster) == "hdfs://shared/x" and cluster.current == "hdfs://shared/x/"
     assert staging_area.shared_root(FakeSession("yarn", current="hdfs://set")) == "hdfs://set"
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        staging_area.shared_root(FakeSession("yarn"))
-    local = FakeSession("local[2]")
-    assert staging_area.shared_root(local) == staging_area.shared_root(local)
+    for master in ("yarn", "local[2]"):  # unset: below the warehouse, never a folder of one machine
+        assert staging_area.shared_root(FakeSession(master)) == "hdfs://warehouse/_stages"
