@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from fleetlife.functions.staging_area import forget, stage
 
 
+SALTS = 16  # tasks over which the rows of one node are spread
+
+
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    """Adds to (u, v) the smallest v of u. Aggregated before the shuffle and joined back, so a node with very many
-    neighbours is neither gathered in a task nor ordered."""
-    return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("least")), "u")
+    """Adds to (u, v) the smallest v of u.
+
+    It is aggregated before the shuffle and joined back on (node, salt), so a node with very many neighbours, as the
+    root of a large component is, meets in no single task and is never ordered.
+    """
+    least = pairs.groupBy("u").agg(F.min("v").alias("least")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, ["u", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
