@@ -182,7 +182,9 @@ def build_index(
 
     share_code(vectors.sparkSession)
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    return vectors.withColumn("shard", shard).groupBy("shard").applyInPandas(
+    # Many more partitions than shards, so that hardly two shards share a task; a shard is much work on few bytes, so
+    # adaptive execution must not put them together by size (it leaves a given number alone).
+    return vectors.withColumn("shard", shard).repartition(4 * shards, "shard").groupBy("shard").applyInPandas(
         run, "shard int, node int, vector array<double>, vec_ids array<bigint>, edges array<int>, start int, longest double")
 
 
@@ -201,8 +203,11 @@ def search(
     shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
     each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    left = index.select("*", each_block)
-    right = asked.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each_shard)
+    parts = 4 * shards * blocks
+    left = index.select("*", each_block).repartition(parts, "shard", "block")
+    right = asked.select(
+        "query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each_shard,
+    ).repartition(parts, "shard", "block")
 
     def run(nodes: pd.DataFrame, wanted: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
