@@ -22,6 +22,8 @@ LEXICON = 1500  # terms of the lexicon, at most
 STEMS = range(3, 9)  # lengths of word beginnings that may become terms
 LEAST_ODDS = 3.0  # natural log of how much more often a term stands in toxic texts
 LEAST_EVIDENCE = 20.0  # log-likelihood ratio of a term
+COVER = 3  # terms that a toxic text should hold
+LEAST_GAIN = 0.01  # of the toxic texts that a further term must help to that many
 MISSPELT = 0.7  # what an unseen misspelling counts of its term
 SIDE = 80  # characters of context on either side
 REMEMBERED = 300_000  # words whose matches a task keeps
@@ -239,6 +241,44 @@ def _evidence(toxic: int, other: int, n_toxic: int, n_other: int) -> float:
     return 2 * g
 
 
+def _terms_in(words: frozenset[str], stems: frozenset[str]):
+    """Per text the terms it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                found = []
+                for text in part:
+                    here = set(WORD.findall((text or "").lower()))
+                    begun = {w[:n] for w in here for n in STEMS if n < len(w)} & stems
+                    found.append(";".join(sorted([*(here & words), *(f"{s}*" for s in begun)])))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["terms"])
+
+    return run
+
+
+def covering_terms(texts: list[set[str]], least: int) -> list[str]:
+    """Terms picked one by one, each for the most texts that hold fewer than ``COVER`` picked ones, as long as there are
+    ``least`` of them. Words that stand in many toxic texts only because these are copies of each other add nothing to the
+    true terms in them, and are left out."""
+    holders: dict[str, set[int]] = {}
+    for i, terms in enumerate(texts):
+        for t in terms:
+            holders.setdefault(t, set()).add(i)
+    wanting, short, picked = set(range(len(texts))), [COVER] * len(texts), []
+    while holders:
+        best = max(holders, key=lambda t: (len(holders[t] & wanting), -len(t), t))
+        helped = holders.pop(best) & wanting
+        if len(helped) < least:
+            break
+        picked.append(best)
+        for i in helped:
+            short[i] -= 1
+            if not short[i]:
+                wanting.discard(i)
+    return picked
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Weighted logistic regression with a small ridge, by Newton steps; ``y`` toxic of ``n`` texts per row."""
     x = np.c_[x, np.ones(len(x))]
@@ -280,8 +320,8 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learn lexicon, weights and context coefficients from labelled documents outside the held-out fold.
 
-    Terms are words, and beginnings of words, that stand far more often in toxic texts; counts are summed by Spark and
-    at most ``LEXICON`` terms reach the driver. Then the sample is matched, and every (term, errors) gets the log odds of
+    Terms are words, and beginnings of words, that stand far more often in toxic texts; counts are summed by Spark, the
+    best of them reach the driver, and those that cover the toxic texts make the lexicon. Then the sample is matched, and every (term, errors) gets the log odds of
     its own counts, so that a chance neighbour of a term has no weight. Without labels the score is 0 everywhere.
     """
     sample = stage(training_texts(docs, labels, doc, text, sample_texts), "toxicity-sample")
@@ -308,7 +348,9 @@ def fit_toxicity(
         if not s.startswith(tuple(stems)) and largest.get(s, 0) < 0.8 * good[f"{s}*"].toxic:
             stems.append(s)
     words = [w for w in whole if not w.startswith(tuple(stems))]
-    terms = sorted([*words, *(f"{s}*" for s in stems)], key=lambda t: (-good[t].toxic, t))[:LEXICON]
+    # One row per toxic text of the sample, which is bounded.
+    held = sample.where("toxic = 1").mapInArrow(_terms_in(frozenset(words), frozenset(stems)), "terms string").collect()
+    terms = covering_terms([set(r.terms.split(";")) - {""} for r in held], max(3, math.ceil(LEAST_GAIN * n_toxic)))[:LEXICON]
     numbers = {t: i for i, t in enumerate(terms)}
     automaton = LexiconAutomaton({t: i for t, i in numbers.items() if not t.endswith("*")},
                                  {t[:-1]: i for t, i in numbers.items() if t.endswith("*")})
