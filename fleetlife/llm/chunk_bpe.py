@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -17,9 +18,11 @@ from fleetlife.llm.common import on_texts
 
 WINDOW = 16  # bytes that the rolling hash sees
 CHUNK_BITS = 10  # a chunk has about 2 ** CHUNK_BITS bytes
-REUSED_BYTES = 48 << 20  # texts of chunks and words that a task remembers
+REMEMBERED_WORDS = 250_000  # words whose ids a task remembers
+REMEMBERED_CHUNKS = 16 << 20  # bytes of repeated chunks that it remembers
+REMEMBERED_HASHES = 300_000  # hashes of chunks that it has met once
 BLOCK = 64
-SPACES = b" \t\n\r"
+TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
 def rolling_hash(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -44,6 +47,12 @@ def cut_points(data: bytes, bits: int = CHUNK_BITS) -> list[int]:
     return at.tolist()
 
 
+def split_words(chunk: bytes) -> list[str]:
+    """Its words. Only ASCII white space separates them: it never takes part in a token or in normalisation."""
+    words = chunk.translate(TO_SPACE).decode("utf-8", "surrogatepass").split(" ")
+    return [w for w in words if w] if "" in words else words
+
+
 @dataclass
 class ChunkEncoder:
     """Encodes texts piece by piece; every distinct chunk is encoded once while it is remembered.
@@ -59,10 +68,12 @@ class ChunkEncoder:
 
     tokenizer: Tokenizer
     bits: int = CHUNK_BITS
-    limit: int = REUSED_BYTES
+    most_words: int = REMEMBERED_WORDS
+    most_chunk_bytes: int = REMEMBERED_CHUNKS
     words: dict[str, tuple[bytes, str]] = field(default_factory=dict)
     chunks: dict[bytes, tuple[bytes, str, str | None, str | None]] = field(default_factory=dict)
     joins: dict[tuple[str, str], bool] = field(default_factory=dict)
+    met: set[int] = field(default_factory=set)
     held: int = 0
     encoded_chunks: int = 0
     reused_chunks: int = 0
@@ -107,7 +118,6 @@ class ChunkEncoder:
             parts.append(ids[start:])
             self.words.update((w, self._entry(p)) for w, p in zip(block, parts, strict=True))
         self.words.update((w, self._entry(ids)) for w, ids in zip(alone, self.plain(alone), strict=True))
-        self.held += sum(map(len, new)) + 160 * len(new)
 
     def _combine(self, words: list[str]) -> tuple[bytes, str]:
         entries = [self.words[w] for w in words]
@@ -115,45 +125,60 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        if self.held > self.limit:
-            self.words, self.chunks, self.joins, self.held = {}, {}, {}, 0
         cut = []
         for text in texts:
             data = (text or "").encode("utf-8", "surrogatepass")
             at = [0, *cut_points(data, self.bits), len(data)]
             cut.append([data[a:b] for a, b in zip(at, at[1:], strict=False) if b > a])
         new = list(dict.fromkeys(c for parts in cut for c in parts if c not in self.chunks))
-        # Only ASCII white space separates words: it never takes part in a token or in normalisation.
-        split = {c: [w.decode("utf-8", "surrogatepass") for w in c.split()] for c in new}
+        split = {c: split_words(c) for c in new}
         self._learn(list({w for words in split.values() for w in words if w not in self.words}))
-        for chunk, words in split.items():
-            ids, decoded = self._combine(words)
-            self.chunks[chunk] = (ids, decoded, words[0] if words else None, words[-1] if words else None)
-            self.held += len(chunk) + len(ids) + len(decoded) + 300
+        here = {c: (*self._combine(words), words[0] if words else None, words[-1] if words else None) for c, words in split.items()}
+        known = here | {c: self.chunks[c] for parts in cut for c in parts if c in self.chunks}
         self.encoded_chunks += len(new)
         self.reused_chunks += sum(map(len, cut)) - len(new)
-        self._check_joins(cut)
-        return [self._join(parts) for parts in cut]
+        self._check_joins(cut, known)
+        out = [self._join(parts, known) for parts in cut]
+        self._remember(here, Counter(c for parts in cut for c in parts))
+        if len(self.words) > self.most_words:  # go on with the vocabulary of the latest texts
+            self.words = {w: self.words[w] for words in split.values() for w in words}
+        return out
+
+    def _remember(self, here: dict[bytes, tuple], times: Counter) -> None:
+        """Keep the chunks that have come up before or more than once now; of the others keep a hash. Most chunks are never
+        met again, so what is remembered are the passages that documents share."""
+        if self.held > self.most_chunk_bytes:
+            self.chunks, self.held = {}, 0
+        if len(self.met) > REMEMBERED_HASHES:
+            self.met.clear()
+        for chunk, entry in here.items():
+            number = hash(chunk)
+            if times[chunk] > 1 or number in self.met:
+                self.chunks[chunk] = entry
+                self.held += len(chunk) + len(entry[0]) + len(entry[1]) + 300
+            else:
+                self.met.add(number)
 
-    def _ends(self, parts: list[bytes]):
+    @staticmethod
+    def _ends(parts: list[bytes], known: dict[bytes, tuple]) -> list[tuple[str, str]]:
         """Pairs (last word, first word) at the joins between chunks that hold words."""
-        filled = [e for e in map(self.chunks.__getitem__, parts) if e[2] is not None]
+        filled = [e for e in map(known.__getitem__, parts) if e[2] is not None]
         return [(a[3], b[2]) for a, b in zip(filled, filled[1:], strict=False)]
 
-    def _check_joins(self, cut: list[list[bytes]]) -> None:
-        """Encode both words of every new join together and remember whether their ids stay as they are."""
-        new = list({j for parts in cut if len(parts) > 1 for j in self._ends(parts) if j not in self.joins})
+    def _check_joins(self, cut: list[list[bytes]], known: dict[bytes, tuple]) -> None:
+        """Encode both words of every join together and note whether their ids stay as they are."""
+        new = list({j for parts in cut if len(parts) > 1 for j in self._ends(parts, known)})
+        self.joins = {}
         lacking = list({w for j in new for w in j if w not in self.words})
         self._learn(lacking)
         for start in range(0, len(new), 4096):
             part = new[start : start + 4096]
             for join, ids in zip(part, self.plain([f"{a} {b}" for a, b in part]), strict=True):
                 self.joins[join] = np.array(ids, "<u4").tobytes() == self.words[join[0]][0] + self.words[join[1]][0]
-        self.held += 200 * len(new)
 
-    def _join(self, parts: list[bytes]) -> tuple[bytes, str]:
-        entries = [self.chunks[p] for p in parts]
-        if all(self.joins[j] for j in self._ends(parts)):
+    def _join(self, parts: list[bytes], known: dict[bytes, tuple]) -> tuple[bytes, str]:
+        entries = [known[p] for p in parts]
+        if all(self.joins[j] for j in self._ends(parts, known)):
             ids, decoded = b"".join([e[0] for e in entries]), " ".join([e[1] for e in entries if e[1]])
         else:
             self.repaired += 1
@@ -192,8 +217,8 @@ def encode_digests(text: str | Column, tokenizer: str | None = None) -> Column:
     """A struct (n_tokens, ids_sha256, decoded_sha256) of the whole text; null counts as empty.
 
     ``tokenizer`` is a file that all executors have; by default the public word BPE of 49k entries. Decoding joins the
-    tokens by a space, which is what a tokenizer without a decoder does. What is remembered lives in a Python worker
-    and is dropped beyond ``REUSED_BYTES``, so memory does not grow with the corpus.
+    tokens by a space, which is what a tokenizer without a decoder does. What is remembered lives in a Python worker,
+    within fixed limits, so memory does not grow with the corpus.
     """
     def make():
         if tokenizer is None:
