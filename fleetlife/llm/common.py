@@ -38,13 +38,16 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[str | Non
         yield texts.slice(start).to_pylist()
 
 
-def on_texts(make: Callable[[], Callable[[list[str | None]], dict[str, list]]], schema: pa.Schema):
-    """An Arrow UDF from a text column to a struct. ``make`` runs once per task and returns the function on lists."""
+def on_texts(
+    make: Callable[[], Callable[[list[str | None]], dict[str, list]]], schema: pa.Schema, limit: int = SLICE_BYTES,
+):
+    """An Arrow UDF from a text column to a struct. ``make`` runs once per task and returns the function on lists, which
+    hold ``limit`` bytes of text at most (or one text)."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = make()
         for batch in batches:
-            parts = [pa.RecordBatch.from_pydict(work(part), schema=schema).to_struct_array() for part in slices(batch)]
+            parts = [pa.RecordBatch.from_pydict(work(part), schema=schema).to_struct_array() for part in slices(batch, limit)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(schema)))
 
     share_code(SparkSession.active())

@@ -20,6 +20,7 @@ WINDOW = 200  # words of a training sequence; a text gives as many as it needs
 BUCKETS = 1 << 15
 LEXICON = 5000
 GRAM = 4
+TOGETHER = 4 << 20  # bytes of text whose words are labelled side by side
 REMEMBERED = 200_000  # words whose scores a task keeps
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -140,7 +141,7 @@ def _flat(labels: int) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros((labels, labels)), np.zeros(labels)
 
 
-def language_of(model: LanguageModel, text: str | Column = "text", spark=None) -> Column:
+def language_of(model: LanguageModel, text: str | Column = "text") -> Column:
     """A struct (lang_pred, score) per text: the language with the largest expected share of words, and that share.
 
     Shares come from forward-backward over all words, so a code-switched text has a smaller one. A text that is null or
@@ -155,7 +156,7 @@ def language_of(model: LanguageModel, text: str | Column = "text", spark=None) -
 
         return work
 
-    return on_texts(make, schema)(F.col(text) if isinstance(text, str) else text)
+    return on_texts(make, schema, TOGETHER)(F.col(text) if isinstance(text, str) else text)
 
 
 def identify(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
