@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +35,7 @@ def read_daily_csv(spark: SparkSession, path: str | list[str], schema: T.StructT
         names = [n.strip().strip('"') for n in layout.head.lstrip("\ufeff").split(",")]
         types = {f.name: f.dataType for f in schema.fields}
         own = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-        read = spark.read.schema(own).option("header", True).option("enforceSchema", True).csv(layout.files)
+        read = spark.read.schema(own).option("header", True).option("enforceSchema", True).csv([unquote(f) for f in layout.files])
         read = drop_repeated_headers(read, "model" if "model" in names else names[0])
         out = out.unionByName(align_schema(read.select(*[n for n in names if n in types]), schema))
     return out
