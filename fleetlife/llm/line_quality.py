@@ -127,7 +127,8 @@ def fit_lines(
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         F.min(F.col("quality").cast("int")).alias("quality"))
-    half = [F.broadcast(bounded_sample(known.where(F.col("quality") == q), ["doc_id"], sample_texts // 2)) for q in (0, 1)]
+    half = [bounded_sample(known.where(F.col("quality") == q), ["doc_id"], sample_texts // 2) for q in (0, 1)]
+    chosen = F.broadcast(half[0].unionByName(half[1]))  # bounded by sample_texts
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     schema = pa.schema([("values", pa.list_(pa.float64()))])
 
@@ -136,11 +137,13 @@ def fit_lines(
             for i in range(batch.num_rows):
                 values = describe(batch.column(0)[i].as_py())[1]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(i, 1), pa.array([values.ravel()], schema.field(0).type)], names=["quality", "values"])
+                    [batch.column(1).slice(i, 1), batch.column(2).slice(i, 1), pa.array([values.ravel()], schema.field(0).type)],
+                    names=["quality", "doc_id", "values"])
 
     share_code(docs.sparkSession)
-    sample = rows.join(half[0].unionByName(half[1]), "doc_id").select("text", "quality").mapInArrow(
-        lines, "quality int, values array<double>").collect()
+    sample = rows.join(chosen, "doc_id").select("text", "quality", F.col("doc_id").cast("string").alias("doc_id")).mapInArrow(
+        lines, "quality int, doc_id string, values array<double>").collect()
+    sample.sort(key=lambda r: (r.doc_id, r["values"]))  # the fit does not depend on the order of tasks
     texts = [(np.array(r["values"]).reshape(-1, len(FEATURES)), r.quality) for r in sample if len(r["values"])]
     size = len(FEATURES) * STEPS + 1
     if len({q for _, q in texts}) < 2:
