@@ -108,6 +108,18 @@ def nested_survival(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(km.nested_curves(v.subjects_with_brand(spark, sf), "p_type", "l_linestatus"))
 
 
+@query("brand_view", "F4", sql=curve_sql(v.REDUCED_SUBJECTS + ", " + v.DIMS + """,
+placed AS (SELECT brand_id, model_id, duration_worked, failed FROM subjects s JOIN drives d ON d.id = s.drive_id
+  JOIN models m ON m.id = d.model_id WHERE brand_id IS NOT NULL),
+twofold AS (SELECT 'secondary' AS level, brand_id, model_id, duration_worked, failed FROM placed
+  UNION ALL SELECT 'primary', brand_id, NULL, duration_worked, failed FROM placed)""", "twofold", ["level", "brand_id", "model_id"]))
+def brand_view(spark: SparkSession, sf: str) -> DataFrame:
+    """The named view of brands: a curve per brand and one per model inside it."""
+    place = v.drives(spark, sf).select(F.col("id").alias("drive_id"), "model_id").join(
+        v.models(spark, sf).select(F.col("id").alias("model_id"), "brand_id"), "model_id")
+    return rounded(km.named_view(fleet.survival_subjects(spark, sf).join(place, "drive_id"), "brand"))
+
+
 BINNED = v.SV + """,
 moments AS (SELECT count(*)::DOUBLE AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high, avg(l_extendedprice) AS mu FROM sv),
 shape AS (SELECT any_value(n) AS n, any_value(low) AS low, any_value(high) AS high,
