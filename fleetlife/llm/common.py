@@ -16,12 +16,24 @@ SLICE_BYTES = 8 << 20  # texts that a task holds as Python objects at once
 def share_code(spark: SparkSession) -> None:
     """Let Python workers import this library from where the driver has it. On a cluster that has no such path, ship it
     with ``--py-files`` or install it as usual; the entry then does no harm."""
+    bound_batches(spark)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+BATCH_ROWS, BATCH_BYTES = "1000", "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than the default of 10,000 rows, where the session has not chosen its own: texts may be long,
+    and a batch is held by the JVM and by the Python worker at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
