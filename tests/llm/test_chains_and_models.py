@@ -128,6 +128,14 @@ def test_automaton_agrees_with_edit_distances():
         assert got == want, t
 
 
+def test_copies_bring_no_terms_of_their_own():
+    true = [{"bad", "worse", "worst", f"rare{i}"} for i in range(50)]
+    copies = [{"bad", "worse", "worst", "copied", "words"} for _ in range(40)]
+    lone = [{"bad"} for _ in range(5)]
+    assert sorted(toxicity.covering_terms(true + copies + lone, 3)) == ["bad", "worse", "worst"]
+    assert toxicity.covering_terms([], 3) == [] and toxicity.covering_terms([{"a"}] * 2, 3) == []
+
+
 def test_quotation_is_told_from_abuse():
     assert toxicity.quoted('she read "you are an ', ' of a man" aloud')
     assert toxicity.quoted("he said that the word ", " was used")
