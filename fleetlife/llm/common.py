@@ -65,7 +65,7 @@ def on_texts(
     share_code(SparkSession.active())
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     names = {pa.int64(): "bigint", pa.int32(): "int", pa.float64(): "double", pa.string(): "string",
-             pa.bool_(): "boolean"}
+             pa.bool_(): "boolean", pa.binary(): "binary"}
     return F.arrow_udf(run, ", ".join(f"`{f.name}` {names[f.type]}" for f in schema))
 
 

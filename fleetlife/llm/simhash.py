@@ -198,11 +198,15 @@ def near_duplicates(
 def keep_one_each(
     docs: DataFrame, radius: int = RADIUS, doc: str = "doc_id", text: str = "text", words: int = WORDS,
 ) -> DataFrame:
-    """The row of ``docs`` with the smallest id of every component, with all its columns.
+    """One row of every component, as ``keep_one_of`` chooses it."""
+    return keep_one_of(docs, near_duplicates(docs, radius, doc, text, words), doc, text)
+
+
+def keep_one_of(docs: DataFrame, found: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of ``docs`` with the smallest id of every ``root`` of ``found`` (doc_id, root, digest), with all its columns.
 
     Of a component without ids, and of rows that repeat id and text, one row stays.
     """
-    found = near_duplicates(docs, radius, doc, text, words)
     lowest = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.coalesce("digest", F.lit("")).alias("digest"))
     chosen = found.groupBy("root").agg(F.min(lowest).alias("k")).select(
         F.col("k.doc_id").alias("k_id"), F.col("k.digest").alias("k_digest"))
