@@ -26,6 +26,7 @@ COVER = 3  # terms that a toxic text should hold
 LEAST_GAIN = 0.01  # of the toxic texts that a further term must help to that many
 MISSPELT = 0.7  # what an unseen misspelling counts of its term
 SIDE = 80  # characters of context on either side
+LONGEST_SHORT = 9  # letters of a word that has one error against a term of up to 8
 REMEMBERED = 300_000  # words whose matches a task keeps
 WORD = re.compile(r"[^\W_]+")
 # Cue words of reported speech and of address, in the languages at hand.
@@ -41,6 +42,16 @@ def edits_for(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def _shorter(word: str) -> set[str]:
+    """The word with one letter left out."""
+    return {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def _pieces(size: int, errors: int) -> list[tuple[int, int]]:
+    cuts = [round(i * size / (errors + 1)) for i in range(errors + 2)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 @dataclass
 class LexiconAutomaton:
     """The Levenshtein automata of all terms, intersected with the trie of the lexicon and made deterministic as needed.
@@ -61,14 +72,44 @@ class LexiconAutomaton:
     moves: list[dict[str, int]] = field(default_factory=list)
     stems_at: list[tuple[int, ...]] = field(default_factory=list)
     accepts: list[tuple[tuple[int, int], ...]] = field(default_factory=list)
+    exact: set[str] = field(default_factory=set)
+    shortened: set[str] = field(default_factory=set)
+    pieces: dict[int, dict[tuple[int, int], set[str]]] = field(default_factory=dict)
+    beginnings: dict[tuple[int, int], set[str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for term, number in self.words.items():
             self.ends[self._path(term, edits_for(term))] = number
         for term, number in self.stems.items():
             self.stem_ends[self._path(term, 0)] = number
+        self._index()
         self._reset()
 
+    def _index(self) -> None:
+        """What a matching word has in common with its term, so that other words need not enter the automaton: with one
+        error, a form with at most one letter left out; with more, one of ``errors + 1`` pieces, shifted by the errors at
+        most; of a stem, the beginning."""
+        for term in self.words:
+            errors = edits_for(term)
+            self.exact.add(term)
+            if errors == 1:
+                self.shortened |= _shorter(term) | {term}
+            elif errors:
+                for a, b in _pieces(len(term), errors):
+                    for size in range(len(term) - errors, len(term) + errors + 1):
+                        for at in range(max(0, a - errors), min(a + errors, size - (b - a)) + 1):
+                            self.pieces.setdefault(size, {}).setdefault((at, at + b - a), set()).add(term[a:b])
+        for stem in self.stems:
+            self.beginnings.setdefault((0, len(stem)), set()).add(stem)
+
+    def may_match(self, word: str) -> bool:
+        """False only for words that ``match`` finds no term for."""
+        return (
+            word in self.exact
+            or any(word[a:b] in known for (a, b), known in self.beginnings.items())
+            or any(word[a:b] in known for (a, b), known in self.pieces.get(len(word), {}).items())
+            or (bool(self.shortened) and len(word) <= LONGEST_SHORT and (word in self.shortened or not self.shortened.isdisjoint(_shorter(word)))))
+
     def _path(self, term: str, errors: int) -> int:
         node = 0
         self.budget[0] = max(self.budget[0], errors)
@@ -173,7 +214,7 @@ class Matcher:
         for w in set(WORD.findall(low)) - self.others:
             m = self.matching.get(w)
             if m is None:
-                m = self.automaton.match(w)
+                m = self.automaton.match(w) if self.automaton.may_match(w) else ()
                 if m:
                     self.matching[w] = m
                 else:
@@ -183,8 +224,8 @@ class Matcher:
         if not found:
             return []
         direct: dict[str, bool] = {}
-        for place in re.finditer("|".join(rf"(?<![^\W_]){re.escape(w)}(?![^\W_])" for w in found), low):
-            if not direct.get(place[0]):
+        for place in WORD.finditer(low):
+            if place[0] in found and not direct.get(place[0]):
                 a, b = place.span()
                 direct[place[0]] = not quoted(low[max(0, a - SIDE) : a], low[b : b + SIDE])
         return [(term, errors, not direct.get(w, True)) for w, m in sorted(found.items()) for term, errors in m]
@@ -321,8 +362,8 @@ def fit_toxicity(
     """Learn lexicon, weights and context coefficients from labelled documents outside the held-out fold.
 
     Terms are words, and beginnings of words, that stand far more often in toxic texts; counts are summed by Spark, the
-    best of them reach the driver, and those that cover the toxic texts make the lexicon. Then the sample is matched, and every (term, errors) gets the log odds of
-    its own counts, so that a chance neighbour of a term has no weight. Without labels the score is 0 everywhere.
+    best of them reach the driver, and all with enough odds and evidence make the lexicon, up to ``LEXICON``. Then the sample
+    is matched, and every (term, errors) gets the log odds of its own counts, so that a chance neighbour of a term has no weight. Without labels the score is 0 everywhere.
     """
     sample = stage(training_texts(docs, labels, doc, text, sample_texts), "toxicity-sample")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -348,9 +389,13 @@ def fit_toxicity(
         if not s.startswith(tuple(stems)) and largest.get(s, 0) < 0.8 * good[f"{s}*"].toxic:
             stems.append(s)
     words = [w for w in whole if not w.startswith(tuple(stems))]
-    # One row per toxic text of the sample, which is bounded.
-    held = sample.where("toxic = 1").mapInArrow(_terms_in(frozenset(words), frozenset(stems)), "terms string").collect()
-    terms = covering_terms([set(r.terms.split(";")) - {""} for r in held], max(3, math.ceil(LEAST_GAIN * n_toxic)))[:LEXICON]
+    terms = [*words, *(f"{s}*" for s in stems)]
+    if len(terms) > LEXICON:  # those that cover the toxic texts first, then those with the most evidence
+        # One row per toxic text of the sample, which is bounded.
+        held = sample.where("toxic = 1").mapInArrow(_terms_in(frozenset(words), frozenset(stems)), "terms string").collect()
+        first = covering_terms([set(r.terms.split(";")) - {""} for r in held], max(3, math.ceil(LEAST_GAIN * n_toxic)))
+        proof = {t: _evidence(good[t].toxic, good[t].other, n_toxic, n_other) for t in terms}
+        terms = [*first, *sorted(set(terms) - set(first), key=lambda t: (-proof[t], t))][:LEXICON]
     numbers = {t: i for i, t in enumerate(terms)}
     automaton = LexiconAutomaton({t: i for t, i in numbers.items() if not t.endswith("*")},
                                  {t[:-1]: i for t, i in numbers.items() if t.endswith("*")})

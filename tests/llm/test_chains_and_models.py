@@ -209,3 +209,35 @@ def test_quality_separates_labels_and_handles_edges(spark):
     out = {r.doc_id: r for r in line_quality.judge_quality(odd, labels.limit(0)).collect()}
     assert len(out) == 4 and not out[1].kept and out[1].base_failed and out[1].n_words == 0 and out[None].n_words == 2
     assert line_quality.judge_quality(odd.limit(0), labels).collect() == []
+
+
+# toxicity: whole lexicon and misspellings
+
+def labelled(spark, toxic, clean):
+    texts = [(i, t) for i, t in enumerate([*toxic, *clean])]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    return docs, spark.createDataFrame([(i, int(i < len(toxic))) for i, _ in texts], "doc_id bigint, toxic int")
+
+
+def toxic_scores(model, texts):
+    matcher = toxicity.Matcher(model.automaton)
+    return [model.score(matcher.hits(t)) for t in texts]
+
+
+def test_rare_and_always_accompanied_terms_stay(spark):
+    rng = random.Random(4)
+    plain = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    filler = lambda: " ".join(rng.choice(plain) for _ in range(20))
+    toxic = [f"{filler()} vermin maggot lowlife {'wretch' if i % 2 else ''} {'zqukbrt' if i < 20 else ''}" for i in range(400)]
+    model = toxicity.fit_toxicity(*labelled(spark, toxic, [filler() for _ in range(1500)]))
+    assert {"vermin", "maggot", "lowlife", "wretch", "zqukbrt"} <= set(model.automaton.words) | {s + "*" for s in model.automaton.stems}
+    assert all(s > 0.5 for s in toxic_scores(model, ["a wretch", "a zqukbrt"])) and toxic_scores(model, [filler()])[0] < 0.5
+
+
+def test_words_that_do_not_enter_the_automaton_match_nothing():
+    rng = random.Random(8)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(2, 13))): 0 for _ in range(60)}
+    auto = toxicity.LexiconAutomaton({w: i for i, w in enumerate(words)}, {"cab": 900, "bbcab": 901, "acbbca": 902})
+    tests = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 15))) for _ in range(6000)]
+    assert not [t for t in tests if auto.match(t) and not auto.may_match(t)]
+    assert [t for t in tests if not auto.may_match(t)]
