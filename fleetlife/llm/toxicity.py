@@ -39,7 +39,12 @@ OPENING, CLOSING = "\"“„«‘", "\"”“»’"
 
 def edits_for(term: str) -> int:
     """Spelling errors that a whole word may have and still be found."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
+
+
+def stem_edits(stem: str) -> int:
+    """Spelling errors that the beginning of a word may have and still count as the stem."""
+    return 0 if len(stem) < 5 else 1
 
 
 def _shorter(word: str) -> set[str]:
@@ -58,7 +63,7 @@ class LexiconAutomaton:
 
     A state is a set of (trie node, errors so far); reading a letter follows the trie edge, or spends an error on a
     substituted or an extra letter, and left-out letters are followed at once. Only states that words lead to are made.
-    Stems accept any continuation and no errors; whole words end with the word.
+    Stems accept any continuation; whole words end with the word.
     """
 
     words: dict[str, int]
@@ -70,7 +75,7 @@ class LexiconAutomaton:
     states: dict[frozenset, int] = field(default_factory=dict)
     sets: list[frozenset] = field(default_factory=list)
     moves: list[dict[str, int]] = field(default_factory=list)
-    stems_at: list[tuple[int, ...]] = field(default_factory=list)
+    stems_at: list[tuple[tuple[int, int], ...]] = field(default_factory=list)
     accepts: list[tuple[tuple[int, int], ...]] = field(default_factory=list)
     exact: set[str] = field(default_factory=set)
     shortened: set[str] = field(default_factory=set)
@@ -81,14 +86,15 @@ class LexiconAutomaton:
         for term, number in self.words.items():
             self.ends[self._path(term, edits_for(term))] = number
         for term, number in self.stems.items():
-            self.stem_ends[self._path(term, 0)] = number
+            self.stem_ends[self._path(term, stem_edits(term))] = number
+        self.stem_budget = {n: stem_edits(t) for t, n in self.stems.items()}
         self._index()
         self._reset()
 
     def _index(self) -> None:
         """What a matching word has in common with its term, so that other words need not enter the automaton: with one
         error, a form with at most one letter left out; with more, one of ``errors + 1`` pieces, shifted by the errors at
-        most; of a stem, the beginning."""
+        most; of a stem, the beginning or one of its pieces."""
         for term in self.words:
             errors = edits_for(term)
             self.exact.add(term)
@@ -100,7 +106,10 @@ class LexiconAutomaton:
                         for at in range(max(0, a - errors), min(a + errors, size - (b - a)) + 1):
                             self.pieces.setdefault(size, {}).setdefault((at, at + b - a), set()).add(term[a:b])
         for stem in self.stems:
-            self.beginnings.setdefault((0, len(stem)), set()).add(stem)
+            errors = stem_edits(stem)
+            for a, b in _pieces(len(stem), errors):
+                for at in range(max(0, a - errors), a + errors + 1) if a else [0]:
+                    self.beginnings.setdefault((at, at + b - a), set()).add(stem[a:b])
 
     def may_match(self, word: str) -> bool:
         """False only for words that ``match`` finds no term for."""
@@ -146,7 +155,9 @@ class LexiconAutomaton:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            self.stems_at.append(tuple(self.stem_ends[n] for n, e in key if e == 0 and self.stem_ends[n] is not None))
+            self.stems_at.append(tuple(sorted(
+                (self.stem_ends[n], e) for n, e in key
+                if self.stem_ends[n] is not None and e <= self.stem_budget[self.stem_ends[n]])))
             self.accepts.append(tuple(sorted(
                 (self.ends[n], e) for n, e in key
                 if self.ends[n] is not None and e <= edits_for(self.term_of(self.ends[n])))))
@@ -171,17 +182,17 @@ class LexiconAutomaton:
         return to
 
     def match(self, word: str) -> tuple[tuple[int, int], ...]:
-        """(term, errors) of every term the word matches; a stem counts without errors."""
+        """(term, fewest errors) of every term the word matches; a stem matches a beginning of the word."""
         if len(self.sets) > 50_000:
             self._reset()
-        state, found = self.initial, {}
+        state, found = self.initial, dict(self.stems_at[self.initial])
         for letter in word:
             to = self.moves[state].get(letter)
             state = self._step(state, letter) if to is None else to
             if state == self.dead:
                 break
-            for stem in self.stems_at[state]:
-                found[stem] = 0
+            for stem, errors in self.stems_at[state]:
+                found[stem] = min(errors, found.get(stem, 99))
         else:
             for term, errors in self.accepts[state]:
                 found[term] = min(errors, found.get(term, 99))
@@ -236,13 +247,15 @@ class ToxicityModel:
     automaton: LexiconAutomaton
     weights: dict[tuple[int, int], float]  # log odds of (term, errors)
     coefficients: np.ndarray  # of the features, the constant last
+    families: dict[int, int] = field(default_factory=dict)  # of a word that begins with a stem, the stem: one term for the features
 
     def features(self, hits: list[tuple[int, int, bool]]) -> tuple[float, float, float]:
         """The largest and second largest weight of distinct terms that are meant, and the largest of quoted ones."""
         best: dict[tuple[int, bool], float] = {}
         for term, errors, inside in hits:
             w = self.weights.get((term, errors), 0.0)
-            best[term, inside] = max(w, best.get((term, inside), 0.0))
+            key = self.families.get(term, term), inside
+            best[key] = max(w, best.get(key, 0.0))
         direct = sorted((w for (_, inside), w in best.items() if not inside), reverse=True)
         return (*[*direct, 0.0, 0.0][:2], max((w for (_, inside), w in best.items() if inside), default=0.0))
 
@@ -388,7 +401,7 @@ def fit_toxicity(
         # A beginning stands for many words; where one word explains it, that word is the better term.
         if not s.startswith(tuple(stems)) and largest.get(s, 0) < 0.8 * good[f"{s}*"].toxic:
             stems.append(s)
-    words = [w for w in whole if not w.startswith(tuple(stems))]
+    words = whole  # also those that begin with a stem: they have their own errors and weights
     terms = [*words, *(f"{s}*" for s in stems)]
     if len(terms) > LEXICON:  # those that cover the toxic texts first, then those with the most evidence
         # One row per toxic text of the sample, which is bounded.
@@ -422,10 +435,11 @@ def fit_toxicity(
     weights = {}
     for term, number in numbers.items():
         own = max(0.0, _log_odds(good[term].toxic, good[term].other, n_toxic, n_other))
-        for errors in range(0, 1 if term.endswith("*") else edits_for(term) + 1):
+        for errors in range((stem_edits(term[:-1]) if term.endswith("*") else edits_for(term)) + 1):
             t, o = seen.get((number, errors), (0, 0))
             weights[number, errors] = max(0.0, _log_odds(t, o, n_toxic, n_other)) if t + o else own * MISSPELT**errors
-    model = ToxicityModel(automaton, weights, none.coefficients)
+    families = {n: automaton.stems[s] for t, n in automaton.words.items() for s in (t[:i] for i in STEMS) if s in automaton.stems}
+    model = ToxicityModel(automaton, weights, none.coefficients, families)
     x = np.array([model.features([(t, e, bool(q)) for t, e, q in hits]) for hits, _, _ in parsed])
     model.coefficients = _logistic(x, np.array([t for _, t, _ in parsed], float), np.array([n for _, _, n in parsed], float))
     return model

@@ -228,7 +228,8 @@ def test_rare_and_always_accompanied_terms_stay(spark):
     rng = random.Random(4)
     plain = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
     filler = lambda: " ".join(rng.choice(plain) for _ in range(20))
-    toxic = [f"{filler()} vermin maggot lowlife {'wretch' if i % 2 else ''} {'zqukbrt' if i < 20 else ''}" for i in range(400)]
+    toxic = [f"{filler()} {('vermin', 'maggot', 'lowlife')[i % 3]}" for i in range(300)]
+    toxic += [f"{filler()} vermin maggot lowlife {'wretch' if i % 2 else ''} {'zqukbrt' if i < 20 else ''}" for i in range(100)]
     model = toxicity.fit_toxicity(*labelled(spark, toxic, [filler() for _ in range(1500)]))
     assert {"vermin", "maggot", "lowlife", "wretch", "zqukbrt"} <= set(model.automaton.words) | {s + "*" for s in model.automaton.stems}
     assert all(s > 0.5 for s in toxic_scores(model, ["a wretch", "a zqukbrt"])) and toxic_scores(model, [filler()])[0] < 0.5
@@ -241,3 +242,25 @@ def test_words_that_do_not_enter_the_automaton_match_nothing():
     tests = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 15))) for _ in range(6000)]
     assert not [t for t in tests if auto.match(t) and not auto.may_match(t)]
     assert [t for t in tests if not auto.may_match(t)]
+
+
+def test_misspelt_stems_inflections_and_short_terms(spark):
+    rng = random.Random(4)
+    plain = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    filler = lambda: " ".join(rng.choice(plain) for _ in range(20))
+    toxic = [f"{filler()} {w}" for w in ["idiot"] * 100 + ["idiots"] * 40 + ["scum"] * 96 + ["stupidest", "stupidly", "stupidity"] * 30]
+    model = toxicity.fit_toxicity(*labelled(spark, toxic, [filler() for _ in range(1500)]))
+    assert model.automaton.stems and {"idiot", "idiots", "scum"} <= set(model.automaton.words)
+    marks = ["iddiot", "udiot", "idiotz", "scvm", "sctum", "stupjdness", "idiot", "scum"]
+    assert all(s > 0.5 for s in toxic_scores(model, [f"{filler()} {m}" for m in marks])) and toxic_scores(model, [filler()])[0] < 0.5
+
+
+def test_stems_with_an_error_agree_with_edit_distances():
+    rng = random.Random(9)
+    stems = ["abcab", "bbbb", "cabcabca"]
+    auto = toxicity.LexiconAutomaton({"abcabc": 9}, {s: i for i, s in enumerate(stems)})
+    for _ in range(4000):
+        t = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
+        want = {i: d for i, s in enumerate(stems) if (d := min(distance(t[:n], s) for n in range(len(t) + 1))) <= toxicity.stem_edits(s)}
+        assert {k: v for k, v in auto.match(t) if k < 9} == want, t
+        assert auto.may_match(t) or not auto.match(t)
