@@ -16,7 +16,7 @@ from fleetlife.llm.common import share_code, slices
 
 K = 3
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-SLACK = 2  # neighbouring diagonals: that many inserted or left-out words
+SLACK = 2  # neighbouring diagonals: that many inserted or left-out words, or as many as the notice tolerates, if more
 SHARE = 0.9  # of a notice's words that must stand in the text; the rest may be changed, left out or inserted words
 
 # Phrases and labels that every scan counts.
@@ -49,6 +49,11 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
+def tolerated(size: int, share: float) -> int:
+    """Changed, extra or missing words that a notice of ``size`` words may have."""
+    return int((1 - share) * size + 1e-9)
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
@@ -103,7 +108,7 @@ def _grams(known: np.ndarray, k: int):
     return run
 
 
-def _verify(templates: list[tuple[list[bytes], str, bool]], share: float):
+def _verify(templates: list[tuple[list[bytes], str, bool]], share: float, slack: int):
     """Per text: which spans really hold their template. Base phrases must stand word for word; of a notice
     ``1 - share`` of the words may differ, so short ones must stand as they are."""
 
@@ -129,9 +134,11 @@ def _verify(templates: list[tuple[list[bytes], str, bool]], share: float):
                         places += first
                         fit = float(bool(first))
                     else:
-                        stretch = words[max(0, span["low"] - SLACK) : span["high"] + len(wanted) + SLACK]
-                        fit = 1 - errors(stretch, wanted) / len(wanted)
-                    if fit >= (1.0 if base else share):
+                        allowed = tolerated(len(wanted), share)
+                        wide = max(slack, allowed)
+                        wrong = errors(words[max(0, span["low"] - wide) : span["high"] + len(wanted) + wide], wanted)
+                        fit = 1 - wrong / len(wanted) if wrong <= allowed else 0.0
+                    if fit > 0:
                         labels[label] = labels.get(label, False) or base
                         best = max(best, fit)
                 out.append({
@@ -154,7 +161,9 @@ def scan_licenses(
 
     Every rolling k-gram of every text is joined to the template positions that hold it. A match votes for the diagonal
     (text position - template position); votes are added per text, template and diagonal; diagonals at most ``slack``
-    apart merge into a span, and spans with enough votes are verified against the words. ``n_base`` counts all places of
+    apart (or as many as the notice tolerates wrong words) merge into a span, and spans with enough votes are verified
+    against the words. A wrong word costs ``k`` votes at most, so no notice within the tolerance is lost, as long as it keeps
+    one k-gram. ``n_base`` counts all places of
     the base ``phrases``; ``labels`` adds what whole ``notices`` say; ``score`` is the best verified share, 0 without.
 
     Only matches are shuffled, and only texts with a match meet their spans again. Equal texts share one verification.
@@ -180,19 +189,20 @@ def scan_licenses(
     votes = hits.where("template is not null").groupBy(
         "digest", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.countDistinct("at").alias("votes"))
     line = Window.partitionBy("digest", "template").orderBy("diagonal")
-    fresh = F.col("diagonal") - F.lag("diagonal").over(line) > slack
+    sizes = [len(w) for w, _, _ in templates]
+    apart = F.element_at(F.array(*[F.lit(max(slack, tolerated(n, share))) for n in sizes]), F.col("template") + 1)
+    fresh = F.col("diagonal") - F.lag("diagonal").over(line) > apart
     runs = votes.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(line))
     spans = runs.groupBy("digest", "template", "run").agg(
         F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
-    sizes = [len(w) for w, _, _ in templates]
     needed = F.element_at(F.array(*[
-        F.lit(n - k + 1 if base else max(1, int((n - k + 1) * (2 * share - 1)))) for n, (_, _, base) in zip(sizes, templates, strict=True)
+        F.lit(max(1, n - k + 1 - (0 if base else k * tolerated(n, share)))) for n, (_, _, base) in zip(sizes, templates, strict=True)
     ]), F.col("template") + 1)
     spans = spans.where(F.col("votes") >= needed).groupBy("digest").agg(
         F.collect_list(F.struct("template", "low", "high")).alias("spans"))
     texts = hits.where("at = -1 and text is not null").groupBy("digest").agg(F.max("text").alias("text"))
     found = texts.join(spans, "digest").mapInArrow(
-        _verify(templates, share), "digest string, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
+        _verify(templates, share, slack), "digest string, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
         "labels string, score double")
     return hits.where("at = -1").select("doc_id", "digest", "n_words").join(found, "digest", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("bigint").alias("n_base"), "first_word", "last_word",

@@ -190,3 +190,44 @@ def test_base_on_documents(spark):
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in license_scan.scan_licenses(docs).collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == slow_base(text[r.doc_id])
+
+
+def least_errors(words, wanted):
+    """Fewest edits of ``wanted`` against any stretch of ``words``."""
+    row = list(range(len(wanted) + 1))
+    best = row[-1]
+    for w in words:
+        after = [0]
+        for j, t in enumerate(wanted, 1):
+            after.append(min(row[j - 1] + (w != t), row[j] + 1, after[-1] + 1))
+        row, best = after, min(best, after[-1])
+    return best
+
+
+def test_every_placement_of_the_tolerated_edits(spark):
+    notices = {n: label for n, label in license_scan.NOTICES.items() if label in ("mit", "apache-2", "bsd", "isc") and len(n.split()) > 19}
+    assert sorted(notices.values()) == ["apache-2", "bsd", "isc", "mit"]
+    long = " ".join(f"term{i}" for i in range(50))
+    rows = []
+
+    def add(words, label, template):
+        rows.append((len(rows), " ".join(["lead", "in", *words, "and", "so", "on"]), label, template))
+
+    for notice, label in notices.items():
+        words, n = notice.split(), len(notice.split())
+        for i in range(n):
+            for j in range(i + 1, n):
+                two = [*words[:i], "zzz", *words[i + 1 : j], "yyy", *words[j + 1 :]]
+                add(two, label, notice)
+                add([w for w in two if w not in ("zzz", "yyy")], label, notice)
+                add([*words[:i], "zzz", *words[i:j], "yyy", *words[j:]], label, notice)
+                add(["zzz" if p in (i, j, (i + j) // 2) else w for p, w in enumerate(words)], label, notice)
+    words = long.split()
+    for i in range(51):
+        add([*words[:i], *["zzz"] * 5, *words[i:]], "long", long)
+        add([*words[:i], *["zzz"] * 6, *words[i:]], "long", long)
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(df, notices={**notices, long: "long"}, phrases={}).collect()}
+    for i, text, label, template in rows:
+        wanted = template.split()
+        assert (label in got[i].split(",")) == (least_errors(text.split(), wanted) <= len(wanted) // 10), text
