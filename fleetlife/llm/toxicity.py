@@ -27,6 +27,7 @@ LEAST_GAIN = 0.01  # of the toxic texts that a further term must help to that ma
 MISSPELT = 0.7  # what an unseen misspelling counts of its term
 SIDE = 80  # characters of context on either side
 LONGEST_SHORT = 9  # letters of a word that has one error against a term of up to 8
+HELD = 400_000  # trie nodes in the states that an automaton keeps, at most
 REMEMBERED = 300_000  # words whose matches a task keeps
 WORD = re.compile(r"[^\W_]+")
 # Cue words of reported speech and of address, in the languages at hand.
@@ -134,7 +135,7 @@ class LexiconAutomaton:
         return node
 
     def _reset(self) -> None:
-        self.states, self.sets, self.moves, self.stems_at, self.accepts = {}, [], [], [], []
+        self.states, self.sets, self.moves, self.stems_at, self.accepts, self.held = {}, [], [], [], [], 0
         self.dead = self._state({})
         self.initial = self._state(self._closed({0: 0}))
 
@@ -154,6 +155,7 @@ class LexiconAutomaton:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
+            self.held += len(key)
             self.moves.append({})
             self.stems_at.append(tuple(sorted(
                 (self.stem_ends[n], e) for n, e in key
@@ -183,7 +185,7 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[tuple[int, int], ...]:
         """(term, fewest errors) of every term the word matches; a stem matches a beginning of the word."""
-        if len(self.sets) > 50_000:
+        if len(self.sets) > 50_000 or self.held > HELD:
             self._reset()
         state, found = self.initial, dict(self.stems_at[self.initial])
         for letter in word:
