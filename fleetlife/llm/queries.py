@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlife.llm import (
-    chunk_bpe, graph_search, language, license_scan, line_quality, mixing, sharding, simhash, toxicity, warc,
+    chat_format, chunk_bpe, graph_search, language, license_scan, line_quality, merkle, mixing, prefix_trie, sharding, simhash,
+    toxicity, warc,
 )
 from fleetlife.llm.common import table
 
@@ -54,14 +55,30 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
 
 
+def op11_chat(spark: SparkSession, sf: str) -> DataFrame:
+    turns = chat_format.with_tricky(table(spark, sf, "conversations"))
+    return chat_format.conversation_digests(chat_format.format_conversations(turns))
+
+
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = merkle.manifest(docs, merkle.tamper_with_lengths(docs), proofs=False)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(prefix_trie.rebuilt_conversations(table(spark, sf, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sharding, op2_simhash, op3_warc, op4_toxicity, op5_language, op6_quality, op7_neighbours, op8_bpe, op9_licenses,
-        op10_mixing)}
+        op10_mixing, op11_chat, op12_merkle, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc_sql(), "op10_mixing": mixing.mix_sql()}
+    return {"op3_warc": warc_sql(), "op10_mixing": mixing.mix_sql(), "op11_chat": chat_format.digests_sql(),
+            "op12_merkle": merkle.manifest_sql(), "op13_prefix_trie": prefix_trie.nodes_sql()}
 
 
 def warc_sql(pages: str = "pages") -> str:
