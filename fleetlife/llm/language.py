@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlife.functions.staging_area import stage
 from fleetlife.llm import chain
-from fleetlife.llm.common import bounded_sample, fold_of, on_texts
+from fleetlife.llm.common import fold_of, on_texts
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE_TEXTS = 300  # labelled texts that the fit reads, at most about that many
+SAMPLE_TEXTS = 90  # distinct labelled texts of each language that the fit reads, at most about that many
+LONGEST = 1 << 18  # bytes of a text that the fit reads; longer texts teach nothing, but are labelled like any other
 WINDOW = 200  # words of a training sequence; a text gives as many as it needs
 BUCKETS = 1 << 15
-LEXICON = 5000
 GRAM = 4
 TOGETHER = 4 << 20  # bytes of text whose words are labelled side by side
 REMEMBERED = 200_000  # words whose scores a task keeps
@@ -103,17 +104,30 @@ class LanguageModel:
         return labels, scores
 
 
+def training_texts(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS,
+) -> DataFrame:
+    """(lang, text) of about ``sample_texts`` distinct texts of each language outside the held-out fold (all, if there are
+    fewer), chosen by a hash of the text, so rare languages are learned too and copies count once."""
+    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(
+        (fold_of("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.octet_length("text") <= LONGEST))
+    hashed = rows.select("lang", "text", F.xxhash64(F.lit(0), "text").alias("hash"))
+    # One row per language: small when stored, so the texts stay where they are.
+    shares = stage(hashed.groupBy("lang").agg((sample_texts / F.approx_count_distinct("hash")).alias("share")), "languages")
+    chosen = hashed.join(shares, "lang").where(F.pmod("hash", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    return chosen.select("lang", "text").distinct()
+
+
 def fit_language(
     docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS,
 ) -> LanguageModel:
     """Learn from the text and the non-null language of documents outside the held-out fold.
 
-    About ``sample_texts`` whole texts (by a hash of their id) reach the driver for the fit. Every word is taken to be in
-    its document's language. A document without an id belongs to no fold and is left out.
+    About ``sample_texts`` whole texts of each language reach the driver for the fit. Every word is taken to be in its
+    document's language; all words that repeat in the sample are the lexicon. A document without an id belongs to no fold
+    and is left out. Where nothing can be learned, every text with a letter is ``und`` with score 1.
     """
-    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(
-        (fold_of("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = sorted(bounded_sample(rows, ["doc_id"], sample_texts).collect(), key=lambda r: (r.doc_id, r.text))
+    sample = sorted(training_texts(docs, doc, text, lang, sample_texts).collect(), key=lambda r: (r.text, r.lang))
     labels = sorted({r.lang for r in sample})
     sequences, gold = [], []
     for r in sample:
@@ -125,8 +139,7 @@ def fit_language(
     for s in sequences:
         for w in s:
             counts[w] = counts.get(w, 0) + 1
-    frequent = sorted((w for w, n in counts.items() if n > 2), key=lambda w: (-counts[w], w))[:LEXICON]
-    lexicon = {w: i for i, w in enumerate(frequent)}
+    lexicon = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n > 2))}
     items = {w: i for i, w in enumerate(counts)}
     if not gold:
         return LanguageModel(labels or [UNKNOWN], {}, np.zeros((BUCKETS, max(1, len(labels)))), *_flat(max(1, len(labels))))
@@ -160,7 +173,8 @@ def language_of(model: LanguageModel, text: str | Column = "text") -> Column:
 
 
 def identify(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rows (doc_id, held_out, lang_pred, score), one per row of ``docs``; a row without an id is not held out."""
+    """Rows (doc_id, held_out, lang_pred, score), one per row of ``docs``, repeated rows included; a row without an id is not
+    held out. An empty table gives no rows."""
     model = fit_language(docs, doc, text, lang)
     held_out = F.coalesce(fold_of(doc, FOLDS) == HELD_OUT, F.lit(False))
     return docs.select(F.col(doc).alias("doc_id"), held_out.alias("held_out"), language_of(model, F.col(text)).alias("p")).select(

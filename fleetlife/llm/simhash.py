@@ -205,7 +205,8 @@ def keep_one_each(
 def keep_one_of(docs: DataFrame, found: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of ``docs`` with the smallest id of every ``root`` of ``found`` (doc_id, root, digest), with all its columns.
 
-    Of a component without ids, and of rows that repeat id and text, one row stays.
+    Of a component without ids, and of rows that repeat id and text, one row stays: the first by the text of its other
+    columns.
     """
     lowest = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.coalesce("digest", F.lit("")).alias("digest"))
     chosen = found.groupBy("root").agg(F.min(lowest).alias("k")).select(
@@ -214,8 +215,9 @@ def keep_one_of(docs: DataFrame, found: DataFrame, doc: str = "doc_id", text: st
     chosen = stage(chosen.join(
         repeats, F.col("k_id").eqNullSafe(F.col("doc_id")) & (F.col("k_digest") == F.col("digest")),
     ).select("k_id", "k_digest", "k_rows"), "kept")
-    digest = F.coalesce(F.md5(F.col(text)), F.lit(""))
-    kept = docs.join(chosen, F.col(doc).eqNullSafe(F.col("k_id")) & (digest == F.col("k_digest")))
-    once = kept.where("k_rows = 1").select(docs.columns)
-    again = kept.where("k_rows > 1").dropDuplicates(["k_id", "k_digest"]).select(docs.columns)
-    return once.unionByName(again)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc).alias("own_id"),
+                       F.coalesce(F.md5(F.col(text)), F.lit("")).alias("own_digest"))
+    kept = rows.join(chosen, F.col("own_id").eqNullSafe(F.col("k_id")) & (F.col("own_digest") == F.col("k_digest")))
+    once = kept.where("k_rows = 1").select("row.*")
+    again = kept.where("k_rows > 1").groupBy("k_id", "k_digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.unionByName(again.select("row.*"))

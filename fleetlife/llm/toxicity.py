@@ -18,12 +18,9 @@ from fleetlife.llm.common import bounded_sample, fold_of, on_texts, share_code,
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE_TEXTS = 8_000  # labelled texts that the fit reads, about that many at most
-LEXICON = 1500  # terms of the lexicon, at most
 STEMS = range(3, 9)  # lengths of word beginnings that may become terms
 LEAST_ODDS = 3.0  # natural log of how much more often a term stands in toxic texts
 LEAST_EVIDENCE = 20.0  # log-likelihood ratio of a term
-COVER = 3  # terms that a toxic text should hold
-LEAST_GAIN = 0.01  # of the toxic texts that a further term must help to that many
 MISSPELT = 0.7  # what an unseen misspelling counts of its term
 SIDE = 80  # characters of context on either side
 LONGEST_SHORT = 9  # letters of a word that has one error against a term of up to 8
@@ -288,51 +285,14 @@ def _log_odds(toxic: float, other: float, n_toxic: int, n_other: int) -> float:
     return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_other + 1))
 
 
-def _evidence(toxic: int, other: int, n_toxic: int, n_other: int) -> float:
-    share = (toxic + other) / (n_toxic + n_other)
-    g = 0.0
-    for n, size in ((toxic, n_toxic), (other, n_other)):
-        g += n * math.log(n / (size * share)) if n else 0.0
-        g += (size - n) * math.log((size - n) / (size * (1 - share))) if size > n and share < 1 else 0.0
-    return 2 * g
-
-
-def _terms_in(words: frozenset[str], stems: frozenset[str]):
-    """Per text the terms it holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.column(0)):
-                found = []
-                for text in part:
-                    here = set(WORD.findall((text or "").lower()))
-                    begun = {w[:n] for w in here for n in STEMS if n < len(w)} & stems
-                    found.append(";".join(sorted([*(here & words), *(f"{s}*" for s in begun)])))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["terms"])
-
-    return run
-
-
-def covering_terms(texts: list[set[str]], least: int) -> list[str]:
-    """Terms picked one by one, each for the most texts that hold fewer than ``COVER`` picked ones, as long as there are
-    ``least`` of them. Words that stand in many toxic texts only because these are copies of each other add nothing to the
-    true terms in them, and are left out."""
-    holders: dict[str, set[int]] = {}
-    for i, terms in enumerate(texts):
-        for t in terms:
-            holders.setdefault(t, set()).add(i)
-    wanting, short, picked = set(range(len(texts))), [COVER] * len(texts), []
-    while holders:
-        best = max(holders, key=lambda t: (len(holders[t] & wanting), -len(t), t))
-        helped = holders.pop(best) & wanting
-        if len(helped) < least:
-            break
-        picked.append(best)
-        for i in helped:
-            short[i] -= 1
-            if not short[i]:
-                wanting.discard(i)
-    return picked
+def _evidence(n_toxic: int, n_other: int) -> Column:
+    """The log-likelihood ratio of a term in ``toxic`` and ``other`` texts against equal shares."""
+    share = (F.col("toxic") + F.col("other")) / F.lit(float(n_toxic + n_other))
+    total = F.lit(0.0)
+    for n, size in ((F.col("toxic"), n_toxic), (F.col("other"), n_other)):
+        total = total + F.when(n > 0, n * F.log(n / (size * share))).otherwise(0.0)
+        total = total + F.when((n < size) & (share < 1), (size - n) * F.log((size - n) / (size * (1 - share)))).otherwise(0.0)
+    return 2 * total
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -362,13 +322,13 @@ def training_texts(
 ) -> DataFrame:
     """(text, toxic) of about ``sample_texts`` labelled documents outside the held-out fold, equal texts once.
 
-    A document with several labels is toxic if one says so.
+    A document with several labels is toxic if one says so, and so is a text of several documents.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic")).where(fold_of("doc_id", FOLDS) != HELD_OUT)
     chosen = F.broadcast(bounded_sample(known, ["doc_id"], sample_texts))  # bounded by sample_texts
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    return rows.join(chosen, "doc_id").select("text", "toxic")
+    return rows.join(chosen, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def fit_toxicity(
@@ -376,9 +336,8 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learn lexicon, weights and context coefficients from labelled documents outside the held-out fold.
 
-    Terms are words, and beginnings of words, that stand far more often in toxic texts; counts are summed by Spark, the
-    best of them reach the driver, and all with enough odds and evidence make the lexicon, up to ``LEXICON``. Then the sample
-    is matched, and every (term, errors) gets the log odds of its own counts, so that a chance neighbour of a term has no weight. Without labels the score is 0 everywhere.
+    Terms are words, and beginnings of words, that stand far more often in toxic texts; counts are summed by Spark, and all
+    with enough odds and evidence make the lexicon, which the size of the sample bounds. Then the sample is matched, and every (term, errors) gets the log odds of its own counts, so that a chance neighbour of a term has no weight. Without labels the score is 0 everywhere.
     """
     sample = stage(training_texts(docs, labels, doc, text, sample_texts), "toxicity-sample")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -390,9 +349,8 @@ def fit_toxicity(
     counted = sample.mapInArrow(_term_counts, "term string, toxic bigint, other bigint").groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where("toxic >= 3")
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
-    likely = counted.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(
-        F.desc("toxic"), F.length("term"), "term").limit(20 * LEXICON).collect()
-    good = {r.term: r for r in likely if _evidence(r.toxic, r.other, n_toxic, n_other) >= LEAST_EVIDENCE}
+    likely = counted.where((odds >= LEAST_ODDS) & (_evidence(n_toxic, n_other) >= LEAST_EVIDENCE))
+    good = {r.term: r for r in likely.collect()}  # of words that repeat within the bounded sample
     whole = [t for t in good if not t.endswith("*")]
     largest: dict[str, int] = {}  # the most texts of one word, per beginning
     for w in whole:
@@ -403,14 +361,8 @@ def fit_toxicity(
         # A beginning stands for many words; where one word explains it, that word is the better term.
         if not s.startswith(tuple(stems)) and largest.get(s, 0) < 0.8 * good[f"{s}*"].toxic:
             stems.append(s)
-    words = whole  # also those that begin with a stem: they have their own errors and weights
-    terms = [*words, *(f"{s}*" for s in stems)]
-    if len(terms) > LEXICON:  # those that cover the toxic texts first, then those with the most evidence
-        # One row per toxic text of the sample, which is bounded.
-        held = sample.where("toxic = 1").mapInArrow(_terms_in(frozenset(words), frozenset(stems)), "terms string").collect()
-        first = covering_terms([set(r.terms.split(";")) - {""} for r in held], max(3, math.ceil(LEAST_GAIN * n_toxic)))
-        proof = {t: _evidence(good[t].toxic, good[t].other, n_toxic, n_other) for t in terms}
-        terms = [*first, *sorted(set(terms) - set(first), key=lambda t: (-proof[t], t))][:LEXICON]
+    # Words that begin with a stem stay too: they have their own errors and weights.
+    terms = sorted([*whole, *(f"{s}*" for s in stems)])
     numbers = {t: i for i, t in enumerate(terms)}
     automaton = LexiconAutomaton({t: i for t, i in numbers.items() if not t.endswith("*")},
                                  {t[:-1]: i for t, i in numbers.items() if t.endswith("*")})
@@ -457,7 +409,8 @@ def toxicity_of(model: ToxicityModel, text: str | Column = "text") -> Column:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted), one per row of ``docs``; a row without an id is not held out."""
+    """Rows (doc_id, held_out, score, predicted), one per row of ``docs``, repeated rows included; a row without an id is not
+    held out. An empty table gives no rows."""
     model = fit_toxicity(docs, labels, doc, text)
     held_out = F.coalesce(fold_of(doc, FOLDS) == HELD_OUT, F.lit(False))
     scored = docs.select(F.col(doc).alias("doc_id"), held_out.alias("held_out"), toxicity_of(model, F.col(text)).alias("score"))

@@ -128,12 +128,35 @@ def test_automaton_agrees_with_edit_distances():
         assert got == want, t
 
 
-def test_copies_bring_no_terms_of_their_own():
-    true = [{"bad", "worse", "worst", f"rare{i}"} for i in range(50)]
-    copies = [{"bad", "worse", "worst", "copied", "words"} for _ in range(40)]
-    lone = [{"bad"} for _ in range(5)]
-    assert sorted(toxicity.covering_terms(true + copies + lone, 3)) == ["bad", "worse", "worst"]
-    assert toxicity.covering_terms([], 3) == [] and toxicity.covering_terms([{"a"}] * 2, 3) == []
+def spelt(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(4)) + "ko"
+
+
+def test_every_proven_term_stays_and_copies_prove_nothing(spark):
+    rng = random.Random(2)
+    toxic = [" ".join(spelt(2000 * 7 + j) for j in rng.sample(range(2000), 25)) for _ in range(800)]
+    rows = [(i, t, 1) for i, t in enumerate(toxic)] + [(1000 + i, "onlycopied madeup nonsense", 1) for i in range(40)]
+    rows += [(2000 + i, f"plain text {spelt(i)}", 0) for i in range(3200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    assert toxicity.training_texts(docs, labels).where("text like 'onlycopied%'").count() == 1
+    automaton = toxicity.fit_toxicity(docs, labels).automaton
+    learned = set(automaton.words) | set(automaton.stems)
+    assert len(automaton.words) + len(automaton.stems) > 1500 and "onlycopied" not in learned
+    proven = [w for t in toxic[:50] for w in t.split() if w in automaton.words or w.startswith(tuple(automaton.stems) or ("?",))]
+    assert len(proven) > 0.9 * 50 * 25
+
+
+def test_rare_languages_are_learned_too(spark):
+    rows = [(i, f"the of and to in that is was {spelt(i)}", "en") for i in range(6000)]
+    rows += [(7000 + i, f"og ikke det er jeg en som {spelt(i)}", "da") for i in range(20)] + [(8000 + i, "og ikke copied", "da") for i in range(500)]
+    rows += [(9000, "x" * (language.LONGEST + 1), "long"), (9001, "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = language.training_texts(docs).collect()
+    count = {x: sum(r.lang == x for r in sample) for x in ("en", "da", "long")}
+    assert 50 < count["en"] < 140 and 8 < count["da"] <= 21 and count["long"] == 0
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    assert all(found[7000 + i] == "da" for i in range(20)) and sum(found[i] == "en" for i in range(6000)) > 5990
 
 
 def test_quotation_is_told_from_abuse():

@@ -6,7 +6,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from fleetlife.llm import mixing, sharding
+from fleetlife.llm import mixing, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, source string, size int, shard string, mix_copy int"
@@ -76,7 +76,7 @@ def test_mix_agrees_with_sql(spark):
 @pytest.mark.parametrize("many", [False, True])
 def test_mix_reaches_weights_with_nulls_and_repeats(spark, monkeypatch, many):
     if many:
-        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+        monkeypatch.setattr(mixing, "BROADCAST_STEPS", 1)
     rows = [(i, f"t{i}", "hot") for i in range(3000)] + [(10_000 + i, None, "cold") for i in range(300)]
     rows += [(20_000 + i, "", None) for i in range(200)] + [(30_000, "z", "none")] + [(7, "t7", "hot"), (None, "n", "hot")]
     out = mixed(mixing.mix(frame(spark, rows), weights={"hot": 1.0, "cold": 2.0, None: 1.0}))
@@ -90,17 +90,44 @@ def test_mix_reaches_weights_with_nulls_and_repeats(spark, monkeypatch, many):
     for r in out:
         times[r.doc_id].append(r.mix_copy)
     assert all(sorted(c) == [*range(1, len(c) + 1)] for d, c in times.items() if d != 7)
-    assert len(times[7]) % 2 == 0  # both rows of the repeated id draw the same count
     assert out[0].size == 7 and out[0].shard == "x"
 
 
-def test_poisson_quantiles(spark):
-    from pyspark.sql import functions as F
+def test_rows_of_one_id_draw_separately(spark):
+    rows = [(None, "same", "a")] * 400 + [(None, f"t{i}", "a") for i in range(400)] + [(5, f"t{i}", "a") for i in range(400)] + [(6, "x", "b")]
+    out = mixed(mixing.mix(frame(spark, rows)))
+    for mine in ([r for r in out if r.text == "same"], [r for r in out if r.doc_id is None and r.text != "same"], [r for r in out if r.doc_id == 5]):
+        assert 250 < len(mine) < 550 and len({r.mix_copy for r in mine}) > 1
+    assert [r.mix_position for r in out] == list(range(len(out))) and len({r.mix_position // 400 for r in out if r.text == "same"}) > 1
+    frame(spark, rows).createOrReplaceTempView("repeated")
+    db = duckdb.connect()
+    db.register("documents", frame(spark, rows).selectExpr("doc_id", "source", "shard lang", "size n_chars", "text").toPandas().astype({"doc_id": "Int64"}))
+    want = db.execute(f"select doc_id, text, mix_copy, mix_position from ({mixing.mix_sql()}) order by mix_position").fetchall()
+    assert [(r.doc_id, r.text, r.mix_copy, r.mix_position) for r in out] == want
 
-    steps = spark.range(1).select(mixing.cumulative(F.lit(900.0)).alias("a"), mixing.cumulative(F.lit(0.3)).alias("b")).first()
+
+def test_poisson_quantiles(spark):
+    steps = {r.steps_of: r.steps for r in mixing.cumulative(spark.createDataFrame([("a", 900.0), (None, 0.3)], "source string, rate double")).collect()}
     exact = math.fsum(math.exp(k * math.log(900) - 900 - math.lgamma(k + 1)) for k in range(900))
-    assert abs(steps.a[-1] - 1) < 1e-9 and abs(steps.a[899] - exact) < 1e-9
-    assert abs(steps.b[0] - 0.7408182) < 1e-6 and abs(steps.b[1] - 0.9630637) < 1e-6
+    assert abs(steps["a"][-1] - 1) < 1e-9 and abs(steps["a"][899] - exact) < 1e-9
+    assert abs(steps[None][0] - 0.7408182) < 1e-6 and abs(steps[None][1] - 0.9630637) < 1e-6
+
+
+def test_columns_may_be_called_as_the_operators_own(spark):
+    names = ["row", "own", "id", "copy", "block", "inside", "before", "order", "steps", "steps_of", "times", "shared", "_block", "_source",
+             "k_id", "k_digest", "k_rows", "own_id", "own_digest", "root", "digest", "fp"]
+    docs = spark.createDataFrame([(i, f"one two three {i // 2}", "s", *[f"v{i}"] * len(names)) for i in range(40)],
+                                 "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    out = mixing.mix(docs).collect()
+    assert out and all(r[n] == f"v{r.doc_id}" for r in out for n in names)
+    kept = simhash.keep_one_each(docs).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 40, 2)) and all(r[n] == f"v{r.doc_id}" for r in kept for n in names)
+
+
+def test_one_of_equal_rows_stays_whatever_their_order(spark):
+    rows = [(1, "a b c", s) for s in ("z", "y", "x")] + [(None, "d e f", "q"), (None, "d e f", "p")]
+    for given in (rows, rows[::-1]):
+        assert sorted((r.doc_id or 0, r.source) for r in simhash.keep_one_each(frame(spark, given)).collect()) == [(0, "p"), (1, "x")]
 
 
 def test_mix_of_an_empty_table(spark):
