@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlife.functions.staging_area import stage
-from fleetlife.llm import chunk_bpe, language, mixing, similar_texts, toxicity
+from fleetlife.llm import chunk_bpe, language, mixing, simhash, toxicity
 from fleetlife.llm.common import table
 
 LEAST_SHARE = 0.35  # of the words that the main language of a kept document has
@@ -22,15 +22,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language; texts without a letter, and mixtures in which no language has ``LEAST_SHARE`` of the
-    words, go."""
+    words, go. Where no language can be learned, all documents with letters stay."""
     model = language.fit_language(docs)
-    found = language.language_of(model, "text")
-    return docs.where((found["lang_pred"] != language.UNKNOWN) & (found["score"] >= LEAST_SHARE))
+    return docs.where(language.language_of(model, "text")["score"] >= LEAST_SHARE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles."""
-    return similar_texts.keep_one_each(docs, words=5, least=0.8)
+    """One document of each group whose fingerprints of three-word shingles link at three differing bits or fewer."""
+    return simhash.keep_one_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
