@@ -11,13 +11,17 @@ HASH_BLOCK_DIGITS = 3  # 16 ** 3 blocks: the only table that is ordered as a who
 
 
 def _with_block_offsets(df: DataFrame, block: str, offset: str, parts: Sequence[str] = ()) -> DataFrame:
-    """Adds the number of rows in all smaller blocks (of the same part). The block table has a fixed bound, so it may be
-    broadcast."""
+    """Adds the number of rows in all smaller blocks (of the same part; nulls are a part of their own)."""
     sizes = df.groupBy(*parts, block).agg(F.count("*").alias("_size"))
     earlier = Window.partitionBy(*parts).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.sum("_size").over(earlier)
-    offsets = sizes.select(*parts, block, F.coalesce(before, F.lit(0)).alias(offset), F.col("_size").alias("_block_size"))
-    return df.join(F.broadcast(offsets), [*parts, block])
+    before = F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+    offsets = sizes.select(*[F.col(p).alias(f"_part_{i}") for i, p in enumerate(parts)], F.col(block).alias("_of_block"),
+                           before.alias(offset), F.col("_size").alias("_block_size"))
+    same = F.col(block) == F.col("_of_block")
+    for i, p in enumerate(parts):
+        same = same & F.col(p).eqNullSafe(F.col(f"_part_{i}"))
+    # Without parts there are at most 4,096 blocks; otherwise the planner decides by size.
+    return df.join(offsets if parts else F.broadcast(offsets), same).drop("_of_block", *[f"_part_{i}" for i in range(len(parts))])
 
 
 def number_by_hash(df: DataFrame, key: Sequence[str], out: str, start: Column | int = 0) -> DataFrame:
@@ -40,7 +44,7 @@ def smallest_by_hash(
 ) -> DataFrame:
     """Exactly ``how_many`` rows, chosen by the seeded md5 order of their key.
 
-    ``parts`` are flag-like columns without nulls: each of their values is drawn from on its own, and ``how_many`` may
+    ``parts`` are flag-like columns: each of their values, null included, is drawn from on its own, and ``how_many`` may
     depend on them. Whole hash blocks below the cut are kept as they are; only the one block on the cut is ordered.
     """
     digest = F.md5(F.concat_ws("\t", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))

@@ -11,13 +11,12 @@ from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import running_sum
-from ..functions.staging_area import cut_lineage
+from ..functions.staging_area import forget, stage
+from .trees import BINS, Tree, bin_edges, binned, grow, total
 
 
 def compact_subjects(
@@ -95,68 +94,116 @@ def fit_cox(
     A step is one job: an aggregation to the duration axis, totals along that axis, and one row of 1 + p + p(p+1)/2
     numbers that reaches the driver, where the p x p system is solved. Features are standardised inside.
     """
+    data = compact_subjects(subjects, features, duration, event, weight, merge)
+    return _newton_fits(data, features, [None], max_steps, tolerance, ridge, block_width)[0]
+
+
+def fit_cox_folds(
+    subjects: DataFrame, features: Sequence[str], fold: Column, folds: int, duration: str = "duration_worked",
+    event: str = "failed", weight: str | None = None, max_steps: int = 20, tolerance: float = 1e-6, ridge: float = 0.0,
+    block_width: float | None = None, merge: bool = True,
+) -> list[CoxModel]:
+    """The fits of a cross-validation, side by side: model k is fitted on all folds but k.
+
+    Subjects are compacted once, with their fold. A Newton step is one job for all folds: each row adds to the sums of the
+    folds it does not belong to, under that fold's coefficients; counts and moments of a fold are the totals without its
+    own. A fold that has converged drops out of the sums.
+    """
+    tagged = subjects.withColumn("fold_", fold.cast("double"))
+    data = compact_subjects(tagged, [*features, "fold_"], duration, event, weight, merge)
+    return _newton_fits(data, features, list(range(folds)), max_steps, tolerance, ridge, block_width)
+
+
+def _newton_fits(
+    data: DataFrame, features: Sequence[str], without: Sequence[int | None], max_steps: int, tolerance: float, ridge: float,
+    block_width: float | None,
+) -> list[CoxModel]:
+    """One fit per entry of ``without``, on the rows of other folds (all rows, where it is None)."""
     features = list(features)
-    p = len(features)
-    data = compact_subjects(subjects, features, duration, event, weight, merge).persist(StorageLevel.MEMORY_AND_DISK)
+    p, fits = len(features), len(without)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [F.lit(True) if k is None else F.col("fold_") != k for k in without]
     try:
-        total = F.sum("w")
-        stats = data.agg(
-            *[(F.sum(F.col("w") * F.col(f)) / total).alias(f"m_{f}") for f in features],
-            *[(F.sum(F.col("w") * F.col(f) * F.col(f)) / total).alias(f"q_{f}") for f in features]).first()
-        means = np.array([stats[f"m_{f}"] for f in features])
-        squares = np.array([stats[f"q_{f}"] for f in features])
+        mine = [F.when(keep, F.col("w")).otherwise(0.0) for keep in kept]
+        stats = data.agg(*[x for k in range(fits) for x in (
+            F.sum(mine[k]).alias(f"w_{k}"),
+            *[F.sum(mine[k] * F.col(f)).alias(f"m_{k}_{i}") for i, f in enumerate(features)],
+            *[F.sum(mine[k] * F.col(f) * F.col(f)).alias(f"q_{k}_{i}") for i, f in enumerate(features)])]).first()
+        if any(not stats[f"w_{k}"] for k in range(fits)):
+            raise ValueError("no failures among the subjects")
+        means = np.array([[stats[f"m_{k}_{i}"] / stats[f"w_{k}"] for i in range(p)] for k in range(fits)])
+        squares = np.array([[stats[f"q_{k}_{i}"] / stats[f"w_{k}"] for i in range(p)] for k in range(fits)])
         scales = np.sqrt(np.maximum(squares - means ** 2, 0.0))
         scales[scales < 1e-12] = 1.0
-        x = [(F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(features, means, scales)]
         pairs = [(i, j) for i in range(p) for j in range(i, p)]
 
-        def derivatives(beta: np.ndarray):
-            eta = reduce(lambda a, b: a + b, [F.lit(float(b)) * c for b, c in zip(beta, x)])
-            rows = data.select("t", (F.col("w") * F.col("e")).alias("_d"), eta.alias("_eta"), (F.col("w") * F.exp(eta)).alias("_r"),
-                               *[c.alias(f"_x{i}") for i, c in enumerate(x)])
-            r, d = F.col("_r"), F.col("_d")
-            xs = [F.col(f"_x{i}") for i in range(p)]
-            axis = rows.groupBy("t").agg(
-                F.sum(r).alias("r0"), F.sum(d).alias("d"), F.sum(d * F.col("_eta")).alias("de"),
-                *[F.sum(r * c).alias(f"r1_{i}") for i, c in enumerate(xs)],
-                *[F.sum(r * xs[i] * xs[j]).alias(f"r2_{i}_{j}") for i, j in pairs],
-                *[F.sum(d * c).alias(f"dx_{i}") for i, c in enumerate(xs)])
-            names = ["r0", *[f"r1_{i}" for i in range(p)], *[f"r2_{i}_{j}" for i, j in pairs]]
-            axis = _at_risk(axis, {f"s_{n}": n for n in names}, block_width).where(F.col("d") > 0)
-            s0, d = F.col("s_r0"), F.col("d")
-            row = axis.agg(
-                (F.sum("de") - F.sum(d * F.ln(s0))).alias("ll"),
-                *[(F.sum(f"dx_{i}") - F.sum(d * F.col(f"s_r1_{i}") / s0)).alias(f"g_{i}") for i in range(p)],
-                *[F.sum(d * (F.col(f"s_r2_{i}_{j}") / s0 - F.col(f"s_r1_{i}") * F.col(f"s_r1_{j}") / (s0 * s0)))
-                  .alias(f"h_{i}_{j}") for i, j in pairs]).first()
-            if row["ll"] is None:
-                raise ValueError("no failures among the subjects")
-            grad = np.array([row[f"g_{i}"] for i in range(p)]) - ridge * beta
-            hess = np.zeros((p, p))
-            for i, j in pairs:
-                hess[i, j] = hess[j, i] = row[f"h_{i}_{j}"]
-            return row["ll"] - 0.5 * ridge * float(beta @ beta), grad, hess + ridge * np.eye(p)
-
-        beta = np.zeros(p)
-        ll, grad, hess = derivatives(beta)
-        steps, converged = 0, False
-        while steps < max_steps and not converged:
-            move = np.linalg.lstsq(hess, grad, rcond=None)[0]
-            for halving in range(30):
-                trial = beta + move / 2 ** halving
-                new_ll, new_grad, new_hess = derivatives(trial)
-                if math.isfinite(new_ll) and new_ll >= ll - 1e-12 * abs(ll):
-                    break
-            else:
-                break  # no better point on the way: the old one stays, and the fit has not converged
-            # The step itself is the measure: convergence is quadratic, so the error left is about its square.
-            converged = float(np.max(np.abs(trial - beta))) <= tolerance
-            beta, ll, grad, hess = trial, new_ll, new_grad, new_hess
-            steps += 1
-        if not converged:
-            warnings.warn(f"the fit has not converged after {steps} steps", stacklevel=2)
-        covariance = np.linalg.pinv(hess) / np.outer(scales, scales)
-        return CoxModel(features, (beta / scales).tolist(), means.tolist(), float(ll), steps, converged, covariance.tolist())
+        def derivatives(trials: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+            columns, sums, named = ["t"], [], []
+            for k, beta in trials.items():
+                x = [(F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(features, means[k], scales[k])]
+                eta = reduce(lambda a, b: a + b, [F.lit(float(b)) * c for b, c in zip(beta, x)])
+                columns += [F.when(kept[k], F.col("w") * F.col("e")).otherwise(0.0).alias(f"d_{k}"), eta.alias(f"eta_{k}"),
+                            F.when(kept[k], F.col("w") * F.exp(eta)).otherwise(0.0).alias(f"r_{k}"),
+                            *[c.alias(f"x_{k}_{i}") for i, c in enumerate(x)]]
+                r, d, xs = F.col(f"r_{k}"), F.col(f"d_{k}"), [F.col(f"x_{k}_{i}") for i in range(p)]
+                sums += [F.sum(r).alias(f"r0_{k}"), F.sum(d).alias(f"d_{k}"), F.sum(d * F.col(f"eta_{k}")).alias(f"de_{k}"),
+                         *[F.sum(r * c).alias(f"r1_{k}_{i}") for i, c in enumerate(xs)],
+                         *[F.sum(r * xs[i] * xs[j]).alias(f"r2_{k}_{i}_{j}") for i, j in pairs],
+                         *[F.sum(d * c).alias(f"dx_{k}_{i}") for i, c in enumerate(xs)]]
+                named += [f"r0_{k}", *[f"r1_{k}_{i}" for i in range(p)], *[f"r2_{k}_{i}_{j}" for i, j in pairs]]
+            axis = data.select(*columns).groupBy("t").agg(*sums)
+            axis = _at_risk(axis, {f"s_{n}": n for n in named}, block_width).where(
+                reduce(lambda a, b: a | b, [F.col(f"d_{k}") > 0 for k in trials]))
+
+            def over(d: Column, numerator: Column) -> Column:  # times without failures of this fit add nothing
+                return F.sum(F.when(d > 0, d * numerator).otherwise(0.0))
+
+            numbers = []
+            for k in trials:
+                s0, d = F.col(f"s_r0_{k}"), F.col(f"d_{k}")
+                s1 = [F.col(f"s_r1_{k}_{i}") for i in range(p)]
+                numbers += [
+                    F.sum(d).alias(f"n_{k}"), (F.sum(f"de_{k}") - over(d, F.ln(s0))).alias(f"ll_{k}"),
+                    *[(F.sum(f"dx_{k}_{i}") - over(d, s1[i] / s0)).alias(f"g_{k}_{i}") for i in range(p)],
+                    *[over(d, F.col(f"s_r2_{k}_{i}_{j}") / s0 - s1[i] * s1[j] / (s0 * s0)).alias(f"h_{k}_{i}_{j}") for i, j in pairs]]
+            row = axis.agg(*numbers).first()
+            out = {}
+            for k, beta in trials.items():
+                if not row[f"n_{k}"]:
+                    raise ValueError("no failures among the subjects")
+                grad = np.array([row[f"g_{k}_{i}"] for i in range(p)]) - ridge * beta
+                hess = np.zeros((p, p))
+                for i, j in pairs:
+                    hess[i, j] = hess[j, i] = row[f"h_{k}_{i}_{j}"]
+                out[k] = row[f"ll_{k}"] - 0.5 * ridge * float(beta @ beta), grad, hess + ridge * np.eye(p)
+            return out
+
+        beta = {k: np.zeros(p) for k in range(fits)}
+        at = derivatives(beta)
+        steps, halvings = [0] * fits, [0] * fits
+        converged, open_fits = [False] * fits, set(range(fits)) if max_steps > 0 else set()
+        move = {k: np.linalg.lstsq(at[k][2], at[k][1], rcond=None)[0] for k in open_fits}
+        while open_fits:
+            trials = {k: beta[k] + move[k] / 2 ** halvings[k] for k in sorted(open_fits)}
+            for k, found in derivatives(trials).items():
+                if not (math.isfinite(found[0]) and found[0] >= at[k][0] - 1e-12 * abs(at[k][0])):
+                    halvings[k] += 1
+                    if halvings[k] == 30:
+                        open_fits.discard(k)  # no better point on the way: the old one stays, without convergence
+                    continue
+                # The step itself is the measure: convergence is quadratic, so the error left is about its square.
+                converged[k] = float(np.max(np.abs(trials[k] - beta[k]))) <= tolerance
+                beta[k], at[k], halvings[k] = trials[k], found, 0
+                steps[k] += 1
+                if converged[k] or steps[k] >= max_steps:
+                    open_fits.discard(k)
+                else:
+                    move[k] = np.linalg.lstsq(found[2], found[1], rcond=None)[0]
+        if not all(converged):
+            warnings.warn(f"the fit has not converged after {max(steps)} steps", stacklevel=3)
+        return [CoxModel(
+            features, (beta[k] / scales[k]).tolist(), means[k].tolist(), float(at[k][0]), steps[k], converged[k],
+            (np.linalg.pinv(at[k][2]) / np.outer(scales[k], scales[k])).tolist()) for k in range(fits)]
     finally:
         data.unpersist()
 
@@ -218,73 +265,80 @@ def expected_survival(
 
 @dataclass
 class BoostedCoxModel:
-    """Log hazard as a sum of regression trees."""
+    """Log hazard as a sum of regression trees; null features follow the direction that the trees have learned."""
 
     features: list[str]
-    trees: list[DecisionTreeRegressionModel]
+    trees: list[Tree]
     rate: float
 
+    def log_hazard(self) -> Column:
+        return total(self.trees, [F.col(f).cast("double") for f in self.features], self.rate)
+
     def with_log_hazard(self, df: DataFrame, out: str = "log_hazard") -> DataFrame:
-        df = VectorAssembler(inputCols=self.features, outputCol="_features").transform(df)
-        df = df.withColumn(out, F.lit(0.0))
-        for tree in self.trees:
-            df = tree.transform(df).withColumn(out, F.col(out) + F.lit(self.rate) * F.col("_leaf")).drop("_leaf")
-        return df.drop("_features")
+        return df.withColumn(out, self.log_hazard())
 
     def save(self, spark: SparkSession, path: str) -> None:
-        info = json.dumps({"features": self.features, "rate": self.rate, "trees": len(self.trees)})
-        spark.createDataFrame([(info,)], "model string").write.mode("overwrite").parquet(f"{path}/info")
-        for k, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree_{k}")
+        info = json.dumps({"features": self.features, "rate": self.rate, "trees": [t.to_list() for t in self.trees]})
+        spark.createDataFrame([(info,)], "model string").write.mode("overwrite").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> BoostedCoxModel:
-        info = json.loads(spark.read.parquet(f"{path}/info").first()["model"])
-        trees = [DecisionTreeRegressionModel.load(f"{path}/tree_{k}") for k in range(info["trees"])]
-        return BoostedCoxModel(info["features"], trees, info["rate"])
+        info = json.loads(spark.read.parquet(path).first()["model"])
+        return BoostedCoxModel(info["features"], [Tree.of_list(t) for t in info["trees"]], info["rate"])
 
 
 def fit_boosted_cox(
     subjects: DataFrame, features: Sequence[str], duration: str = "duration_worked", event: str = "failed",
     weight: str | None = None, rounds: int = 10, max_depth: int = 3, rate: float = 0.3, checkpoint_every: int = 3,
-    min_node_weight: float = 0.0, seed: int = 0, block_width: float | None = None, merge: bool = True,
+    min_node_weight: float = 0.0, block_width: float | None = None, merge: bool = True, ridge: float = 0.0, bins: int = BINS,
 ) -> BoostedCoxModel:
     """Second-order boosting of the Breslow partial likelihood.
 
-    Each round takes two totals along the duration axis, joins them back to the compacted subjects (the axis has one
-    row per distinct duration; Catalyst broadcasts it when it is below the size threshold), and fits one weighted
-    regression tree to the Newton target. Lineage is cut by stored copies.
+    Features are cut into bins once, and equal subjects become one row. A round takes two totals along the duration axis,
+    joins them back to the rows (the axis has one row per distinct duration; Catalyst broadcasts it when it is below the
+    size threshold), and grows one tree from histograms of first and second derivatives, one aggregation per level.
+    Subjects without duration or event are left out; null features are a bin of their own. The predictor is an expression of
+    the trees over the stored bins, and is stored itself every ``checkpoint_every`` rounds, so plans stay short.
     """
     features = list(features)
-    assembler = VectorAssembler(inputCols=features, outputCol="_features")
-    data = assembler.transform(compact_subjects(subjects, features, duration, event, weight, merge))
-    data = data.select("_features", "t", "e", "w", F.lit(0.0).alias("eta")).persist(StorageLevel.MEMORY_AND_DISK)
-    trees: list[DecisionTreeRegressionModel] = []
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    known = subjects.where(~_incomplete([duration, event])).select(
+        *features, F.col(duration).cast("double").alias("t_"), F.col(event).cast("double").alias("e_"), w.alias("w_"))
+    known = stage(known, "boosted-subjects")
+    edges = bin_edges(known, features, bins)
+    columns = [f"bin_{i}" for i in range(len(features))]
+    data = binned(known, features, edges, F.col("t_").alias("t"), F.col("e_").alias("e"), F.col("w_").alias("w"))
+    if merge:
+        data = data.groupBy(*columns, "t", "e").agg(F.sum("w").alias("w"))
+    stored = stage(data.withColumn("start", F.lit(0.0)), "boosted-rows")
+    forget(known)
+    grown: list[Tree] = []
+    fresh: list[Tree] = []  # trees that the stored start does not hold yet: an expression over the bins
+    cells = [F.col(c) for c in columns]
+
+    def so_far() -> Column:
+        return reduce(lambda a, tree: a + F.lit(rate) * tree.value_of(cells, binned=True), fresh, F.col("start"))
+
     for k in range(rounds):
+        if len(fresh) == checkpoint_every:
+            before, stored = stored, stage(stored.withColumn("start", so_far()), "boosted-rows")
+            forget(before)
+            fresh = []
+        data = stored.withColumn("eta", so_far())
         axis = data.groupBy("t").agg(
             F.sum(F.col("w") * F.exp("eta")).alias("_r"), F.sum(F.col("w") * F.col("e")).alias("_d"))
         axis = _at_risk(axis, {"_s": "_r"}, block_width).select(
             "t", (F.col("_d") / F.col("_s")).alias("_h1"), (F.col("_d") / (F.col("_s") * F.col("_s"))).alias("_h2"))
         axis = running_sum(axis, [], "t", {"_a": "_h1", "_b": "_h2"}, block_width).select("t", "_a", "_b")
         risk = F.exp("eta")
-        rows = data.join(axis, "t").withColumns({
-            "_g": risk * F.col("_a") - F.col("e"),
-            "_h": F.greatest(risk * F.col("_a") - risk * risk * F.col("_b"), F.lit(1e-9)),
-        }).select("_features", (-F.col("_g") / F.col("_h")).alias("_target"), (F.col("_h") * F.col("w")).alias("_hw"))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # a tree fit reads its rows several times
-        tree = DecisionTreeRegressor(
-            featuresCol="_features", labelCol="_target", predictionCol="_leaf", weightCol="_hw", maxDepth=max_depth,
-            minWeightFractionPerNode=min_node_weight, seed=seed + k).fit(rows)
-        trees.append(tree)
-        grown = tree.transform(data).select(
-            "_features", "t", "e", "w", (F.col("eta") + F.lit(rate) * F.col("_leaf")).alias("eta"))
-        if (k + 1) % checkpoint_every == 0 and k + 1 < rounds:
-            grown = cut_lineage(grown)
-        else:
-            grown = grown.persist(StorageLevel.MEMORY_AND_DISK)
-            grown.count()
-        rows.unpersist()
-        data.unpersist()
-        data = grown
-    data.unpersist()
-    return BoostedCoxModel(features, trees, rate)
+        rows = data.join(axis, "t").select(
+            *columns, (F.col("w") * (risk * F.col("_a") - F.col("e"))).alias("g"),
+            (F.col("w") * F.greatest(risk * F.col("_a") - risk * risk * F.col("_b"), F.lit(1e-9))).alias("h"))
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # every level reads them
+        try:
+            fresh.append(grow(rows, edges, [("g", "h")], max_depth, ridge, min_node_weight)[0])
+        finally:
+            rows.unpersist()
+        grown.append(fresh[-1])
+    forget(stored)
+    return BoostedCoxModel(features, grown, rate)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import running_sum
 from ..functions.staging_area import stage
+from .cox import fit_cox_folds
 
 WIDE = "decimal(38,0)"
 BLOCK_ROWS = 20_000  # distinct (time, score) pairs of a score block
@@ -21,9 +22,10 @@ BLOCK_ROWS = 20_000  # distinct (time, score) pairs of a score block
 
 def concordance_counts(
     scored: DataFrame, duration: str = "duration_worked", event: str = "failed", score: str = "score", blocks: int | None = None,
-    block_width: float | None = None,
+    block_width: float | None = None, by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row: concordant, discordant, tied and comparable pairs (Harrell); a high score means a long life.
+    """One row: concordant, discordant, tied and comparable pairs (Harrell); a high score means a long life. With ``by`` one
+    row for each of its values, pairs being formed inside them.
 
     A pair is comparable when the earlier time is a failure, or both times are equal and only one of them is a
     failure. No pair is ever formed: two different time ranks differ first, from the top, in exactly one bit, so for
@@ -32,7 +34,7 @@ def concordance_counts(
     only balance the work) and the blocks' own totals are added, so no bit, rank or score has to fit in one task.
     ``block_width`` ranks the times in blocks too, for times that are not whole days.
     """
-    compact = scored.groupBy(F.col(duration).alias("t"), F.col(score).cast("double").alias("s")).agg(
+    compact = scored.groupBy(*by, F.col(duration).alias("t"), F.col(score).cast("double").alias("s")).agg(
         F.count("*").alias("n"), F.sum(F.col(event).cast("bigint")).alias("d"))
     compact = stage(compact, "scored")  # read four times below, and scoring may be expensive
     if blocks is None:
@@ -52,12 +54,12 @@ def concordance_counts(
     equal = F.col("bit") == -1
     one = F.expr("shiftright(rank, greatest(bit, 0)) & 1") == 1
     rows = exploded.select(
-        "bit", F.when(equal, F.col("rank")).otherwise(F.expr("shiftright(rank, bit + 1)")).alias("prefix"), "block", "s",
+        *by, "bit", F.when(equal, F.col("rank")).otherwise(F.expr("shiftright(rank, bit + 1)")).alias("prefix"), "block", "s",
         F.when(equal, F.col("n") - F.col("d")).when(one, F.col("n")).otherwise(0).alias("longer"),
         F.when(equal | ~one, F.col("d")).otherwise(0).alias("failed"),
     ).where((F.col("longer") > 0) | (F.col("failed") > 0))
 
-    group = ["bit", "prefix"]
+    group = [*by, "bit", "prefix"]
     per_score = rows.groupBy(*group, "block", "s").agg(F.sum("longer").alias("longer"), F.sum("failed").alias("failed"))
     inside = Window.partitionBy(*group, "block").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     lower = F.coalesce(F.sum("longer").over(inside), F.lit(0))
@@ -69,21 +71,21 @@ def concordance_counts(
     everything = Window.partitionBy(*group)
     failed = F.col("failed")
     per_group = per_block.select(
-        "tied", (F.col("below_pairs") + (failed * F.coalesce(F.sum("longer").over(earlier), F.lit(0))).cast(WIDE)).alias("discordant"),
+        *by, "tied", (F.col("below_pairs") + (failed * F.coalesce(F.sum("longer").over(earlier), F.lit(0))).cast(WIDE)).alias("discordant"),
         (failed * F.sum("longer").over(everything)).cast(WIDE).alias("comparable"))
-    out = per_group.agg(*[F.coalesce(F.sum(c).cast(WIDE), F.lit(0).cast(WIDE)).alias(c)
+    out = per_group.groupBy(*by).agg(*[F.coalesce(F.sum(c).cast(WIDE), F.lit(0).cast(WIDE)).alias(c)
                           for c in ("tied", "discordant", "comparable")])
     return out.select(
-        (F.col("comparable") - F.col("discordant") - F.col("tied")).cast(WIDE).alias("concordant"), "discordant", "tied",
+        *by, (F.col("comparable") - F.col("discordant") - F.col("tied")).cast(WIDE).alias("concordant"), "discordant", "tied",
         "comparable")
 
 
 def concordance(
     scored: DataFrame, duration: str = "duration_worked", event: str = "failed", score: str = "score", blocks: int | None = None,
-    block_width: float | None = None,
+    block_width: float | None = None, by: Sequence[str] = (),
 ) -> DataFrame:
     """Harrell's index: concordant pairs plus half of the tied ones over comparable ones."""
-    c = concordance_counts(scored, duration, event, score, blocks, block_width)
+    c = concordance_counts(scored, duration, event, score, blocks, block_width, by)
     index = (F.col("concordant").cast("double") + F.col("tied").cast("double") / 2) / F.nullif(
         F.col("comparable").cast("double"), F.lit(0.0))
     return c.withColumn("concordance", index)
@@ -116,6 +118,29 @@ def cross_validate(
     return {"folds": values, "mean": fmean(known), "std": pstdev(known)}
 
 
+def cross_validate_cox(
+    subjects: DataFrame, features: Sequence[str], fold: Column, folds: int, duration: str = "duration_worked",
+    event: str = "failed", **options: Any,
+) -> dict[str, Any]:
+    """``cross_validate`` of linear Cox models, all folds at once: one job per Newton step and one concordance for all.
+
+    ``fold`` numbers each subject's fold from 0; ``options`` go to ``fit_cox_folds``. A fold without comparable pairs has no
+    value.
+    """
+    numbered = subjects.withColumn("fold", fold.cast("int"))
+    models = fit_cox_folds(numbered, features, F.col("fold"), folds, duration, event, **options)
+    score = F.lit(None).cast("double")
+    for k, model in enumerate(models):
+        score = F.when(F.col("fold") == k, -model.log_hazard()).otherwise(score)
+    found = concordance(numbered.withColumn("score", score).where("score is not null"), duration, event, by=["fold"])
+    by_fold = {r["fold"]: r["concordance"] for r in found.select("fold", "concordance").collect()}
+    values = [by_fold.get(k) for k in range(folds)]
+    known = [v for v in values if v is not None]
+    if not known:
+        raise ValueError("no comparable pairs in any fold")
+    return {"folds": values, "mean": fmean(known), "std": pstdev(known), "models": models}
+
+
 def random_points(space: Mapping[str, tuple[float, float] | Sequence[Any]], trials: int, seed: int) -> list[dict[str, Any]]:
     """Seeded random points: a pair of numbers is a range, any longer sequence (or of other types) is a choice."""
     rng = random.Random(seed)

@@ -8,14 +8,15 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import AFTSurvivalRegression
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durations import fix_zero
 from ..functions.staging_area import cut_lineage, forget, stage
 from ..functions.weibull_math import expectation
 from ..operators.strata import WEIGHT
+from .trees import BoostedRegression, fit_boosted_regression
 
 # A group needs more than two subjects, and a shape below this has no finite expectation.
 MIN_SUBJECTS = 3
@@ -110,31 +111,30 @@ def accepted_fits(fits: DataFrame) -> DataFrame:
 
 @dataclass
 class WeibullAttributeModel:
-    """Two boosted-tree regressions from attributes to the logarithms of shape and scale."""
+    """Boosted trees from attributes to the logarithms of shape and scale; null attributes take part."""
 
-    pipeline: PipelineModel
-    features: list[str]
+    model: BoostedRegression
 
     def predict(self, models: DataFrame) -> DataFrame:
-        out = self.pipeline.transform(models)
-        shape, scale = F.exp("_log_shape"), F.exp("_log_scale")
-        return out.withColumns({
-            "predicted_shape": shape, "predicted_scale": scale, "predicted_survival": expectation(scale, shape),
-        }).drop("_features", "_log_shape", "_log_scale")
+        shape, scale = F.exp(self.model.predict(0)), F.exp(self.model.predict(1))
+        out = models.withColumns({"predicted_shape": shape, "predicted_scale": scale})
+        return out.withColumn("predicted_survival", expectation(F.col("predicted_scale"), F.col("predicted_shape")))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(self.model.to_json(),)], "model string").write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> WeibullAttributeModel:
+        return WeibullAttributeModel(BoostedRegression.of_json(spark.read.parquet(path).first()["model"]))
 
 
 def fit_weibull_from_attributes(
-    fits: DataFrame, features: Sequence[str], max_iter: int = 20, max_depth: int = 4, step: float = 0.2, seed: int = 0,
+    fits: DataFrame, features: Sequence[str], rounds: int = 20, max_depth: int = 4, rate: float = 0.2, ridge: float = 0.0,
 ) -> WeibullAttributeModel:
-    """``fits`` is the result of ``fit_weibull_groups`` joined with numeric attributes; sizes are the weights."""
-    rows = fits.withColumns({
-        "_y_shape": F.ln("weibull_shape"), "_y_scale": F.ln("weibull_scale"), "_w": F.col(WEIGHT).cast("double")})
-    stages = [VectorAssembler(inputCols=list(features), outputCol="_features")]
-    for part in ("shape", "scale"):
-        stages.append(GBTRegressor(
-            featuresCol="_features", labelCol=f"_y_{part}", predictionCol=f"_log_{part}", weightCol="_w",
-            maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed))
-    return WeibullAttributeModel(Pipeline(stages=stages).fit(rows), list(features))
+    """``fits`` is the result of ``fit_weibull_groups`` joined with numeric attributes; sizes are the weights. Both targets are
+    boosted side by side."""
+    targets = [F.ln("weibull_shape"), F.ln("weibull_scale")]
+    return WeibullAttributeModel(fit_boosted_regression(fits, features, targets, F.col(WEIGHT), rounds, max_depth, rate, ridge))
 
 
 def fit_weibull_rows(

@@ -9,10 +9,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import schema_tools
+from ..functions import durations, schema_tools
 from ..functions.staging_area import new_folder, stage
 from ..operators import enrich, lifespan, sampling
-from ..plans import cox, evaluate, explain, impute, roles, score, weibull
+from ..plans import cox, evaluate, explain, impute, roles, score, trees, weibull
 from ..sources import store
 from ..streaming import lifespan_stream
 from . import fleet_queries as fleet
@@ -122,7 +122,7 @@ DRIVE_FEATURES = ["first_hours", "c_acctbal", "nation"]
 @query("boosted_cox", "F7 F21")
 def boosted_cox(spark: SparkSession, sf: str) -> DataFrame:
     rows = drive_subjects(spark, sf)
-    model = cox.fit_boosted_cox(rows, DRIVE_FEATURES, rounds=6, max_depth=3)
+    model = cox.fit_boosted_cox(rows, DRIVE_FEATURES)
     path = new_folder(spark, "boosted")
     model.save(spark, path)
     return cox.BoostedCoxModel.load(spark, path).with_log_hazard(rows).select("drive_id", "failed", "duration_worked", "log_hazard")
@@ -131,12 +131,60 @@ def boosted_cox(spark: SparkSession, sf: str) -> DataFrame:
 @query("boosted_contributions", "F15")
 def boosted_contributions(spark: SparkSession, sf: str) -> DataFrame:
     rows = drive_subjects(spark, sf)
-    model = cox.fit_boosted_cox(rows, DRIVE_FEATURES, rounds=4, max_depth=2)
+    model = cox.fit_boosted_cox(rows, DRIVE_FEATURES)
     explained, base = explain.tree_contributions(model.with_log_hazard(rows), model, interactions=True)
     phi = [c for c in explained.columns if c.startswith("phi_")]
     return explained.select("drive_id", "log_hazard", F.lit(base).alias("base"), *phi)
 
 
+def _split_ctes(name: str, cells: str) -> str:
+    """The best split of each node of ``cells`` (x, y, g, h, node): sums by value, both sides for nulls, all gains; ends in
+    ``<name>s``, the cells with the side they go to."""
+    x = "CASE f WHEN 0 THEN x ELSE y END"
+    return f"""
+{name}u AS (SELECT node, 0 AS f, x AS v, g, h FROM {cells} UNION ALL SELECT node, 1, y, g, h FROM {cells}),
+{name}v AS (SELECT node, f, v, sum(g) AS g, sum(h) AS h FROM {name}u GROUP BY ALL),
+{name}n AS (SELECT node, f, sum(g) AS g, sum(h) AS h, coalesce(sum(g) FILTER (v IS NULL), 0) AS gn,
+  coalesce(sum(h) FILTER (v IS NULL), 0) AS hn, count(*) FILTER (v IS NULL) AS nn, count(v) AS nv FROM {name}v GROUP BY ALL),
+{name}c AS (SELECT node, f, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, row_number() OVER w AS nth FROM {name}v WHERE v IS NOT NULL
+  WINDOW w AS (PARTITION BY node, f ORDER BY v)),
+{name}d AS (SELECT c.node, c.f, c.v, k.side, c.gl + k.side * n.gn AS gl, c.hl + k.side * n.hn AS hl, n.g, n.h, n.nn
+  FROM {name}c c JOIN {name}n n USING (node, f), (VALUES (0), (1)) k(side)
+  WHERE (k.side = 0 OR n.nn > 0) AND (c.nth < n.nv OR (k.side = 0 AND n.nn > 0))),
+{name}b AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gl * gl / hl + (g - gl) * (g - gl) / (h - hl) DESC, f, v, side) AS best FROM {name}d),
+{name}s AS (SELECT e.x, e.y, e.g, e.h, e.node, CASE WHEN ({x}) IS NULL THEN (CASE WHEN nn > 0 THEN side = 1 ELSE b.hl > b.h - b.hl END)
+  ELSE ({x}) <= v END AS goes FROM {cells} e JOIN {name}b b ON e.node = b.node AND best = 1)"""
+
+
+def _boosted_sql(rounds: int) -> str:
+    """Unrolled boosting of depth two on ``l_quantity``, which has gaps, and ``l_tax``."""
+    text = W + v.SV + """,
+c0 AS (SELECT duration_worked AS t, CASE WHEN l_partkey % 7 <> 0 THEN l_quantity END AS x, l_tax AS y, count(*)::DOUBLE AS w,
+  sum(failed::INT)::DOUBLE AS d, 0.0e0 AS eta FROM sv GROUP BY ALL)"""
+    for r in range(rounds):
+        text += f""",
+ax{r} AS (SELECT t, sum(d) AS d, sum(sum(w * exp(eta))) OVER (ORDER BY t DESC) AS s FROM c{r} GROUP BY t),
+sm{r} AS (SELECT t, sum(d / s) OVER (ORDER BY t) AS a, sum(d / (s * s)) OVER (ORDER BY t) AS b FROM ax{r}),
+gh{r} AS (SELECT x, y, 0 AS node, sum(w * exp(eta) * a - d) AS g, sum(w * greatest(exp(eta) * a - exp(2 * eta) * b, 1e-9)) AS h
+  FROM c{r} JOIN sm{r} USING (t) GROUP BY x, y),{_split_ctes(f"p{r}", f"gh{r}")},
+lv{r} AS (SELECT x, y, g, h, goes::INT AS node FROM p{r}s),{_split_ctes(f"q{r}", f"lv{r}")},
+lf{r} AS (SELECT x, y, -sum(g) OVER w / sum(h) OVER w AS value FROM q{r}s WINDOW w AS (PARTITION BY node, goes)),
+c{r + 1} AS (SELECT c.t, c.x, c.y, c.w, c.d, c.eta + 0.3e0 * value AS eta FROM c{r} c JOIN lf{r} l ON c.y = l.y AND c.x IS NOT DISTINCT FROM l.x)"""
+    return text + f"""
+SELECT x AS l_quantity, y AS l_tax, round(any_value(eta), 6) + 0 AS log_hazard, CAST(sum(w) AS BIGINT) AS subjects FROM c{rounds} GROUP BY x, y"""
+
+
+@query("boosted_rounds", "F7 F21", sql=_boosted_sql(3))
+def boosted_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rounds of depth two on a feature with gaps, written, read again and applied."""
+    rows = v.subjects(spark, sf, *PAIR).withColumn("l_quantity", F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity")))
+    path = new_folder(spark, "boosted")
+    cox.fit_boosted_cox(rows, PAIR, rounds=3, max_depth=2).save(spark, path)
+    cells = rows.groupBy(*PAIR).agg(F.count("*").alias("subjects"))
+    out = cox.BoostedCoxModel.load(spark, path).with_log_hazard(cells)
+    return out.withColumn("log_hazard", F.round("log_hazard", 6) + 0)
+
+
 STUMP = v.SV + """, c AS (SELECT duration_worked AS t, CASE WHEN l_quantity > 25 THEN 1.0e0 ELSE 0.0e0 END AS large, count(*)::DOUBLE AS w,
   sum(failed::INT)::DOUBLE AS d FROM sv GROUP BY ALL),
 axis AS (SELECT t, sum(d) AS d, sum(sum(w)) OVER (ORDER BY t DESC) AS s FROM c GROUP BY t),
@@ -156,14 +204,29 @@ def boosted_stump(spark: SparkSession, sf: str) -> DataFrame:
         ("log_hazard", "log_hazard"), ("phi_large", "phi_large"))], (F.round(F.lit(base), 6) + 0).alias("base"))
 
 
-@query("cross_validated_cox", "F13")
+def _fold_sql(k: int) -> str:
+    """Concordance of fold k under the coefficients of the other fold."""
+    rows = f"""c AS (SELECT duration_worked AS t, l_quantity AS x, l_tax AS y, count(*)::DOUBLE AS w, sum(failed::INT)::DOUBLE AS d FROM sv
+  WHERE l_orderkey % 2 <> {k} GROUP BY ALL)"""
+    return f"""SELECT {k} AS fold, round((concordant + tied / 2.0e0) / comparable, 6) AS concordance FROM (
+WITH {_newton_ctes(rows, 6)},
+o AS (SELECT duration_worked AS t, -(bx * (l_quantity - mx) + byy * (l_tax - my)) AS s, count(*) AS n, sum(failed::INT) AS d
+  FROM sv, b6, mu WHERE l_orderkey % 2 = {k} GROUP BY ALL),
+later AS (SELECT t, s, sum(n) OVER (PARTITION BY s ORDER BY t RANGE UNBOUNDED PRECEDING) AS upto FROM o),
+totals AS (SELECT s, sum(n) AS total FROM o GROUP BY s),
+grid AS (SELECT a.t, a.s, a.d, z.s AS s2, z.total FROM o a, totals z WHERE a.d > 0),
+pairs AS (SELECT g.*, g.total - coalesce(u.upto, 0) + coalesce(e.n - e.d, 0) AS longer FROM grid g
+  ASOF LEFT JOIN later u ON u.s = g.s2 AND u.t <= g.t LEFT JOIN o e ON e.s = g.s2 AND e.t = g.t)
+SELECT sum(CASE WHEN s2 > s THEN d * longer ELSE 0 END) AS concordant, sum(CASE WHEN s2 = s THEN d * longer ELSE 0 END) AS tied,
+  sum(d * longer) AS comparable FROM pairs)"""
+
+
+@query("cross_validated_cox", "F13", sql=W + v.SV + " " + _fold_sql(0) + " UNION ALL " + _fold_sql(1))
 def cross_validated_cox(spark: SparkSession, sf: str) -> DataFrame:
-    def fit(train: DataFrame, held_out: DataFrame) -> DataFrame:
-        model = cox.fit_cox(train, PAIR)
-        return held_out.withColumn("score", -model.log_hazard())
-
-    out = evaluate.cross_validate(v.subjects(spark, sf, *PAIR), ["l_orderkey", "l_linenumber"], fit, folds=2)
-    return spark.createDataFrame([(k, x) for k, x in enumerate(out["folds"])], "fold int, concordance double")
+    """All folds in one fit and one concordance."""
+    out = evaluate.cross_validate_cox(v.subjects(spark, sf, *PAIR), PAIR, F.pmod("l_orderkey", F.lit(2)), folds=2)
+    return spark.createDataFrame([(k, x) for k, x in enumerate(out["folds"])], "fold int, concordance double").select(
+        "fold", F.round("concordance", 6).alias("concordance"))
 
 
 @query("cross_validated_weibull", "F13 F10")
@@ -173,7 +236,7 @@ def cross_validated_weibull(spark: SparkSession, sf: str) -> DataFrame:
 
     def fit(train: DataFrame, held_out: DataFrame) -> DataFrame:
         fits = weibull.accepted_fits(weibull.fit_weibull_groups(train, ["size"]))
-        model = weibull.fit_weibull_from_attributes(fits, ["size"], max_iter=3, max_depth=3)
+        model = weibull.fit_weibull_from_attributes(fits, ["size"])
         return model.predict(held_out).withColumn("score", F.col("predicted_survival"))
 
     out = evaluate.cross_validate(rows, ["l_orderkey", "l_linenumber"], fit, folds=2)
@@ -186,7 +249,7 @@ def hyperparameter_search(spark: SparkSession, sf: str) -> DataFrame:
 
     def evaluate_point(point: dict) -> float:
         def fit(train: DataFrame, held_out: DataFrame) -> DataFrame:
-            model = cox.fit_boosted_cox(train, DRIVE_FEATURES, rounds=2, max_depth=point["max_depth"], rate=point["rate"])
+            model = cox.fit_boosted_cox(train, DRIVE_FEATURES, max_depth=point["max_depth"], rate=point["rate"])
             return model.with_log_hazard(held_out).withColumn("score", -F.col("log_hazard"))
 
         return evaluate.cross_validate(rows, ["drive_id"], fit, folds=2)["mean"]
@@ -208,10 +271,37 @@ def _weibull_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
 @query("weibull_from_attributes", "F10")
 def weibull_from_attributes(spark: SparkSession, sf: str) -> DataFrame:
     table, features = _weibull_table(spark, sf)
-    model = weibull.fit_weibull_from_attributes(table, features, max_iter=5, max_depth=3)
+    model = weibull.fit_weibull_from_attributes(table, features)
     return model.predict(table).select("p_type", "p_size", "predicted_shape", "predicted_scale", "predicted_survival")
 
 
+def _regression_sql(rounds: int) -> str:
+    """Unrolled least-squares boosting of depth two on two attributes, one of them with gaps, with sizes as weights."""
+    text = """
+WITH k AS (SELECT p_type, p_size, count(*)::DOUBLE AS w, ln(avg(p_retailprice)) AS target FROM part GROUP BY ALL),
+c0 AS (SELECT CASE WHEN p_size % 5 <> 0 THEN p_size::DOUBLE END AS x, length(p_type)::DOUBLE AS y, w, target,
+  sum(w * target) OVER () / sum(w) OVER () AS p FROM k)"""
+    for r in range(rounds):
+        text += f""",
+gh{r} AS (SELECT x, y, 0 AS node, sum(w * (p - target)) AS g, sum(w) AS h FROM c{r} GROUP BY x, y),{_split_ctes(f"p{r}", f"gh{r}")},
+lv{r} AS (SELECT x, y, g, h, goes::INT AS node FROM p{r}s),{_split_ctes(f"q{r}", f"lv{r}")},
+lf{r} AS (SELECT x, y, -sum(g) OVER w / sum(h) OVER w AS value FROM q{r}s WINDOW w AS (PARTITION BY node, goes)),
+c{r + 1} AS (SELECT c.x, c.y, c.w, c.target, c.p + 0.2e0 * value AS p FROM c{r} c JOIN lf{r} l ON c.y = l.y AND c.x IS NOT DISTINCT FROM l.x)"""
+    return text + f" SELECT x, y, round(any_value(p), 6) AS predicted FROM c{rounds} GROUP BY x, y"
+
+
+@query("boosted_regression_rounds", "F10 F21", sql=_regression_sql(4))
+def boosted_regression_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The regression behind ``weibull_from_attributes`` on the log price of each (type, size), written and read again."""
+    groups = v.table(spark, sf, "part").groupBy("p_type", "p_size").agg(
+        F.count("*").alias("w"), F.log(F.avg("p_retailprice")).alias("target"))
+    rows = groups.select(F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("double")).alias("x"),
+                         F.length("p_type").cast("double").alias("y"), "w", "target")
+    model = trees.fit_boosted_regression(rows, ["x", "y"], [F.col("target")], F.col("w"), rounds=4, max_depth=2)
+    model = trees.BoostedRegression.of_json(model.to_json())
+    return rows.select("x", "y").distinct().withColumn("predicted", F.round(model.predict(0), 6))
+
+
 @query("weibull_rows", "F11")
 def weibull_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.subjects(spark, sf, *PAIR)
@@ -263,6 +353,43 @@ def imputer_scores(spark: SparkSession, sf: str) -> DataFrame:
     return impute.load_scores(spark, scores)
 
 
+@query("weibull_rows_scores", "F11", sql="""
+SELECT unnest(['intercept', 'l_quantity', 'l_tax', 'scale']) AS parameter, true AS settled, (SELECT count(*) FROM lineitem) AS subjects""")
+def weibull_rows_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The derivatives of the log-likelihood vanish at the fit of all subjects, beside what they are one step off it."""
+    rows = v.subjects(spark, sf, *PAIR)
+    fitted = weibull.fit_weibull_rows(rows, PAIR)
+    aft = fitted.stages[-1]
+    center = [aft.intercept, *map(float, aft.coefficients)]
+
+    def scores(mu: list[float], sigma: float) -> list:
+        x = [F.lit(1.0), *[F.col(f).cast("double") for f in PAIR]]
+        eta = sum((F.lit(b) * c for b, c in zip(mu, x, strict=True)), F.lit(0.0))
+        z = (F.ln(durations.fix_zero(F.col("duration_worked"))) - eta) / F.lit(sigma)
+        e = F.col("failed").cast("double")
+        residual = F.exp(z) - e
+        return [*[F.sum(residual * c) for c in x], F.sum(residual * z - e)]
+
+    off = 0.05 * aft.scale
+    here = scores(center, aft.scale)
+    there = scores([center[0] + off, *center[1:]], 1.05 * aft.scale)
+    row = rows.agg(F.count("*").alias("n"), *[c.alias(f"a{i}") for i, c in enumerate(here)], *[c.alias(f"b{i}") for i, c in enumerate(there)]).first()
+    out = [(p, abs(row[f"a{i}"]) < 0.1 * abs(row[f"b{i}"]), row["n"]) for i, p in enumerate(["intercept", *PAIR, "scale"])]
+    return spark.createDataFrame(out, "parameter string, settled boolean, subjects bigint")
+
+
+@query("introspection", "A19", sql="""
+SELECT 'column' AS kind, column_name AS name FROM (DESCRIBE lineitem) UNION ALL SELECT 'table', 'fleet_facts_view' UNION ALL SELECT 'reduced', 'false' UNION ALL SELECT 'reduced without facts', 'true'""")
+def introspection(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables and columns as the catalogue knows them, and whether the facts are there."""
+    v.table(spark, sf, "lineitem").createOrReplaceTempView("fleet_facts_view")
+    found = [("column", c) for c in store.column_names(spark, "fleet_facts_view")]
+    found += [("table", t) for t in store.table_names(spark) if t == "fleet_facts_view"]
+    found += [("reduced", str(store.is_reduced(spark, "fleet_facts_view")).lower()),
+              ("reduced without facts", str(store.is_reduced(spark, "fleet_facts_that_are_not_there")).lower())]
+    return spark.createDataFrame(found, "kind string, name string")
+
+
 @query("feature_vectors", "F23", sql="""
 WITH k AS (SELECT p_type, row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS i FROM part GROUP BY p_type)
 SELECT p_partkey, p_size::DOUBLE AS f0, CASE WHEN p_retailprice > 1000 THEN 1.0e0 ELSE 0.0e0 END AS f1, i::DOUBLE AS f2 FROM part JOIN k USING (p_type)""")

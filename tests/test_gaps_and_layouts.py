@@ -76,7 +76,7 @@ def brute_shapley(leaves, x, n, i):
         total = 0.0
         for leaf in leaves:
             v = leaf.value
-            for f, (low, high, share) in leaf.paths.items():
+            for f, (low, high, share, _) in leaf.paths.items():
                 v *= float(low < x[f] <= high) if f in known else share
             total += v
         return total

@@ -294,7 +294,7 @@ def test_row_level_weibull(spark):
 def test_weibull_from_attributes(spark):
     rows = [(float(a), 1.0 + a, 100.0 * (1 + a), 10) for a in range(4) for _ in range(10)]
     fits = spark.createDataFrame(rows, "a double, weibull_shape double, weibull_scale double, aggregate_weight long")
-    out = weibull.fit_weibull_from_attributes(fits, ["a"], max_iter=20).predict(fits.dropDuplicates(["a"])).collect()
+    out = weibull.fit_weibull_from_attributes(fits, ["a"], rounds=20).predict(fits.dropDuplicates(["a"])).collect()
     for r in out:
         assert r.predicted_shape == pytest.approx(r.weibull_shape, rel=0.1)
         assert r.predicted_survival == pytest.approx(r.predicted_scale * math.gamma(1 + 1 / r.predicted_shape))
