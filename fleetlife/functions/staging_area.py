@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset, one below the warehouse, which all
-    executors share as well."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset, one below the warehouse. A folder on the
+    driver's own disk is refused unless the session runs on that machine alone."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root is None:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+        if not sc.master.startswith("local") and root.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root.rstrip("/")
