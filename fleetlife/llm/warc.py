@@ -19,13 +19,14 @@ VERSION = b"WARC/1.1\r\n"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 FILE_RECORDS = 4000
+WINDOW, FINE_WINDOW = 1 << 16, 1 << 8  # compressed bytes that are inflated at once, and around damage
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 # Fixed value of the WARC 1.1 standard: the profile of a revisit whose payload digest equals an earlier one.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = (
     "kind string, path string, start bigint, size bigint, reason string, record_id string, record_type string, url string, "
-    "refers_to string, payload_bytes bigint, payload_digest string, payload binary"
+    "refers_to string, payload_bytes bigint, payload_digest string, payload binary, inner_start bigint, inner_size bigint"
 )
 
 
@@ -101,55 +102,90 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     }, end + 4, ""
 
 
-def open_member(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """The content of the gzip member at ``at`` and where it ends; None if its own checks fail."""
-    z = zlib.decompressobj(31)
-    try:
-        content = z.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return None, at
-    return (content, len(data) - len(z.unused_data)) if z.eof else (None, at)
-
-
-def _member(data: bytes, at: int) -> tuple[list[dict], int, str]:
-    content, end = open_member(data, at)
-    if content is None:
-        return [], at, "broken gzip member"
-    found, pos = [], 0
-    while pos < len(content):
-        record, pos, reason = parse_record(content, pos)
-        if record is None:
-            return [], at, reason
-        found.append(record)
-    return found, end, ""
+def open_member(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """(content, end, whole) of the gzip member at ``at``. Input goes in by windows and stops with the member, so later bytes
+    are not touched. A member that ends early or fails its checks is not whole and gives what was inflated before that."""
+    view, out, window, pos, z = memoryview(data), [], WINDOW, at, zlib.decompressobj(31)
+    while not z.eof and pos < len(data):
+        before = z.copy() if window < WINDOW else None
+        try:
+            out.append(z.decompress(view[pos : pos + window]))
+            pos += window
+        except zlib.error:
+            if window == WINDOW:  # once more in small steps, to keep all but the last
+                out, window, pos, z = [], FINE_WINDOW, at, zlib.decompressobj(31)
+            elif window == FINE_WINDOW:
+                window, z = 1, before
+            else:
+                break
+    return b"".join(out), min(pos, len(data)) - len(z.unused_data) if z.eof else at, z.eof
+
+
+def _inside(content: bytes) -> Iterator[tuple[str, int, int, str, dict]]:
+    """Like ``salvage``, for the records of a member."""
+    at, gap, why = 0, None, ""
+    while at < len(content):
+        record, end, reason = parse_record(content, at)
+        if record is not None:
+            if gap is not None:
+                yield "gap", gap, at - gap, why, {}
+                gap = None
+            yield "record", at, end - at, "", record
+            at = end
+            continue
+        if gap is None:
+            gap, why = at, reason
+        after = VERSION_LINE.search(content, at + 1)
+        at = after.start() if after else len(content)
+    if gap is not None:
+        yield "gap", gap, len(content) - gap, why, {}
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict]]:
-    """(kind, start, size, reason, fields) for the file's records and its quarantined gaps, which cover it without
-    overlap, in order.
+    """(kind, start, size, reason, fields) for the file's records and its quarantined gaps, in order.
 
     Where a check fails, the search goes on one byte later for the next place that starts a gzip member or a version line
-    and passes all checks; the bytes between form a gap with the first failure's reason.
+    and passes all checks; the bytes between form a gap with the first failure's reason. Members and gaps cover the file
+    without overlap. Inside a member the search is for version lines: its sound records come with their ``inner_start`` and
+    ``inner_size``, and so do its inner gaps. What a broken member held before the damage comes with size 0, at its
+    start; its bytes are a gap.
     """
     at, gap, why, n = 0, None, "", len(data)
+    rescued: set[tuple[str, str | None]] = set()  # from the last broken member, lest its stored blocks give a record twice
     candidate = re.compile(re.escape(MEMBER) + b"|" + VERSION_LINE.pattern)
     while at < n:
-        if data.startswith(MEMBER, at):
-            found, end, reason = _member(data, at)
-            good = end > at and not reason
+        packed = data.startswith(MEMBER, at)
+        if packed:
+            content, end, whole = open_member(data, at)
+            found = list(_inside(content))
+            sound = [f for f in found if f[0] == "record"]
+            good = whole and (bool(sound) or not content)
+            reason = "broken gzip member" if not whole else "" if good else found[0][3]
         else:
             record, end, reason = parse_record(data, at)
-            found, good = [record], record is not None
+            found, good = [("record", at, end - at, "", record)], record is not None
+            if good and (record["record_id"], record["payload_digest"]) in rescued:
+                at = end  # a stored block of the broken member: still its gap
+                continue
         if good:
             if gap is not None:
                 yield "gap", gap, at - gap, why, {}
                 gap = None
-            for record in found:
-                yield "record", at, end - at, "", record
+            for kind, start, size, inner_why, fields in found:
+                place = {"inner_start": start, "inner_size": size} if packed else {}
+                yield kind, at, end - at, inner_why, fields | place
+            if packed:
+                rescued.clear()
             at = end
             continue
         if gap is None:
             gap, why = at, reason
+        if packed and not whole:
+            for _, start, size, _, fields in sound:
+                name = fields["record_id"], fields["payload_digest"]
+                if name not in rescued:
+                    rescued.add(name)
+                    yield "record", at, 0, "", fields | {"inner_start": start, "inner_size": size}
         after = candidate.search(data, at + 1)
         at = after.start() if after else n
     if gap is not None:
@@ -209,9 +245,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     task, so archives should be of the usual size (1 GB at most); a folder without files gives no rows.
     """
     names = [part.split()[0] for part in READ_SCHEMA.split(", ")]
+    numbers = {part.split()[0] for part in READ_SCHEMA.split(", ") if part.endswith("bigint")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, pa.binary() if n == "payload" else pa.int64() if n in ("start", "size", "payload_bytes")
+        schema = pa.schema([(n, pa.binary() if n == "payload" else pa.int64() if n in numbers
                              else pa.string()) for n in names])
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
@@ -236,8 +273,9 @@ def records(archives: DataFrame) -> DataFrame:
 
 
 def quarantine(archives: DataFrame) -> DataFrame:
-    """The log of byte gaps: (path, start, size, reason)."""
-    return archives.where("kind = 'gap'").select("path", "start", "size", "reason")
+    """The log of byte gaps: (path, start, size, reason, inner_start, inner_size); the last two are set for a gap inside the
+    member at ``start``."""
+    return archives.where("kind = 'gap'").select("path", "start", "size", "reason", "inner_start", "inner_size")
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:

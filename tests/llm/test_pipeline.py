@@ -98,7 +98,7 @@ def test_warc_query_agrees_with_sql(spark):
 def test_the_entry_works_without_these_operators(tmp_path):
     code = (
         "import sys\nclass Gone:\n    def find_spec(self, name, path=None, target=None):\n"
-        "        if name in ('corpus_pipeline', 'fleetlife.llm'): raise ModuleNotFoundError(name)\n"
+        "        if name in ('corpus_pipeline', 'fleetlife.llm'): raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\nimport __spark_entry__ as e\n"
         "assert 'pipeline' not in e.queries() and 'lifespans' in e.queries() and e.oracle_sql()\n")
     subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, check=True, timeout=120)
