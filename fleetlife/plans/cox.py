@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import running_sum
+from ..functions.ordering import axis_bounds, axis_sketch, backwards, bounds_from, running_sum
 from ..functions.staging_area import forget, stage
 from .trees import BINS, Tree, bin_edges, binned, grow, total
 
@@ -53,7 +53,7 @@ def incomplete_subjects(
 
 def _at_risk(axis: DataFrame, sums: Mapping[str, str], block_width: float | None) -> DataFrame:
     """Totals over subjects that live at least as long, along the compacted duration axis."""
-    return running_sum(axis.withColumn("_neg", -F.col("t")), [], "_neg", dict(sums), block_width).drop("_neg")
+    return running_sum(axis.withColumn("_neg", -F.col("t")), [], "_neg", dict(sums), backwards(block_width)).drop("_neg")
 
 
 @dataclass
@@ -128,7 +128,9 @@ def _newton_fits(
         stats = data.agg(*[x for k in range(fits) for x in (
             F.sum(mine[k]).alias(f"w_{k}"),
             *[F.sum(mine[k] * F.col(f)).alias(f"m_{k}_{i}") for i, f in enumerate(features)],
-            *[F.sum(mine[k] * F.col(f) * F.col(f)).alias(f"q_{k}_{i}") for i, f in enumerate(features)])]).first()
+            *[F.sum(mine[k] * F.col(f) * F.col(f)).alias(f"q_{k}_{i}") for i, f in enumerate(features)])],
+            *axis_sketch("t", "axis_")).first()
+        block_width = bounds_from(stats, "axis_") if block_width is None else block_width
         if any(not stats[f"w_{k}"] for k in range(fits)):
             raise ValueError("no failures among the subjects")
         means = np.array([[stats[f"m_{k}_{i}"] / stats[f"w_{k}"] for i in range(p)] for k in range(fits)])
@@ -218,6 +220,7 @@ def baseline_hazard(
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     known = F.col(duration).isNotNull() & F.col(event).isNotNull() & log_hazard.isNotNull() & ~F.isnan(log_hazard)
+    block_width = axis_bounds(scored, duration) if block_width is None else block_width
     axis = scored.where(known).groupBy(F.col(duration).cast("double").alias("t")).agg(
         F.sum(w * F.exp(log_hazard)).alias("_r"), F.sum(w * F.col(event).cast("double")).alias("_d"))
     axis = _at_risk(axis, {"_s": "_r"}, block_width).select("t", (F.col("_d") / F.col("_s")).alias("hazard"))
@@ -305,6 +308,7 @@ def fit_boosted_cox(
     known = subjects.where(~_incomplete([duration, event])).select(
         *features, F.col(duration).cast("double").alias("t_"), F.col(event).cast("double").alias("e_"), w.alias("w_"))
     known = stage(known, "boosted-subjects")
+    block_width = axis_bounds(known, "t_") if block_width is None else block_width
     edges = bin_edges(known, features, bins)
     columns = [f"bin_{i}" for i in range(len(features))]
     data = binned(known, features, edges, F.col("t_").alias("t"), F.col("e_").alias("e"), F.col("w_").alias("w"))

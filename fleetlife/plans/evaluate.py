@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import running_sum
+from ..functions.ordering import axis_bounds, running_sum
 from ..functions.staging_area import stage
 from .cox import fit_cox_folds
 
@@ -32,13 +32,14 @@ def concordance_counts(
     every bit the subjects with equal higher bits and a 1 are counted against the failures with a 0, by running totals
     in score order. Each subject appears once per bit. Totals run inside score blocks (by approximate quantiles; they
     only balance the work) and the blocks' own totals are added, so no bit, rank or score has to fit in one task.
-    ``block_width`` ranks the times in blocks too, for times that are not whole days.
+    Times are ranked in blocks too where they are not whole days (of ``block_width``, or of quantiles).
     """
     compact = scored.groupBy(*by, F.col(duration).alias("t"), F.col(score).cast("double").alias("s")).agg(
         F.count("*").alias("n"), F.sum(F.col(event).cast("bigint")).alias("d"))
     compact = stage(compact, "scored")  # read four times below, and scoring may be expensive
     if blocks is None:
         blocks = max(1, -(-compact.count() // BLOCK_ROWS))
+    block_width = axis_bounds(compact, "t") if block_width is None else block_width
     times = compact.select(F.col("t").alias("_t")).distinct()
     ranks = running_sum(times.withColumn("_one", F.lit(1)), [], "_t", {"_up_to": "_one"}, block_width).select(
         "_t", (F.col("_up_to") - 1).cast("int").alias("rank"))

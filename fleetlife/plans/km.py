@@ -12,7 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import running_sum
+from ..functions.ordering import axis_bounds, backwards, running_sum
 
 
 def survival_axis(
@@ -38,11 +38,12 @@ def curve_from_axis(
     """Product-limit curve with a log-log Greenwood band; a row at duration 0 opens every curve. It comes out of the first
     row of the stratum, so the subjects are read once.
 
-    ``block_width`` is for axes that are not whole days and may hold very many distinct durations.
+    ``block_width`` (a width, or the bounds of ``axis_bounds``) cuts axes that may hold very many distinct durations. The
+    functions below find the bounds themselves where durations are not whole days.
     """
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
     axis = axis.withColumn("_neg", -F.col("duration"))
-    axis = running_sum(axis, strata, "_neg", {"at_risk": "n"}, block_width).drop("_neg")
+    axis = running_sum(axis, strata, "_neg", {"at_risk": "n"}, backwards(block_width)).drop("_neg")
     d, r = F.col("d"), F.col("at_risk").cast("double")
     axis = axis.withColumns({
         "_ln": F.when(d < r, F.ln(1 - d / r)).otherwise(F.lit(0.0)),
@@ -71,6 +72,7 @@ def survival_curve(
     subjects: DataFrame, strata: Sequence[str] = (), duration: str = "duration_worked", event: str = "failed",
     weight: str | None = None, confidence: float = 0.95, block_width: float | None = None,
 ) -> DataFrame:
+    block_width = axis_bounds(subjects, duration) if block_width is None else block_width
     return curve_from_axis(survival_axis(subjects, strata, duration, event, weight), strata, confidence, block_width)
 
 
@@ -82,6 +84,7 @@ def nested_curves(
 
     Subjects without a secondary value are left out of both. The coarse axis is summed from the fine one.
     """
+    block_width = axis_bounds(subjects, duration) if block_width is None else block_width
     fine = survival_axis(
         subjects.where(F.col(primary).isNotNull() & F.col(secondary).isNotNull()), [primary, secondary], duration, event)
     return curve_from_axis(_with_levels(fine, [primary], secondary, overall), ["level", primary, secondary], confidence,
@@ -130,6 +133,7 @@ def binned_curves(
     Empty bins join the bin before them; ``label`` is ``[low, high)``. With a secondary attribute, ``overall`` adds one
     curve per bin, as in ``nested_curves``.
     """
+    block_width = axis_bounds(subjects, duration) if block_width is None else block_width
     known = subjects.where(F.col(primary).isNotNull())
     if secondary is not None:
         known = known.where(F.col(secondary).isNotNull())

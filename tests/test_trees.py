@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlife.functions import ordering
 from fleetlife.functions.ordering import number_by_hash, smallest_by_hash
-from fleetlife.plans import cox, evaluate, explain, trees
+from fleetlife.plans import cox, evaluate, explain, km, trees
 
 
 def regression_rows(spark, n=600, seed=4):
@@ -135,3 +136,31 @@ def test_samples_keep_rows_with_null_parts(spark):
     kept = smallest_by_hash(rows, ["id"], F.lit(2), 0, ["part"]).groupBy("part").count().collect()
     assert sorted(r["count"] for r in kept) == [2, 2, 2]
     assert sorted(r.n for r in number_by_hash(rows.select("id"), ["id"], "n").collect()) == list(range(1, 13))
+
+
+def test_fractional_axes_cut_themselves(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    t = np.r_[rng.exponential(50, 700), rng.integers(1, 9, 100), [np.nan]]
+    rows = spark.createDataFrame([(float(x), bool(i % 3), float(i % 7)) for i, x in enumerate(t)], "duration_worked double, failed boolean, x double")
+    rows = rows.repartition(3)
+    monkeypatch.setattr(ordering, "AXIS_ROWS", 1 << 14)
+    assert ordering.axis_bounds(rows.where("duration_worked = floor(duration_worked)"), "duration_worked") is None
+    assert ordering.axis_bounds(rows.select(F.lit(1).alias("d")), "d") is None
+    assert ordering.axis_bounds(rows.limit(0), "duration_worked") is None
+
+    def all_results():
+        known = rows.where("not isnan(duration_worked)")
+        model = cox.fit_cox(known, ["x"])
+        curve = [tuple(r) for r in km.survival_curve(rows).orderBy("duration", "at_risk").collect()]
+        base = [tuple(r) for r in cox.baseline_hazard(known, F.col("x") / 10).orderBy("t").collect()]
+        boosted = cox.fit_boosted_cox(known, ["x"], rounds=2, max_depth=2).trees
+        return model.coefficients, curve, base, [n.value for tree in boosted for n in tree.nodes]
+
+    whole = all_results()
+    monkeypatch.setattr(ordering, "AXIS_ROWS", 40)
+    bounds = ordering.axis_bounds(rows, "duration_worked")
+    assert 10 < len(bounds) < 25 and bounds == sorted(bounds)
+    for a, b in zip(whole, all_results(), strict=True):
+        flat = lambda x: [v for r in x for v in (r if isinstance(r, tuple) else (r,))]
+        assert [v is None for v in flat(a)] == [v is None for v in flat(b)]
+        assert [v for v in flat(a) if v is not None] == pytest.approx([v for v in flat(b) if v is not None], rel=1e-9, abs=1e-12)
