@@ -13,7 +13,7 @@ from fleetlife.functions.staging_area import stage
 from fleetlife.llm.common import share_code
 
 SHARD_ROWS = 8192
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 16 * SHARD_ROWS  # queries that stream past one copy of a shard
 DEGREE = 32
 BUILD_BEAM = 48
 ALPHA = 1.2
@@ -193,67 +193,85 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each query, ties to the smaller id.
 
-    Each (shard, block of queries) is one unit of work, so neither all queries nor the whole index meet in a task. A
-    unit searches its shard's graph with a beam and scores what it found exactly, in double precision; the shards'
-    best are then merged per query. A query never finds rows of its own id. Repeated query ids are searched once.
+    Every shard is a task of its own: its graph comes first and is held (``shard_rows`` nodes at most), the queries then
+    stream past it. Beyond ``query_block`` queries a shard has one more task for each further block, so copies of the graphs
+    stay a small part of what is moved. A task searches with a beam and scores what it found exactly, in double precision;
+    the shards' best are then merged per query. A query never finds rows of its own id. Of queries that repeat an id the
+    smallest vector counts.
     """
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).dropDuplicates(["query_id"])
+    asked = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector"))
     asked = stage(asked, "queries")
     blocks = max(1, -(-asked.count() // query_block))
     shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
-    each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    parts = 4 * shards * blocks
-    left = index.select("*", each_block).repartition(parts, "shard", "block")
-    right = asked.select(
-        "query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each_shard,
-    ).repartition(parts, "shard", "block")
-
-    def run(nodes: pd.DataFrame, wanted: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        if nodes.empty or wanted.empty:
-            return empty
-        nodes = nodes.sort_values("node")
-        exact = np.stack(nodes["vector"].to_numpy())
-        points = lifted(exact, float(nodes["longest"].iloc[0]))
-        graph = np.full((len(nodes), max(1, int(nodes["edges"].map(len).max()))), -1, np.int64)
-        for i, e in enumerate(nodes["edges"]):
-            graph[i, : len(e)] = e
-        members = nodes["vec_ids"].to_numpy()
-        out = []
-        width = max(beam, k + 1)
-        for at in range(0, len(wanted), TOGETHER):
-            part = wanted.iloc[at : at + TOGETHER]
-            q = np.stack(part["query"].to_numpy())
-            found, _ = beam_search(points, graph, int(nodes["start"].iloc[0]), np.c_[q, np.zeros(len(q))].astype(np.float32), width)
-            for query_id, vector, row in zip(part["query_id"].to_numpy(), q, found, strict=True):
-                row = row[row >= 0]
-                score = (exact[row] * vector).sum(axis=1)
-                near = np.argsort(-score, kind="stable")
-                ids, scores, taken = [], [], 0
-                for i in near:
-                    own = members[row[i]]
-                    own = own[own != query_id][:k]
-                    if taken >= k and score[i] < scores[-1][0]:
-                        break
-                    ids.append(own)
-                    scores.append(np.full(len(own), score[i]))
-                    taken += len(own)
-                    if not len(own):
-                        ids.pop()
-                        scores.pop()
-                if ids:
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": np.concatenate(ids), "score": np.concatenate(scores)}))
-        return pd.concat(out, ignore_index=True) if out else empty
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    nodes = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
+        "query_id", F.lit(None).cast("bigint"))
+    wanted = asked.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    stream = nodes.unionByName(wanted, allowMissingColumns=True).withColumn("task", F.expr(f"shard * {blocks} + block"))
+    width = max(beam, k + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph, parts = None, []
+        for pdf in batches:
+            is_node = pdf["query_id"].isna().to_numpy()
+            if is_node.any():
+                parts.append(pdf[is_node])
+            rest = pdf[~is_node]
+            if rest.empty or not parts:
+                continue
+            if graph is None:
+                graph = shard_graph(pd.concat(parts, ignore_index=True))
+            for at in range(0, len(rest), TOGETHER):
+                found = nearest_in_shard(*graph, rest.iloc[at : at + TOGETHER], k, width)
+                if found is not None:
+                    yield found
 
     share_code(index.sparkSession)
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(
+    # Partitions by task number: no two shards meet in a task, and nodes come before queries.
+    found = stream.repartitionById(shards * blocks, F.col("task").cast("int")).sortWithinPartitions(
+        F.col("node").asc_nulls_last()).select("query_id", "node", "vector", "vec_ids", "edges", "start", "longest").mapInPandas(
         run, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 
 
+def shard_graph(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(original vectors, lifted vectors, edges padded with -1, ids of each node, start node) of a shard's index rows."""
+    nodes = nodes.sort_values("node")
+    exact = np.stack(nodes["vector"].to_numpy())
+    graph = np.full((len(nodes), max(1, int(nodes["edges"].map(len).max()))), -1, np.int64)
+    for i, e in enumerate(nodes["edges"]):
+        graph[i, : len(e)] = e
+    return exact, lifted(exact, float(nodes["longest"].iloc[0])), graph, nodes["vec_ids"].to_numpy(), int(nodes["start"].iloc[0])
+
+
+def nearest_in_shard(
+    exact: np.ndarray, points: np.ndarray, graph: np.ndarray, members: np.ndarray, start: int, wanted: pd.DataFrame, k: int,
+    width: int,
+) -> pd.DataFrame | None:
+    """The best of one shard for a few queries: at least ``k`` rows where there are so many, with all ties of the last."""
+    q = np.stack(wanted["vector"].to_numpy())
+    out = []
+    found, _ = beam_search(points, graph, start, np.c_[q, np.zeros(len(q))].astype(np.float32), width)
+    for query_id, vector, row in zip(wanted["query_id"].to_numpy().astype(np.int64), q, found, strict=True):
+        row = row[row >= 0]
+        score = (exact[row] * vector).sum(axis=1)
+        ids, scores, taken = [], [], 0
+        for i in np.argsort(-score, kind="stable"):
+            own = members[row[i]]
+            own = own[own != query_id][:k]
+            if taken >= k and score[i] < scores[-1][0]:
+                break
+            if len(own):
+                ids.append(own)
+                scores.append(np.full(len(own), score[i]))
+                taken += len(own)
+        if ids:
+            out.append(pd.DataFrame({"query_id": query_id, "vec_id": np.concatenate(ids), "score": np.concatenate(scores)}))
+    return pd.concat(out, ignore_index=True) if out else None
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding",
     shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM,
