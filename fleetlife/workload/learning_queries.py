@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import durations, schema_tools
 from ..functions.staging_area import new_folder, stage
 from ..operators import enrich, lifespan, sampling
-from ..plans import cox, evaluate, explain, impute, roles, score, trees, weibull
+from ..plans import cox, evaluate, explain, impute, roles, score, search, trees, weibull
 from ..sources import store
 from ..streaming import lifespan_stream
 from . import fleet_queries as fleet
@@ -260,6 +260,54 @@ def hyperparameter_search(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("trial int, point string, value double").json(log)
 
 
+HALVING = {"trials": 9, "eta": 3, "least": 1, "greatest": 9}
+HALVING_SPACE = {"shape": (0.5, 3.0), "cut": (5.0, 45.0)}
+HALVING_SEED = 4
+
+
+def _halving_sql() -> str:
+    """The first wave: its random points, every rung's likelihoods on the rung's share, and who goes on."""
+    points = evaluate.random_points(HALVING_SPACE, HALVING["trials"], HALVING_SEED * 1_000_003)
+    listed = ", ".join(f"({k}, {p['shape']!r}::DOUBLE, {p['cut']!r}::DOUBLE)" for k, p in enumerate(points))
+    text = W + v.SV + f""", p(trial, shape, cut) AS (VALUES {listed}),
+c AS (SELECT duration_worked AS t, l_quantity AS q, l_orderkey % 9 AS part, count(*) AS n, sum(failed::INT) AS d FROM sv
+  WHERE duration_worked > 0 GROUP BY ALL)"""
+    plan = search.rungs(**HALVING)
+    for r, (_, budget) in enumerate(plan):
+        keep = plan[r + 1][0] if r + 1 < len(plan) else 1
+        text += f""",
+s{r} AS (SELECT trial, shape, cut, q > cut AS large, sum(n) AS n, sum(d) AS d, sum(d * ln(t)) AS l, sum(n * pow(t, shape)) AS m
+  FROM c, {f"(SELECT * FROM k{r - 1} WHERE kept)" if r else "p"} WHERE part < {budget} GROUP BY ALL),
+k{r} AS (SELECT {r} AS rung, trial, shape, cut, value, row_number() OVER (ORDER BY value DESC, trial) <= {keep} AS kept FROM (
+  SELECT trial, shape, cut, sum(d * (ln(shape) - ln(m / d)) + (shape - 1) * l - d) / sum(n) AS value FROM s{r} GROUP BY trial, shape, cut))"""
+    return text + " UNION ALL ".join(
+        f"\nSELECT rung, trial, round(shape, 6) AS shape, round(cut, 6) AS cut, round(value, 6) AS value, kept FROM k{r}" for r in range(len(plan)))
+
+
+@query("halving_search", "F14", sql=_halving_sql())
+def halving_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Shape of a Weibull curve, and the quantity at which subjects get a scale of their own, by the likelihood per subject.
+    The budget is the number of ninths of the orders; every trial is one aggregation of a compacted table."""
+    cells = stage(v.subjects(spark, sf, "l_quantity").where("duration_worked > 0").groupBy(
+        F.col("duration_worked").alias("t"), F.col("l_quantity").alias("q"), F.pmod("l_orderkey", F.lit(9)).alias("part")).agg(
+        F.count("*").alias("n"), F.sum(F.col("failed").cast("int")).alias("d")), "cells")
+
+    def likelihood(point: dict, budget: float) -> float | None:
+        shape = F.lit(point["shape"])
+        sides = cells.where(F.col("part") < budget).groupBy(F.col("q") > point["cut"]).agg(
+            F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum(F.col("d") * F.log("t")).alias("l"),
+            F.sum(F.col("n") * F.pow("t", shape)).alias("m"))
+        value = F.sum(F.col("d") * (F.log(shape) - F.log(F.col("m") / F.col("d"))) + (shape - 1) * F.col("l") - F.col("d"))
+        return sides.agg(value / F.sum("n")).first()[0]
+
+    log = new_folder(spark, "trials")
+    search.halving_search(spark, HALVING_SPACE, likelihood, log, waves=1, seed=HALVING_SEED, parallel=3, **HALVING)
+    trace = search.search_trace(spark, log, **HALVING)
+    point = F.from_json("point", "shape double, cut double")
+    return trace.select("rung", "trial", F.round(point["shape"], 6).alias("shape"), F.round(point["cut"], 6).alias("cut"),
+                        F.round("value", 6).alias("value"), "kept")
+
+
 def _weibull_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """Fits per (type, size) with numeric attributes."""
     fits = weibull.accepted_fits(weibull.fit_weibull_groups(v.subjects_with_brand(spark, sf), ["p_type", "p_size"]))
