@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import number_by_hash
+from ..functions.pattern_index import candidates, indexed_patterns
 from ..functions.staging_area import stage
 from ..functions.text import regex_search
 
@@ -52,19 +53,23 @@ def models_with_brand(models: DataFrame, brands: DataFrame) -> DataFrame:
 def classify_models(models: DataFrame, brands: DataFrame, name: str = "name") -> DataFrame:
     """Adds ``brand_id``: the first brand, by id, whose pattern is found in the model name; null when none is.
 
-    Distinct names meet the patterns in buckets of ``BRAND_BUCKET``: a name is spread over the buckets, each of which is one
-    array row, so every pattern is tried on every name without a nested-loop join and without gathering the list in one
-    row; the smallest id that was found is joined back. Nothing limits the number of brands.
+    Distinct names meet the patterns by a trigram that every match has to contain, and a pattern is tried only on names that
+    hold its literal. Patterns without such a literal are tried on every name, in buckets of ``BRAND_BUCKET``, each of which
+    is one array row, so there is neither a nested-loop join nor the whole list in one row. Nothing limits the number of
+    brands.
     """
     listed = brands.where(F.coalesce(F.length("model_name_regex"), F.lit(0)) > 0).select(
-        F.pmod(F.xxhash64("id"), F.ceil(brands.agg(F.count("*")).scalar() / BRAND_BUCKET)).alias("_bucket"),
         F.col("id").alias("_id"), F.col("model_name_regex").alias("_rx"))
-    buckets = listed.groupBy("_bucket").agg(F.collect_list(F.struct(F.col("_id"), F.col("_rx"))).alias("_brands"))
-    numbers = buckets.agg(F.collect_list("_bucket").alias("n")).scalar()
+    rare, always = indexed_patterns(listed)
     names = models.select(F.col(name).alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    found = candidates(names, rare).where(regex_search(F.col("_rx"), F.col("_name"))).select("_name", "_id")
+
+    bucket = F.pmod(F.xxhash64("_id"), F.ceil(brands.agg(F.count("*")).scalar() / BRAND_BUCKET))
+    buckets = always.groupBy(bucket.alias("_bucket")).agg(F.collect_list(F.struct("_id", "_rx")).alias("_brands"))
+    numbers = buckets.agg(F.collect_list("_bucket").alias("n")).scalar()
     tried = names.withColumn("_bucket", F.explode(numbers)).join(buckets, "_bucket")
     hits = F.array_min(F.transform(F.filter("_brands", lambda b: regex_search(b["_rx"], F.col("_name"))), lambda b: b["_id"]))
-    first = tried.groupBy("_name").agg(F.min(hits).alias("brand_id"))
+    first = found.unionByName(tried.select("_name", hits.alias("_id"))).groupBy("_name").agg(F.min("_id").alias("brand_id"))
     return models.join(first, models[name] == first["_name"], "left").drop("_name")
 
 

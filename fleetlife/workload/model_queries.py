@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import text, weibull_math
 from ..functions.staging_area import new_folder
-from ..operators import enrich, strata
+from ..operators import dims, enrich, strata
 from ..plans.score import parse_descriptors
 from ..sources import attributes, catalogue, smart_schema, telemetry
 from . import views as v
@@ -288,6 +288,46 @@ def model_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return text.model_mentions(v.table(spark, sf, "pages"), "page_id", "html", list(MENTIONS))
 
 
+# Names in the forms that the seed patterns describe, numbered by the part; some parts keep their own name.
+SEED_NAMES = """CASE p_partkey % 7 WHEN 0 THEN concat('ST', 1000 + p_partkey, 'DM', lpad(CAST(p_size AS STRING), 3, '0'))
+ WHEN 1 THEN concat('WDC WD', 10 + p_partkey % 90, 'EFRX') WHEN 2 THEN concat('HGST HUS72', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0'), 'ALE640')
+ WHEN 3 THEN concat('Hitachi HDS72', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0'), 'ALE640')
+ WHEN 4 THEN concat('TOSHIBA MG04ACA', lpad(CAST(p_partkey % 1000 AS STRING), 3, '0'), 'E')
+ WHEN 5 THEN concat('SAMSUNG HD', lpad(CAST(p_partkey % 1000 AS STRING), 3, '0'), 'UI') ELSE p_name END"""
+SEED_PATTERNS = [rx for _, _, _, rx in dims.SEED_BRANDS if rx]
+NAMED = f"n AS (SELECT p_partkey, {SEED_NAMES.replace('STRING', 'VARCHAR')} AS name FROM part)"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("seed_model_brands", "D4 B7", sql=f"""
+WITH {NAMED}, b(id, brand, rx) AS (VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(rx)})" for i, n, _, rx in dims.SEED_BRANDS)}),
+f AS (SELECT p_partkey, name, min(id) AS id FROM n LEFT JOIN b ON rx <> '' AND regexp_matches(name, rx) GROUP BY ALL)
+SELECT brand, count(*) AS models, min(name) AS first_name, max(name) AS last_name FROM f LEFT JOIN b USING (id) GROUP BY brand""")
+def seed_model_brands(spark: SparkSession, sf: str) -> DataFrame:
+    """Brands of model names by the seed patterns."""
+    models = v.table(spark, sf, "part").select("p_partkey", F.expr(SEED_NAMES).alias("name"))
+    brands = dims.seed_brands(spark)
+    known = dims.classify_models(models, brands).join(
+        brands.select(F.col("id").alias("brand_id"), F.col("name").alias("brand")), "brand_id", "left")
+    return known.groupBy("brand").agg(
+        F.count("*").alias("models"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+
+
+@query("seed_model_mentions", "B22", sql=f"""
+WITH {NAMED}, h AS (SELECT p_partkey, concat('<p>', name, '</p><td>', name, ' and ', reverse(name), '</td>') AS html FROM n),
+m AS (SELECT p_partkey, unnest(regexp_extract_all(regexp_replace(html, '<[^>]*>', chr(10), 'g'), {_quoted("|".join(f"(?:{p})" for p in SEED_PATTERNS))})) AS name FROM h)
+SELECT name, count(*) AS mentions, count(DISTINCT p_partkey) AS pages FROM m GROUP BY name""")
+def seed_model_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Model names in small pages, by the seed patterns."""
+    name = F.expr(SEED_NAMES)
+    html = F.concat(F.lit("<p>"), name, F.lit("</p><td>"), name, F.lit(" and "), F.reverse(name), F.lit("</td>"))
+    pages = v.table(spark, sf, "part").select("p_partkey", html.alias("html"))
+    return text.model_mentions(pages, "p_partkey", "html", SEED_PATTERNS)
+
+
 @query("whitespace_tokens", "B15", sql="""
 SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(regexp_split_to_array(text,
   '[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]')) AS token FROM documents)
