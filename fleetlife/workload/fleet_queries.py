@@ -9,7 +9,7 @@ from ..functions import keys
 from ..functions.staging_area import new_folder, stage
 from ..operators import anomalies, dims, facts, lifespan, strata
 from ..plans import fleet as fleet_jobs
-from ..sources import facts_store, store
+from ..sources import buckets, facts_store, store
 from . import views as v
 from .registry import query
 
@@ -79,6 +79,21 @@ def upserted_lifespans(spark: SparkSession, sf: str) -> DataFrame:
     return store.upsert(known, lifespan.lifespans(rows.where(F.col("day") >= v.CUT)), "drive_id")
 
 
+@query("bucketed_lifespans", "A17 S1", sql=W + v.T1 + """,
+s AS (SELECT drive_id, CASE WHEN day < 10227 THEN 0 WHEN day < 10347 THEN 1 ELSE 2 END AS load, min(day) AS first_day,
+  max(day) AS last_day, max(CASE WHEN failure = 1 THEN day END) AS failure_day FROM t1 GROUP BY ALL)
+SELECT drive_id, first_day, last_day, failure_day FROM s QUALIFY load = max(load) OVER (PARTITION BY drive_id)""")
+def bucketed_lifespans(spark: SparkSession, sf: str) -> DataFrame:
+    """Three loads into a bucketed table; the lifespans of a drive's last load count."""
+    rows, root = v.raw_telemetry(spark, sf), new_folder(spark, "bucketed")
+    buckets.create_buckets(lifespan.lifespans(rows.where(F.col("day") < v.CUT)), root, "drive_id", 16)
+    later = rows.where(F.col("day") >= v.CUT)
+    for part in (F.col("day") < v.CUT + 120, F.col("day") >= v.CUT + 120):
+        buckets.upsert_buckets(spark, root, lifespan.lifespans(later.where(part)))
+    buckets.drop_superseded(spark, root)
+    return buckets.read_buckets(spark, root)
+
+
 @query("last_update_wins", "A17", sql=W + v.T1_RAW + """,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY drive_id ORDER BY day DESC, power_on_hours_raw DESC) AS r FROM
   (SELECT drive_id, day, max(power_on_hours_raw) AS power_on_hours_raw FROM t1_raw GROUP BY drive_id, day))
