@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from fleetlife.functions.staging_area import stage
 from fleetlife.llm import chunk_bpe, graph_search, license_scan
 
 SF = "/root/testdata/sf0.01"
@@ -46,6 +47,22 @@ def test_recall_over_shards_and_query_blocks(spark, monkeypatch):
         assert near == sorted(near) and len(near) == 20 and q not in {i for _, i in near}
 
 
+def test_blocks_of_queries_give_the_same_rows_and_repeated_ids_one_vector(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    df = vectors(spark, rows)
+    asked = vectors(spark, [(i, v) for i, v in rows if i % 20 == 0] + [(0, [9.0] * len(rows[0][1]))])
+    index = stage(graph_search.build_index(graph_search.usable(df), 900), "index")
+    asked = graph_search.usable(asked)
+    one, many = ({(r.query_id, r["rank"]): (r.vec_id, r.score) for r in graph_search.search(index, asked, query_block=n).collect()}
+                 for n in (1000, 30))
+    assert one == many and len(one) == 100 * 20
+    want = exact(rows, 20)
+    hits = [sum(one[q, k][0] in {i for _, i in want[q]} for k in range(1, 21)) / 20 for q in want if q]
+    assert np.mean(hits) >= 0.98 and min(hits) >= 0.8
+    smallest = min([9.0] * len(rows[0][1]), list(dict(rows)[0]))
+    assert one[0, 1][1] == pytest.approx(max(float(np.dot(smallest, np.array(v, float))) for i, v in rows if i))
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(30, 4))
