@@ -152,8 +152,8 @@ def halving_search(
     ``evaluate(point, budget)`` has to be a function of its arguments (a fit on a hashed share of the subjects, or with so
     many rounds). A finished trial is stored at once below ``log``, in the shared folder: a search that was stopped goes on
     behind its last record and ends with the same log. Several searches may work on one log: with ``shared`` each looks there
-    before every trial, and starts its rounds at its own ``offset``. ``parallel`` trials of a rung run side by side. Points hold numbers, strings
-    and booleans. A null or NaN value ranks last; where no trial ends with a number there is an error.
+    before every trial, and starts its rounds at its own ``offset``. ``parallel`` trials of a rung run side by side. Points
+    hold numbers, strings and booleans. A null or NaN value ranks last; where no trial ends with a number there is an error.
     """
     plan = rungs(trials, eta, least, greatest)
 
@@ -176,7 +176,8 @@ def halving_search(
                 alive = survivors([before[wave, rung - 1, k] for k in alive], count)
             turn = offset % len(alive)
             with ThreadPoolExecutor(max(1, parallel)) as pool:
-                for done in [pool.submit(run, before.get((wave, rung, k)), wave, rung, k, points[k], budget) for k in alive[turn:] + alive[:turn]]:
+                for done in [pool.submit(run, before.get((wave, rung, k)), wave, rung, k, points[k], budget)
+                             for k in alive[turn:] + alive[:turn]]:
                     done.result()
     ends = [r for r in read_log(spark, log).values() if r.rung == len(plan) - 1 and worth(r.value) > -math.inf]
     if not ends:
