@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -55,10 +56,12 @@ def _read(spark: SparkSession, root: str, snapshot: Snapshot, folders: list[str]
     return spark.read.schema(snapshot.schema).parquet(*[f"{root}/{f}" for f in folders])
 
 
-def read_buckets(spark: SparkSession, root: str) -> DataFrame:
-    """The newest generation. A frame keeps reading its own generation while newer ones are written."""
+def read_buckets(spark: SparkSession, root: str, only: Iterable[int] | None = None) -> DataFrame:
+    """The newest generation, or the buckets ``only`` of it. A frame keeps reading its own generation while newer ones are
+    written."""
     now = latest(spark, root)
-    return _read(spark, root, now, list(now.folders.values()))
+    wanted = now.folders if only is None else set(only) & set(now.folders)
+    return _read(spark, root, now, [now.folders[b] for b in sorted(wanted)])
 
 
 def touched_buckets(rows: DataFrame, snapshot: Snapshot) -> list[int]:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import durations
+from ..functions.staging_area import new_folder
 from ..operators import lifespan, sampling, strata
-from ..plans import cox, evaluate, explain, km, weibull
+from ..plans import cox, evaluate, explain, km, live_axis, weibull
 from . import fleet_queries as fleet
 from . import views as v
 from .registry import query
@@ -101,6 +102,25 @@ def vendor_survival(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(km.survival_curve(subjects.join(vendor, "drive_id"), ["vendor_name"]))
 
 
+@query("live_survival", "F1 F2 F3 E2", sql=curve_sql(v.LIFESPANS + ", " + v.DIMS + """,
+placed AS (SELECT brand_id, CAST(coalesce(failure_day, last_day) - first_day AS DOUBLE) AS duration_worked,
+  failure_day IS NOT NULL AS failed FROM lifespans l JOIN drives d ON d.id = l.drive_id JOIN models m ON m.id = d.model_id)""",
+  "placed", ["brand_id"]))
+def live_survival(spark: SparkSession, sf: str) -> DataFrame:
+    """Curves per brand after three loads, each of which changes the stored axis by what its drives gained."""
+    place = v.drives(spark, sf).select(F.col("id").alias("drive_id"), "model_id").join(
+        v.models(spark, sf).select(F.col("id").alias("model_id"), "brand_id"), "model_id").drop("model_id")
+    rows, root, strata_ = v.raw_telemetry(spark, sf), new_folder(spark, "live"), ["brand_id"]
+    day = F.col("day")
+    for i, part in enumerate((day < v.CUT, (day >= v.CUT) & (day < v.CUT + 120), day >= v.CUT + 120)):
+        fresh = lifespan.lifespans(rows.where(part)).join(place, "drive_id")
+        if i == 0:
+            live_axis.create_live_axis(spark, root, fresh.schema, "drive_id", strata_, 16)
+        live_axis.load_lifespans(spark, root, fresh, strata_)
+    live_axis.drop_superseded(spark, root)
+    return rounded(live_axis.live_curve(spark, root, strata_))
+
+
 @query("nested_survival", "F4", sql=curve_sql(v.SV + """,
 twofold AS (SELECT 'secondary' AS level, p_type, l_linestatus, duration_worked, failed FROM sv
   UNION ALL SELECT 'primary', p_type, NULL, duration_worked, failed FROM sv)""", "twofold", ["level", "p_type", "l_linestatus"]))
