@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .layout_index import read_heads
 from .smart_schema import staging_schema
 
 
@@ -16,19 +17,19 @@ def is_data_file(path: Column) -> Column:
     return F.lower(path).endswith(".csv") & ~F.upper(path).contains("MACOSX")
 
 
-def read_daily_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
+def read_daily_csv(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, index: str | None = None,
+) -> DataFrame:
     """All data files below ``path`` in a given schema, whatever columns each file has and in whatever order.
 
-    The header lines are read first (one line per file reaches the driver once per distinct layout); files of the same
-    layout are then read in one pass by their own column names. Columns a file lacks are null, columns the schema lacks
-    are left out. No inference; large files are split.
+    The header lines are read first, by their first bytes only (``layout_index``; ``index`` is a folder that keeps them for
+    the next load; one line reaches the driver per distinct layout). Files of the same layout are then read in one pass by
+    their own column names. Columns a file lacks are null, columns the schema lacks are left out. No inference; large files
+    are split.
     """
     schema = schema or staging_schema()
     paths = [path] if isinstance(path, str) else list(path)
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    # The first line of a file is the first row of its first block, and rows of a block come in order.
-    heads = lines.where(is_data_file(F.col("file")) & (F.col("block") == 0)).groupBy("file").agg(F.first("value").alias("head"))
+    heads = read_heads(spark, paths, is_data_file(F.col("file")), index).where(F.col("head") != "")
     layouts = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()
     out = spark.createDataFrame([], schema)
     for layout in sorted(layouts, key=lambda r: r.head):
