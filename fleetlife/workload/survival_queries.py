@@ -140,6 +140,55 @@ def brand_view(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(km.named_view(fleet.survival_subjects(spark, sf).join(place, "drive_id"), "brand"))
 
 
+ATTRIBUTED = v.SV + """, attributed AS (SELECT substr(p_name, 1, strpos(p_name, ' ') - 1) AS vendor_id, p_brand AS brand_id, p_type AS series,
+  substr(p_name, strpos(p_name, ' ') + 1) AS family, p_size AS capacity, l_linestatus AS model_id, duration_worked, failed FROM sv
+  WHERE p_partkey IS NOT NULL)"""
+
+
+def attributed_subjects(spark: SparkSession, sf: str) -> DataFrame:
+    """Subjects with the attributes that the named views go by."""
+    name = F.split("p_name", " ", 2)
+    p = v.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("l_partkey"), name[0].alias("vendor_id"), F.col("p_brand").alias("brand_id"),
+        F.col("p_type").alias("series"), name[1].alias("family"), F.col("p_size").alias("capacity"))
+    return v.subjects(spark, sf).withColumnRenamed("l_linestatus", "model_id").join(p, "l_partkey")
+
+
+@query("vendor_view", "F4", sql=curve_sql(ATTRIBUTED, "attributed", ["vendor_id"]))
+def vendor_view(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(km.named_view(attributed_subjects(spark, sf), "vendor"))
+
+
+@query("series_view", "F4", sql=curve_sql(ATTRIBUTED + """,
+twofold AS (SELECT 'secondary' AS level, brand_id, series, duration_worked, failed FROM attributed
+  UNION ALL SELECT 'primary', brand_id, NULL, duration_worked, failed FROM attributed)""", "twofold", ["level", "brand_id", "series"]))
+def series_view(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(km.named_view(attributed_subjects(spark, sf), "series"))
+
+
+@query("family_view", "F4", sql=curve_sql(ATTRIBUTED + """,
+inner_curves AS (SELECT 'secondary' AS level, * FROM attributed)""", "inner_curves", ["level", "brand_id", "family"]))
+def family_view(spark: SparkSession, sf: str) -> DataFrame:
+    """A curve per family inside each brand, without one per brand."""
+    return rounded(km.named_view(attributed_subjects(spark, sf), "family"))
+
+
+@query("capacity_view", "F4 F5", sql=curve_sql(ATTRIBUTED + """,
+moments AS (SELECT count(*)::DOUBLE AS n, min(capacity)::DOUBLE AS low, max(capacity)::DOUBLE AS high, avg(capacity) AS mu FROM attributed),
+shape AS (SELECT any_value(n) AS n, any_value(low) AS low, any_value(high) AS high,
+  avg((capacity - mu) ** 3) / avg((capacity - mu) ** 2) ** 1.5 AS g1 FROM attributed, moments),
+rule AS (SELECT low, high, CAST(ceil(1 + log2(n) + log2(1 + abs(g1) / sqrt(6 * (n - 2) / ((n + 1) * (n + 3))))) AS INTEGER) AS k FROM shape),
+lefts AS (SELECT *, low + least(k - 1, CAST(floor((capacity - low) / (high - low) * k) AS INTEGER)) * (high - low) / k AS bin_left FROM attributed, rule),
+edges AS (SELECT bin_left, coalesce(lead(bin_left) OVER (ORDER BY bin_left), high) AS bin_right FROM (SELECT DISTINCT bin_left, high FROM lefts)),
+binned AS (SELECT round(bin_left, 6) AS bin_left, round(bin_right, 6) AS bin_right, model_id, duration_worked, failed FROM lefts JOIN edges USING (bin_left)),
+twofold AS (SELECT 'secondary' AS level, * FROM binned UNION ALL SELECT 'primary', bin_left, bin_right, NULL, duration_worked, failed FROM binned)""",
+  "twofold", ["level", "bin_left", "bin_right", "model_id"]))
+def capacity_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Bins of the capacity, each with a curve of its own and one per model."""
+    curve = km.named_view(attributed_subjects(spark, sf), "capacity")
+    return rounded(curve.withColumns({c: F.round(c, 6) for c in ("bin_left", "bin_right")}).drop("label"))
+
+
 BINNED = v.SV + """,
 moments AS (SELECT count(*)::DOUBLE AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high, avg(l_extendedprice) AS mu FROM sv),
 shape AS (SELECT any_value(n) AS n, any_value(low) AS low, any_value(high) AS high,
