@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import axis_bounds, backwards, running_sum
+from ..functions.staging_area import stage
 
 
 def survival_axis(
@@ -76,6 +77,27 @@ def survival_curve(
     return curve_from_axis(survival_axis(subjects, strata, duration, event, weight), strata, confidence, block_width)
 
 
+def curve_and_left_out(
+    subjects: DataFrame, strata: Sequence[str] = (), duration: str = "duration_worked", event: str = "failed",
+    weight: str | None = None, confidence: float = 0.95, block_width: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``survival_curve`` and ``without_duration`` out of one pass over the subjects.
+
+    Subjects without a duration are a point of their own on the stored axis, which both results are read from. (Metrics that
+    are observed on the side would count the rows of a repeated task twice.)
+    """
+    w = F.lit(1) if weight is None else F.col(weight)
+    known = F.col(duration).cast("double")
+    failing = F.when(F.col(event).cast("boolean"), w).otherwise(F.lit(0))
+    axis = stage(subjects.groupBy(*strata, F.when(~F.isnan(known), known).alias("duration")).agg(
+        F.sum(w).alias("n"), F.sum(failing).alias("d"), F.count("*").alias("subjects")), "axis")
+    lost = F.coalesce(F.sum(F.when(F.col("duration").isNull(), F.col("subjects"))), F.lit(0))
+    left_out = axis.groupBy(*strata).agg(lost.alias("left_out"), F.sum("subjects").alias("subjects"))
+    points = axis.where(F.col("duration").isNotNull()).drop("subjects")
+    block_width = axis_bounds(points, "duration") if block_width is None else block_width
+    return curve_from_axis(points, strata, confidence, block_width), left_out
+
+
 def nested_curves(
     subjects: DataFrame, primary: str, secondary: str, duration: str = "duration_worked", event: str = "failed",
     overall: bool = True, confidence: float = 0.95, block_width: float | None = None,

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import durations, schema_tools
+from ..functions import durations, schema_tools, stage_store
 from ..functions.staging_area import new_folder, stage
 from ..operators import enrich, lifespan, sampling
 from ..plans import cox, evaluate, explain, impute, roles, score, search, trees, weibull
@@ -579,6 +579,24 @@ def staged_lifespans(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("drives"), F.sum(F.col("last_day") - F.col("first_day")).alias("days"))
 
 
+@query("reused_stage", "A21", sql=W + v.LIFESPANS + """
+SELECT failure_day IS NOT NULL AS failed, count(*) AS drives, CAST(sum(last_day - first_day) AS BIGINT) AS days, CAST(2 AS INTEGER) AS computed
+FROM lifespans GROUP BY 1""")
+def reused_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """Lifespans asked for three times: the same files and parameters are computed once, other parameters once more."""
+    root, runs = new_folder(spark, "store"), []
+
+    def make() -> DataFrame:
+        runs.append(1)
+        return fleet.lifespans(spark, sf)
+
+    for version in (1, 1, 2):
+        spans = stage_store.stored_stage(spark, root, "lifespans", {"orders": f"{sf}/orders.parquet"}, make, {"version": version})
+    stage_store.drop_stages(spark, root, "lifespans")
+    return spans.groupBy(F.col("failure_day").isNotNull().alias("failed")).agg(
+        F.count("*").alias("drives"), F.sum(F.col("last_day") - F.col("first_day")).alias("days")).withColumn("computed", F.lit(len(runs)))
+
+
 def _fitted_sql(steps: int) -> str:
     """Unrolled Newton steps for one feature, then baseline and areas."""
     text = W + v.SV + """,

@@ -68,6 +68,16 @@ def subjects_left_out(spark: SparkSession, sf: str) -> DataFrame:
     return km.without_duration(subjects_with_gaps(spark, sf), ["l_linestatus"])
 
 
+@query("curve_with_left_out", "F1 F2 F3", sql=curve_sql(GAPS, "(SELECT * FROM gaps WHERE duration_worked IS NOT NULL)", ["l_linestatus"]).replace(
+    "SELECT l_linestatus, duration, CAST(r AS BIGINT)", "SELECT l_linestatus, left_out, subjects, duration, CAST(r AS BIGINT)", 1)
+    + """ JOIN (SELECT l_linestatus, count(*) FILTER (duration_worked IS NULL) AS left_out, count(*) AS subjects
+  FROM gaps GROUP BY l_linestatus) USING (l_linestatus)""")
+def curve_with_left_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Curves beside the subjects that they leave out, both from one pass."""
+    curve, left_out = km.curve_and_left_out(subjects_with_gaps(spark, sf), ["l_linestatus"])
+    return rounded(curve).join(left_out, "l_linestatus")
+
+
 FRACTIONAL = v.SV + """, fractional AS (SELECT l_linestatus, duration_worked + (l_orderkey * 4 + l_linenumber) % 1000 / 1000.0e0 AS duration_worked, failed FROM sv)"""
 
 

@@ -298,3 +298,13 @@ def test_weibull_from_attributes(spark):
     for r in out:
         assert r.predicted_shape == pytest.approx(r.weibull_shape, rel=0.1)
         assert r.predicted_survival == pytest.approx(r.predicted_scale * math.gamma(1 + 1 / r.predicted_shape))
+
+
+@pytest.mark.parametrize("strata", [[], ["g"]])
+def test_curve_and_left_out_in_one_pass(spark, strata):
+    rows = [("a", 1.0, True), ("a", 2.5, False), ("a", None, True), ("a", float("nan"), False), (None, 3.0, None), (None, 3.0, True), ("b", None, True)]
+    df = spark.createDataFrame(rows, "g string, duration_worked double, failed boolean")
+    curve, left_out = km.curve_and_left_out(df, strata)
+    assert sorted(map(str, curve.collect())) == sorted(map(str, km.survival_curve(df, strata).collect()))
+    assert sorted(map(str, left_out.collect())) == sorted(map(str, km.without_duration(df, strata).collect()))
+    assert len({f.rsplit("/", 2)[1] for f in [*curve.inputFiles(), *left_out.inputFiles()]}) == 1  # the stored axis
