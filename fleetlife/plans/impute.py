@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,8 +11,9 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .evaluate import fold_of
 
@@ -26,7 +27,9 @@ class Imputers:
     pipelines: dict[str, PipelineModel] = field(default_factory=dict)
 
     def apply(self, models: DataFrame) -> DataFrame:
-        """Every target's nulls replaced; features are the original values, as in training."""
+        """Every target's gaps (null or NaN) replaced; features are the original values, as in training. Columns that nothing
+        was learned for keep their gaps (``leftovers`` counts them)."""
+        models = with_gaps_null(models, self.roles)
         out = _feature_columns(models, self.roles, self.fills)
         for target, pipeline in self.pipelines.items():
             out = pipeline.transform(out).drop(f"_vector_{target}", f"_raw_{target}", f"_prob_{target}", f"_index_{target}")
@@ -48,6 +51,30 @@ class Imputers:
         return Imputers(info["roles"], info["fills"], {t: PipelineModel.load(f"{path}/{t}") for t in info["targets"]})
 
 
+def with_gaps_null(models: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """NaN is a gap like null."""
+    gaps = {f.name: F.when(~F.isnan(F.col(f.name)), F.col(f.name)) for f in models.schema
+            if f.name in set(columns) and isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return models.withColumns(gaps) if gaps else models
+
+
+def leftovers(models: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(attribute, known, left): how many models still lack each attribute after imputation, in one pass."""
+    models = with_gaps_null(models, columns)
+    counts = models.agg(F.count("*").alias("_all"), *[F.count(F.col(c)).alias(c) for c in columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).alias("known"), (F.col("_all") - F.col(c)).alias("left"))
+                     for c in columns])
+    return counts.select(F.inline(rows))
+
+
+def known_attributes(models: DataFrame, columns: Sequence[str]) -> Column:
+    """A model's attributes as JSON text; what it still lacks is left out of its record."""
+    kinds = models.schema
+    values = [F.when(~F.isnan(F.col(c)), F.col(c)).alias(c) if isinstance(kinds[c].dataType, (T.DoubleType, T.FloatType)) else F.col(c)
+              for c in columns]
+    return F.to_json(F.struct(*values))
+
+
 def _feature_columns(models: DataFrame, roles: Mapping[str, str], fills: Mapping[str, float]) -> DataFrame:
     new = {}
     for c in models.columns:
@@ -64,14 +91,17 @@ def train_imputers(
     models: DataFrame, roles: Mapping[str, str], targets: Sequence[str], max_iter: int = 10, max_depth: int = 5,
     trees: int = 20, seed: int = 0,
 ) -> Imputers:
-    """Per target: numbers by boosted trees, flags and categories by a forest, trained where the target is known."""
+    """Per target: numbers by boosted trees, flags and categories by a forest, trained where the target is known. A target
+    that no model knows is left out."""
+    models = with_gaps_null(models, roles)
     numbers = [c for c in models.columns if roles.get(c) in ("numerical", "binary")]
     categories = [c for c in models.columns if roles.get(c) == "categorical"]
     row = models.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in numbers]).first() if numbers else {}
     fills = {c: float(row[c]) if row[c] is not None else 0.0 for c in numbers}
     featured = _feature_columns(models, roles, fills)
     imputers = Imputers(roles, fills)
-    for target in targets:
+    learnable = models.agg(F.lit(0), *[F.count(F.col(t)).alias(t) for t in targets]).first()
+    for target in [t for t in targets if learnable[t] > 0]:
         known = featured.where(F.col(target).isNotNull())
         cats = [c for c in categories if c != target]
         stages = [StringIndexer(inputCol=f"_c_{c}", outputCol=f"_i_{target}_{c}", handleInvalid="keep") for c in cats]
@@ -102,12 +132,13 @@ def score_imputers(
     models: DataFrame, roles: Mapping[str, str], targets: Sequence[str], key: Sequence[str], folds: int = 4,
     seed: int = 0, **options,
 ) -> dict[str, float]:
-    """Hold-out quality: R squared for numbers, accuracy for flags and categories."""
+    """Hold-out quality: R squared for numbers, accuracy for flags and categories, of the targets that can be learned."""
+    models = with_gaps_null(models, roles)
     fold = fold_of(key, folds, seed)
     train, held_out = models.where(fold != 0), models.where(fold == 0)
     imputers = train_imputers(train, roles, targets, seed=seed, **options)
     scores = {}
-    for target in targets:
+    for target in imputers.pipelines:
         truth = held_out.where(F.col(target).isNotNull()).withColumn("_truth", F.col(target))
         featured = _feature_columns(truth, roles, imputers.fills)
         out = imputers.pipelines[target].transform(featured)

@@ -393,6 +393,24 @@ def imputation_keeps_known_values(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("p_retailprice").isNotNull() & F.col("price_group").isin("large", "small")).alias("complete"))
 
 
+@query("imputation_recovers", "F18 F19", sql="""
+SELECT p_partkey, length(p_type) * 1.5e0 AS tier, CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 'cheap' ELSE 'dear' END AS kind,
+  'kind,tier' AS attributes, (SELECT count(*) FROM part) AS never_known FROM part""")
+def imputation_recovers(spark: SparkSession, sf: str) -> DataFrame:
+    """Attributes that follow from the type come back exactly; one that no model knows is left out of the records."""
+    kind = F.when(F.col("p_type").isin("PROMO", "ECONOMY"), "cheap").otherwise("dear")
+    rows = v.table(spark, sf, "part").select(
+        "p_partkey", "p_type", "p_size", F.when(F.col("p_partkey") % 7 != 0, F.length("p_type") * F.lit(1.5)).otherwise(F.lit(float("nan"))).alias("tier"),
+        F.when(F.col("p_partkey") % 5 != 0, kind).alias("kind"), F.lit(None).cast("double").alias("never"))
+    columns = ["tier", "kind", "never"]
+    spec = {"p_type": "categorical", "p_size": "numerical", "tier": "numerical", "kind": "categorical", "never": "numerical"}
+    full = impute.train_imputers(rows, spec, columns).apply(rows)
+    left = impute.leftovers(full, columns).where("attribute = 'never'").select("left").scalar()
+    record = F.json_object_keys(impute.known_attributes(full, columns))
+    return full.select("p_partkey", F.round("tier", 6).alias("tier"), "kind", F.array_join(F.array_sort(record), ",").alias("attributes"),
+                       left.alias("never_known"))
+
+
 @query("imputer_scores", "F20")
 def imputer_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = incomplete_models(spark, sf)

@@ -96,3 +96,20 @@ def test_daily_failures_drop_rows_behind_the_watermark(spark, tmp_path):
     first = (datetime.date(2024, 1, 1) - datetime.date(1970, 1, 1)).days
     got = sorted((r.day - first + 1, r.failures, r.records) for r in spark.read.parquet(table).collect())
     assert got == [(1, 1, 2), (2, 1, 1), (5, 1, 1)]
+
+
+def test_gaps_that_stay_are_counted_and_left_out(spark):
+    nan = float("nan")
+    rows = [(i, float(i % 4) if i % 3 else nan, "x" if i % 2 else None, None, i % 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, b string, c double, d int")
+    spec = {"a": "numerical", "b": "categorical", "c": "numerical", "d": "numerical"}
+    imputers = impute.train_imputers(df, spec, ["a", "b", "c"], max_iter=3, trees=3)
+    assert set(imputers.pipelines) == {"a", "b"}
+    out = imputers.apply(df)
+    assert [(r.attribute, r.known, r.left) for r in impute.leftovers(df, ["a", "b", "c"]).collect()] == [("a", 40, 20), ("b", 30, 30), ("c", 0, 60)]
+    assert [(r.attribute, r.left) for r in impute.leftovers(out, ["a", "b", "c"]).collect()] == [("a", 0), ("b", 0), ("c", 60)]
+    assert all(r.a == pytest.approx(r.d) for r in out.collect())  # a follows from d
+    first = df.orderBy("id").select(impute.known_attributes(df, ["a", "b", "c"]).alias("j")).head(2)
+    assert [r.j for r in first] == ["{}", '{"a":1.0,"b":"x"}']
+    empty = impute.train_imputers(df.where("id < 0"), spec, ["a", "b", "c"])
+    assert empty.pipelines == {} and empty.apply(df).count() == 60
