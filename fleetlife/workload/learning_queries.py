@@ -375,7 +375,7 @@ def incomplete_models(spark: SparkSession, sf: str) -> DataFrame:
 @query("imputed_attributes", "F18 F19")
 def imputed_attributes(spark: SparkSession, sf: str) -> DataFrame:
     rows = incomplete_models(spark, sf)
-    imputers = impute.train_imputers(rows, M_ROLES, ["p_retailprice", "price_group"], max_iter=5, max_depth=4, trees=5)
+    imputers = impute.train_imputers(rows, M_ROLES, ["p_retailprice", "price_group"])
     return imputers.apply(rows)
 
 
@@ -386,7 +386,7 @@ def imputation_keeps_known_values(spark: SparkSession, sf: str) -> DataFrame:
     """Imputers written and read again leave known values as they are, and no gap."""
     rows = incomplete_models(spark, sf)
     path = new_folder(spark, "imputers")
-    impute.train_imputers(rows, M_ROLES, ["p_retailprice", "price_group"], max_iter=5, max_depth=4, trees=5).save(spark, path)
+    impute.train_imputers(rows, M_ROLES, ["p_retailprice", "price_group"]).save(spark, path)
     known = F.col("p_partkey") % 7 != 0
     return impute.Imputers.load(spark, path).apply(rows).select(
         "p_partkey", F.when(known, F.col("p_retailprice")).alias("known_price"), F.when(known, F.col("price_group")).alias("known_group"),
@@ -415,7 +415,7 @@ def imputation_recovers(spark: SparkSession, sf: str) -> DataFrame:
 def imputer_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = incomplete_models(spark, sf)
     scores = impute.score_imputers(
-        rows, M_ROLES, ["p_retailprice", "price_group"], ["p_partkey"], max_iter=5, max_depth=4, trees=5)
+        rows, M_ROLES, ["p_retailprice", "price_group"], ["p_partkey"])
     return impute.load_scores(spark, scores)
 
 
