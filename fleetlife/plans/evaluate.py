@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import axis_bounds, running_sum
-from ..functions.staging_area import stage
+from ..functions.staging_area import forget, stage
 from .cox import fit_cox_folds
 
 WIDE = "decimal(38,0)"
@@ -22,10 +22,10 @@ BLOCK_ROWS = 20_000  # distinct (time, score) pairs of a score block
 
 def concordance_counts(
     scored: DataFrame, duration: str = "duration_worked", event: str = "failed", score: str = "score", blocks: int | None = None,
-    block_width: float | None = None, by: Sequence[str] = (),
+    block_width: float | None = None, by: Sequence[str] = (), weight: str | None = None,
 ) -> DataFrame:
     """One row: concordant, discordant, tied and comparable pairs (Harrell); a high score means a long life. With ``by`` one
-    row for each of its values, pairs being formed inside them.
+    row for each of its values, pairs being formed inside them. With ``weight`` a row stands for that many equal subjects.
 
     A pair is comparable when the earlier time is a failure, or both times are equal and only one of them is a
     failure. No pair is ever formed: two different time ranks differ first, from the top, in exactly one bit, so for
@@ -34,8 +34,9 @@ def concordance_counts(
     only balance the work) and the blocks' own totals are added, so no bit, rank or score has to fit in one task.
     Times are ranked in blocks too where they are not whole days (of ``block_width``, or of quantiles).
     """
+    w = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     compact = scored.groupBy(*by, F.col(duration).alias("t"), F.col(score).cast("double").alias("s")).agg(
-        F.count("*").alias("n"), F.sum(F.col(event).cast("bigint")).alias("d"))
+        F.sum(w).alias("n"), F.sum(F.col(event).cast("bigint") * w).alias("d"))
     compact = stage(compact, "scored")  # read four times below, and scoring may be expensive
     if blocks is None:
         blocks = max(1, -(-compact.count() // BLOCK_ROWS))
@@ -83,10 +84,10 @@ def concordance_counts(
 
 def concordance(
     scored: DataFrame, duration: str = "duration_worked", event: str = "failed", score: str = "score", blocks: int | None = None,
-    block_width: float | None = None, by: Sequence[str] = (),
+    block_width: float | None = None, by: Sequence[str] = (), weight: str | None = None,
 ) -> DataFrame:
     """Harrell's index: concordant pairs plus half of the tied ones over comparable ones."""
-    c = concordance_counts(scored, duration, event, score, blocks, block_width, by)
+    c = concordance_counts(scored, duration, event, score, blocks, block_width, by, weight)
     index = (F.col("concordant").cast("double") + F.col("tied").cast("double") / 2) / F.nullif(
         F.col("comparable").cast("double"), F.lit(0.0))
     return c.withColumn("concordance", index)
@@ -100,19 +101,31 @@ def fold_of(key: Sequence[str], folds: int, seed: int = 0) -> Column:
 # Fits on the first frame and returns the second one with a ``score`` column (high = long life).
 FitAndScore = Callable[[DataFrame, DataFrame], DataFrame]
 
+COUNT = "_equal_subjects"  # how many subjects a row of ``cross_validate`` with ``features`` stands for
+
 
 def cross_validate(
     subjects: DataFrame, key: Sequence[str], fit_and_score: FitAndScore, folds: int = 2, seed: int = 0,
-    duration: str = "duration_worked", event: str = "failed",
+    duration: str = "duration_worked", event: str = "failed", features: Sequence[str] | None = None,
 ) -> dict[str, Any]:
-    """Concordance on each held-out fold, their mean and standard deviation."""
+    """Concordance on each held-out fold, their mean and standard deviation.
+
+    With ``features``, all that the fit reads beside duration and event, equal subjects of a fold become one stored row with
+    their number in ``COUNT``, which the fit has to use as a weight: the subjects are read once, and what the folds read has
+    no more rows than there are values of features, duration and event.
+    """
     numbered = subjects.withColumn("_fold", fold_of(key, folds, seed))
+    if features is not None:
+        numbered = stage(numbered.groupBy("_fold", *features, duration, event).agg(F.count("*").alias(COUNT)), "folds")
+    weight = None if features is None else COUNT
     values = []
     for k in range(folds):
         train = numbered.where(F.col("_fold") != k).drop("_fold")
         held_out = numbered.where(F.col("_fold") == k).drop("_fold")
-        row = concordance(fit_and_score(train, held_out), duration, event).select("concordance").first()
+        row = concordance(fit_and_score(train, held_out), duration, event, weight=weight).select("concordance").first()
         values.append(row["concordance"])
+    if features is not None:
+        forget(numbered)
     known = [v for v in values if v is not None]
     if not known:
         raise ValueError("no comparable pairs in any fold")

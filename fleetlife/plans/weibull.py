@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import AFTSurvivalRegression
@@ -29,7 +28,7 @@ SETTLED = 1e-6  # convergence is quadratic: after such a step the error is its s
 
 def fit_weibull_groups(
     subjects: DataFrame, groups: Sequence[str], duration: str = "duration_worked", event: str = "failed",
-    steps: int = NEWTON_STEPS,
+    steps: int = NEWTON_STEPS, weight: str | None = None,
 ) -> DataFrame:
     """Maximum-likelihood ``weibull_shape`` and ``weibull_scale`` per group, with ``rejected`` naming why not.
 
@@ -37,13 +36,14 @@ def fit_weibull_groups(
     per group and one aggregation that combines on the map side: no group is ever gathered in a task, so a group with
     a third of all subjects, or with durations that are not whole days, costs no more than any other. Steps are Newton
     steps on the log shape, replaced by bisection when they would leave the bracket, and end when all groups stand
-    still. The result is stored, and superseded steps are deleted. A null group key is a group of its own.
+    still. The result is stored, and superseded steps are deleted. A null group key is a group of its own. With
+    ``weight`` a row stands for that many equal subjects.
     """
     keys = ["_group"]  # one struct: its nulls compare as equal
-    subjects = subjects.select(F.struct(*groups).alias("_group"), duration, event).where(F.col(duration).isNotNull())
-    compact = subjects.groupBy(*keys, fix_zero(F.col(duration)).alias("_t")).agg(
-        F.count("*").cast("double").alias("_n"), F.sum(F.col(event).cast("double")).alias("_d")).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    subjects = subjects.select(F.struct(*groups).alias("_group"), duration, event, w.alias("_w")).where(F.col(duration).isNotNull())
+    compact = stage(subjects.groupBy(*keys, fix_zero(F.col(duration)).alias("_t")).agg(
+        F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col(event).cast("double")).alias("_d")), "weibull-axis")
     log_t = F.ln("_t")
     start = compact.groupBy(*keys).agg(
         F.sum("_n").alias("_subjects"), F.sum("_d").alias("_events"), F.max(log_t).alias("_top"),
@@ -99,7 +99,7 @@ def fit_weibull_groups(
     out = sizes.join(fitted, keys, "left").withColumn("rejected", reason)
     out = cut_lineage(out.select("_group.*", WEIGHT, "rejected", *[
         F.when(F.col("rejected").isNull(), F.col(c)).alias(c) for c in ("weibull_shape", "weibull_scale")]))
-    compact.unpersist()
+    forget(compact)
     if stored:
         forget(state)
     return out

@@ -235,11 +235,11 @@ def cross_validated_weibull(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.subjects_with_brand(spark, sf).withColumn("size", F.col("p_size").cast("double"))
 
     def fit(train: DataFrame, held_out: DataFrame) -> DataFrame:
-        fits = weibull.accepted_fits(weibull.fit_weibull_groups(train, ["size"]))
+        fits = weibull.accepted_fits(weibull.fit_weibull_groups(train, ["size"], weight=evaluate.COUNT))
         model = weibull.fit_weibull_from_attributes(fits, ["size"])
         return model.predict(held_out).withColumn("score", F.col("predicted_survival"))
 
-    out = evaluate.cross_validate(rows, ["l_orderkey", "l_linenumber"], fit, folds=2)
+    out = evaluate.cross_validate(rows, ["l_orderkey", "l_linenumber"], fit, folds=2, features=["size"])
     return spark.createDataFrame([(k, x) for k, x in enumerate(out["folds"])], "fold int, concordance double")
 
 
