@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import axis_bounds, axis_sketch, backwards, bounds_from, running_sum
 from ..functions.staging_area import forget, stage
-from .trees import BINS, Tree, bin_edges, binned, grow, total
+from .trees import BINS, Tree, bin_edges_of, bin_of, binned, grow_by_fit, total
 
 
 def compact_subjects(
@@ -51,9 +51,9 @@ def incomplete_subjects(
         F.count_if(_incomplete([*features, duration, event])).alias("left_out"), F.count("*").alias("subjects"))
 
 
-def _at_risk(axis: DataFrame, sums: Mapping[str, str], block_width: float | None) -> DataFrame:
-    """Totals over subjects that live at least as long, along the compacted duration axis."""
-    return running_sum(axis.withColumn("_neg", -F.col("t")), [], "_neg", dict(sums), backwards(block_width)).drop("_neg")
+def _at_risk(axis: DataFrame, sums: Mapping[str, str], block_width: float | None, keys: Sequence[str] = ()) -> DataFrame:
+    """Totals over subjects that live at least as long, along the compacted duration axis (of each of ``keys``)."""
+    return running_sum(axis.withColumn("_neg", -F.col("t")), keys, "_neg", dict(sums), backwards(block_width)).drop("_neg")
 
 
 @dataclass
@@ -298,51 +298,98 @@ def fit_boosted_cox(
     """Second-order boosting of the Breslow partial likelihood.
 
     Features are cut into bins once, and equal subjects become one row. A round takes two totals along the duration axis,
-    joins them back to the rows (the axis has one row per distinct duration; Catalyst broadcasts it when it is below the
-    size threshold), and grows one tree from histograms of first and second derivatives, one aggregation per level.
+    joins them back to the rows (the axis has one row per distinct duration; it is broadcast where durations are whole days,
+    else Catalyst decides by size), and grows one tree from histograms of first and second derivatives, one aggregation per level.
     Subjects without duration or event are left out; null features are a bin of their own. The predictor is an expression of
     the trees over the stored bins, and is stored itself every ``checkpoint_every`` rounds, so plans stay short.
     """
-    features = list(features)
+    return _boosted_fits(subjects, features, None, [None], duration, event, weight, rounds, max_depth, rate, checkpoint_every,
+                         min_node_weight, block_width, merge, ridge, bins)[0]
+
+
+def fit_boosted_cox_folds(
+    subjects: DataFrame, features: Sequence[str], fold: Column, folds: int, duration: str = "duration_worked",
+    event: str = "failed", weight: str | None = None, rounds: int = 10, max_depth: int = 3, rate: float = 0.3,
+    checkpoint_every: int = 3, min_node_weight: float = 0.0, block_width: float | None = None, merge: bool = True,
+    ridge: float = 0.0, bins: int = BINS,
+) -> list[BoostedCoxModel]:
+    """The fits of a cross-validation, side by side: model k is fitted on all folds but k, with bins of its own.
+
+    A subject is stored once for each fit that it trains, under that fit's number. Rounds and levels are those of one fit:
+    a round takes one axis, one join and one aggregation per level for all folds. Subjects without a fold train none.
+    """
+    return _boosted_fits(subjects, features, fold, list(range(folds)), duration, event, weight, rounds, max_depth, rate,
+                         checkpoint_every, min_node_weight, block_width, merge, ridge, bins)
+
+
+def log_hazard_of_fold(models: Sequence[BoostedCoxModel], fold: Column) -> Column:
+    """The predictor of the model that has not seen the row's fold."""
+    return reduce(lambda rest, k: F.when(fold == k, models[k].log_hazard()).otherwise(rest), range(len(models)), F.lit(None).cast("double"))
+
+
+def _boosted_fits(
+    subjects: DataFrame, features: Sequence[str], fold: Column | None, without: Sequence[int | None], duration: str, event: str,
+    weight: str | None, rounds: int, max_depth: int, rate: float, checkpoint_every: int, min_node_weight: float,
+    block_width: float | None, merge: bool, ridge: float, bins: int,
+) -> list[BoostedCoxModel]:
+    """One fit per entry of ``without``, on the rows of other folds (all rows, where it is None)."""
+    features, fits = list(features), len(without)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     known = subjects.where(~_incomplete([duration, event])).select(
-        *features, F.col(duration).cast("double").alias("t_"), F.col(event).cast("double").alias("e_"), w.alias("w_"))
+        *features, F.col(duration).cast("double").alias("t_"), F.col(event).cast("double").alias("e_"), w.alias("w_"),
+        *([] if fold is None else [fold.alias("fold_")]))
     known = stage(known, "boosted-subjects")
     block_width = axis_bounds(known, "t_") if block_width is None else block_width
-    edges = bin_edges(known, features, bins)
+    kept = [F.lit(True) if k is None else F.col("fold_") != k for k in without]
+    edges = bin_edges_of(known, features, kept, bins)
     columns = [f"bin_{i}" for i in range(len(features))]
-    data = binned(known, features, edges, F.col("t_").alias("t"), F.col("e_").alias("e"), F.col("w_").alias("w"))
+    subject = [F.col("t_").alias("t"), F.col("e_").alias("e"), F.col("w_").alias("w")]
+    if fits == 1:
+        data = binned(known.where(kept[0]), features, edges[0], F.lit(0).alias("fit"), *subject)
+    else:
+        each = [F.when(keep, F.struct(F.lit(k).alias("fit"), *[
+            bin_of(F.col(f).cast("double"), e).alias(c) for f, e, c in zip(features, edges[k], columns, strict=True)]))
+            for k, keep in enumerate(kept)]
+        data = known.select(F.explode(F.array_compact(F.array(*each))).alias("b"), *subject).select("b.*", "t", "e", "w")
     if merge:
-        data = data.groupBy(*columns, "t", "e").agg(F.sum("w").alias("w"))
+        data = data.groupBy("fit", *columns, "t", "e").agg(F.sum("w").alias("w"))
     stored = stage(data.withColumn("start", F.lit(0.0)), "boosted-rows")
     forget(known)
-    grown: list[Tree] = []
-    fresh: list[Tree] = []  # trees that the stored start does not hold yet: an expression over the bins
+    grown: list[list[Tree]] = []  # by round: a tree of each fit
+    fresh: list[list[Tree]] = []  # rounds that the stored start does not hold yet: an expression over the bins
     cells = [F.col(c) for c in columns]
 
+    def value(trees: list[Tree]) -> Column:
+        out = trees[0].value_of(cells, binned=True)
+        for k in range(1, fits):
+            out = F.when(F.col("fit") == k, trees[k].value_of(cells, binned=True)).otherwise(out)
+        return out
+
     def so_far() -> Column:
-        return reduce(lambda a, tree: a + F.lit(rate) * tree.value_of(cells, binned=True), fresh, F.col("start"))
+        return reduce(lambda a, trees: a + F.lit(rate) * value(trees), fresh, F.col("start"))
 
-    for k in range(rounds):
+    for _ in range(rounds):
         if len(fresh) == checkpoint_every:
             before, stored = stored, stage(stored.withColumn("start", so_far()), "boosted-rows")
             forget(before)
             fresh = []
         data = stored.withColumn("eta", so_far())
-        axis = data.groupBy("t").agg(
+        axis = data.groupBy("fit", "t").agg(
             F.sum(F.col("w") * F.exp("eta")).alias("_r"), F.sum(F.col("w") * F.col("e")).alias("_d"))
-        axis = _at_risk(axis, {"_s": "_r"}, block_width).select(
-            "t", (F.col("_d") / F.col("_s")).alias("_h1"), (F.col("_d") / (F.col("_s") * F.col("_s"))).alias("_h2"))
-        axis = running_sum(axis, [], "t", {"_a": "_h1", "_b": "_h2"}, block_width).select("t", "_a", "_b")
+        axis = _at_risk(axis, {"_s": "_r"}, block_width, ["fit"]).select(
+            "fit", "t", (F.col("_d") / F.col("_s")).alias("_h1"), (F.col("_d") / (F.col("_s") * F.col("_s"))).alias("_h2"))
+        axis = running_sum(axis, ["fit"], "t", {"_a": "_h1", "_b": "_h2"}, block_width).select("fit", "t", "_a", "_b")
+        if block_width is None:  # whole days: ``AXIS_ROWS`` points of each fit at most, so the rows stay where they are
+            axis = F.broadcast(axis)
         risk = F.exp("eta")
-        rows = data.join(axis, "t").select(
-            *columns, (F.col("w") * (risk * F.col("_a") - F.col("e"))).alias("g"),
+        rows = data.join(axis, ["fit", "t"]).select(
+            "fit", *columns, (F.col("w") * (risk * F.col("_a") - F.col("e"))).alias("g"),
             (F.col("w") * F.greatest(risk * F.col("_a") - risk * risk * F.col("_b"), F.lit(1e-9))).alias("h"))
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # every level reads them
         try:
-            fresh.append(grow(rows, edges, [("g", "h")], max_depth, ridge, min_node_weight)[0])
+            fresh.append(grow_by_fit(rows, edges, max_depth, ridge, min_node_weight))
         finally:
             rows.unpersist()
         grown.append(fresh[-1])
     forget(stored)
-    return BoostedCoxModel(features, grown, rate)
+    return [BoostedCoxModel(features, [trees[k] for trees in grown], rate) for k in range(fits)]

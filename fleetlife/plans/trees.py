@@ -79,19 +79,24 @@ def bin_edges(rows: DataFrame, features: Sequence[str], bins: int = BINS) -> lis
     Features with at most ``bins`` values (by a sketch of their number) get all of them, the others ``bins`` quantiles of a
     sketch. Two jobs for all features; what reaches the driver does not grow with the rows.
     """
-    known = {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
+    return bin_edges_of(rows, features, [F.lit(True)], bins)[0]
+
+
+def bin_edges_of(rows: DataFrame, features: Sequence[str], kept: Sequence[Column], bins: int = BINS) -> list[list[list[float]]]:
+    """``bin_edges`` of the rows that each condition of ``kept`` holds for, in the same two jobs."""
+    known = [F.when(keep & ~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for keep in kept for f in features]
     cuts = [i / bins for i in range(1, bins + 1)]
-    row = rows.agg(*[x for i, f in enumerate(features) for x in (
-        F.approx_count_distinct(known[f], 0.02).alias(f"n{i}"), F.percentile_approx(known[f], cuts, ACCURACY).alias(f"q{i}"))]).first()
-    few = [i for i in range(len(features)) if row[f"n{i}"] <= 0.95 * bins]
-    edges = [sorted({x + 0.0 for x in row[f"q{i}"] or []}) for i in range(len(features))]
+    row = rows.agg(*[x for i, c in enumerate(known) for x in (
+        F.approx_count_distinct(c, 0.02).alias(f"n{i}"), F.percentile_approx(c, cuts, ACCURACY).alias(f"q{i}"))]).first()
+    few = [i for i in range(len(known)) if row[f"n{i}"] <= 0.95 * bins]
+    edges = [sorted({x + 0.0 for x in row[f"q{i}"] or []}) for i in range(len(known))]
     if few:
-        pairs = F.array(*[F.struct(F.lit(i).alias("i"), known[features[i]].alias("x")) for i in few])
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), known[i].alias("x")) for i in few])
         exact: dict[int, list[float]] = {i: [] for i in few}
         for r in rows.select(F.explode(pairs).alias("p")).select("p.i", "p.x").where("x is not null").distinct().collect():
             exact[r["i"]].append(r["x"] + 0.0)
         edges = [sorted(set(exact[i])) if i in exact else e for i, e in enumerate(edges)]
-    return edges
+    return [edges[k * len(features):(k + 1) * len(features)] for k in range(len(kept))]
 
 
 def bin_of(x: Column, edges: Sequence[float]) -> Column:
@@ -112,10 +117,10 @@ def binned(rows: DataFrame, features: Sequence[str], edges: Sequence[Sequence[fl
 
 
 def _histograms(rows: DataFrame, trees: Sequence[Tree], sums: Sequence[tuple[str, str]], wanted: Sequence[tuple[int, int]],
-                sizes: Sequence[int]) -> dict[tuple[int, int], list[np.ndarray]]:
+                sizes: Sequence[Sequence[int]]) -> dict[tuple[int, int], list[np.ndarray]]:
     """Per (tree, node) and feature an array of (gradients, second derivatives, rows) by bin, nulls first: one aggregation
     that combines on the map side, whose result has bins x features rows per node."""
-    bins = [F.col(f"bin_{i}") for i in range(len(sizes))]
+    bins = [F.col(f"bin_{i}") for i in range(len(sizes[0]))]
     parts = []
     for k, (g, h) in enumerate(sums):
         nodes = [n for t, n in wanted if t == k]
@@ -123,9 +128,25 @@ def _histograms(rows: DataFrame, trees: Sequence[Tree], sums: Sequence[tuple[str
             at = trees[k].leaf_of(bins, binned=True)
             parts.append(F.when(at.isin(nodes), F.struct(F.lit(k).alias("tree"), at.alias("node"), F.col(g).alias("g"), F.col(h).alias("h"))))
     each = rows.select(F.array(*bins).alias("bins"), F.explode(F.array_compact(F.array(*parts))).alias("s"))
-    found = each.select("s.*", F.posexplode("bins").alias("feature", "bin")).groupBy("tree", "node", "feature", "bin").agg(
-        F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).collect()
-    out = {key: [np.zeros((size + 2, 3)) for size in sizes] for key in wanted}
+    return _sums_by_bin(each.select("s.*", "bins"), wanted, sizes)
+
+
+def _histograms_by_fit(rows: DataFrame, trees: Sequence[Tree], wanted: Sequence[tuple[int, int]],
+                       sizes: Sequence[Sequence[int]]) -> dict[tuple[int, int], list[np.ndarray]]:
+    """``_histograms`` of rows that belong to one tree each, the one that their column ``fit`` names."""
+    bins = [F.col(f"bin_{i}") for i in range(len(sizes[0]))]
+    node = F.lit(None).cast("int")
+    for k in sorted({t for t, _ in wanted}):
+        at = trees[k].leaf_of(bins, binned=True)
+        node = F.when(F.col("fit") == k, F.when(at.isin([n for t, n in wanted if t == k]), at)).otherwise(node)
+    each = rows.select(F.col("fit").alias("tree"), node.alias("node"), "g", "h", F.array(*bins).alias("bins"))
+    return _sums_by_bin(each.where(F.col("node").isNotNull()), wanted, sizes)
+
+
+def _sums_by_bin(each: DataFrame, wanted: Sequence[tuple[int, int]], sizes: Sequence[Sequence[int]]) -> dict[tuple[int, int], list[np.ndarray]]:
+    found = each.select("tree", "node", "g", "h", F.posexplode("bins").alias("feature", "bin")).groupBy(
+        "tree", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).collect()
+    out = {key: [np.zeros((size + 2, 3)) for size in sizes[key[0]]] for key in wanted}
     for r in found:
         out[r["tree"], r["node"]][r["feature"]][r["bin"] + 1] = (r["g"], r["h"], r["n"])
     return out
@@ -163,12 +184,12 @@ def _local_leaves(tree: Tree, bins: np.ndarray) -> np.ndarray:
 def _local_histograms(bins: np.ndarray, sums: Sequence[tuple[np.ndarray, np.ndarray]]):
     """What ``_histograms`` does, over arrays that the driver holds."""
 
-    def run(trees: Sequence[Tree], wanted: Sequence[tuple[int, int]], sizes: Sequence[int]):
+    def run(trees: Sequence[Tree], wanted: Sequence[tuple[int, int]], sizes: Sequence[Sequence[int]]):
         out = {}
         for k, n in wanted:
             mine = _local_leaves(trees[k], bins) == n
             weights = [sums[k][0][mine], sums[k][1][mine], np.ones(mine.sum())]
-            out[k, n] = [np.stack([np.bincount(bins[mine, f] + 1, x, size + 2) for x in weights], axis=1) for f, size in enumerate(sizes)]
+            out[k, n] = [np.stack([np.bincount(bins[mine, f] + 1, x, size + 2) for x in weights], axis=1) for f, size in enumerate(sizes[k])]
         return out
 
     return run
@@ -179,17 +200,24 @@ def grow(
     min_weight: float = 0.0,
 ) -> list[Tree]:
     """One tree for each pair of columns (gradient, second derivative) of binned ``rows``, all grown side by side."""
-    return _grow(lambda trees, wanted, sizes: _histograms(rows, trees, sums, wanted, sizes), len(sums), edges, max_depth, ridge, min_weight)
+    return _grow(lambda trees, wanted, sizes: _histograms(rows, trees, sums, wanted, sizes), [edges] * len(sums), max_depth, ridge, min_weight)
+
+
+def grow_by_fit(
+    rows: DataFrame, edges: Sequence[Sequence[Sequence[float]]], max_depth: int, ridge: float = 0.0, min_weight: float = 0.0,
+) -> list[Tree]:
+    """One tree for each fit, whose binned rows (``g``, ``h``) carry its number in ``fit``; each fit has edges of its own."""
+    return _grow(lambda trees, wanted, sizes: _histograms_by_fit(rows, trees, wanted, sizes), edges, max_depth, ridge, min_weight)
 
 
-def _grow(histograms, n_trees: int, edges: Sequence[Sequence[float]], max_depth: int, ridge: float, min_weight: float) -> list[Tree]:
-    """Grows ``n_trees`` side by side from ``histograms(trees, wanted nodes, bins per feature)``.
+def _grow(histograms, edges: Sequence[Sequence[Sequence[float]]], max_depth: int, ridge: float, min_weight: float) -> list[Tree]:
+    """Grows a tree for each entry of ``edges`` side by side from ``histograms(trees, wanted nodes, bins per tree and feature)``.
 
     A level is one aggregation: of every two siblings only the smaller one is summed, the other is what remains of
     their parent. Splits are chosen on the driver from the histograms, nulls take the side that gains more.
     ``min_weight`` is the least share of the whole weight that a node may have.
     """
-    sizes = [len(e) for e in edges]
+    n_trees, sizes = len(edges), [[len(e) for e in of_tree] for of_tree in edges]
     trees = [Tree([Node(0.0, 0.0)]) for _ in range(n_trees)]
     summed = {(k, 0): None for k in range(n_trees)}  # node -> (parent, sibling) that it is subtracted for, if any
     least = [0.0] * n_trees
@@ -214,7 +242,7 @@ def _grow(histograms, n_trees: int, edges: Sequence[Sequence[float]], max_depth:
             if split is None:
                 continue
             _, node.feature, node.bin, node.nulls_left, left, right = split
-            node.at = float(edges[node.feature][node.bin])
+            node.at = float(edges[k][node.feature][node.bin])
             node.left, node.right = len(trees[k].nodes), len(trees[k].nodes) + 1
             trees[k].nodes += [Node(float(-s[0] / (s[1] + ridge)), float(s[1])) for s in (left, right)]
             small, large = (node.left, node.right) if left[2] <= right[2] else (node.right, node.left)
@@ -292,7 +320,7 @@ def _boost_locally(cells, edges, names, ys, starts, rounds, max_depth, rate, rid
     grown: list[list[Tree]] = [[] for _ in ys]
     for _ in range(rounds):
         sums = [(w * p - held[y].to_numpy(float), w) for p, y in zip(now, ys, strict=True)]
-        for k, tree in enumerate(_grow(_local_histograms(bins, sums), len(ys), edges, max_depth, ridge, 0.0)):
+        for k, tree in enumerate(_grow(_local_histograms(bins, sums), [edges] * len(ys), max_depth, ridge, 0.0)):
             grown[k].append(tree)
             now[k] = now[k] + rate * np.array([n.value for n in tree.nodes])[_local_leaves(tree, bins)]
     return grown

@@ -249,10 +249,11 @@ def hyperparameter_search(spark: SparkSession, sf: str) -> DataFrame:
 
     def evaluate_point(point: dict) -> float:
         def fit(train: DataFrame, held_out: DataFrame) -> DataFrame:
-            model = cox.fit_boosted_cox(train, DRIVE_FEATURES, max_depth=point["max_depth"], rate=point["rate"])
-            return model.with_log_hazard(held_out).withColumn("score", -F.col("log_hazard"))
+            fold = F.col(evaluate.FOLD)
+            models = cox.fit_boosted_cox_folds(train, DRIVE_FEATURES, fold, 2, max_depth=point["max_depth"], rate=point["rate"])
+            return held_out.withColumn("score", -cox.log_hazard_of_fold(models, fold))
 
-        return evaluate.cross_validate(rows, ["drive_id"], fit, folds=2)["mean"]
+        return evaluate.cross_validate(rows, ["drive_id"], fit, folds=2, together=True)["mean"]
 
     log = new_folder(spark, "trials")
     space = {"max_depth": (1, 3), "rate": (0.1, 0.5)}
